@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessera.plans import prep_queries
+from tessera.plans import prep_queries, rec_queries
 
-_MODULES = [prep_queries]
+_MODULES = [prep_queries, rec_queries]
 
 
 def queries():
