@@ -39,6 +39,7 @@ from tessera.functions import scores as SC
 from tessera.functions.text import strip_unicode
 from tessera.functions.vectors import dense_vector, euclidean, pack_bits, packed_distance
 from tessera.operators.features import feature_columns
+from tessera.session import cut_lineage
 
 BROADCAST_ROWS = 200_000
 SALT_BUCKETS = 32
@@ -130,10 +131,13 @@ def recommendation_plan(items: DataFrame, members: DataFrame, inputs: DataFrame
     # pool: rows whose name is a member of the cluster; w = vector of the name's first row
     P0 = M.join(I, "key")
     NV = P0.groupBy("cl", "key").agg(F.min_by("vec", "rid").alias("w"))
-    P = P0.join(NV, ["cl", "key"]).select("cl", "key", "rid", "w", "pop", "rq")
+    # materialised once (reliable checkpoint in the shared folder): every later step reads it
+    P = cut_lineage(P0.join(NV, ["cl", "key"]).select("cl", "key", "rid", "w", "pop", "rq"))
+    M = cut_lineage(M)
+    NV = P.groupBy("cl", "key").agg(F.first("w").alias("w"))
 
-    XC = cluster_of_inputs(X, M)
-    XU = XC.join(NV.withColumnRenamed("key", "input"), ["cl", "input"]).withColumnRenamed("w", "u")
+    XC = cut_lineage(cluster_of_inputs(X, M))
+    XU = cut_lineage(XC.join(NV.withColumnRenamed("key", "input"), ["cl", "input"]).withColumnRenamed("w", "u"))
 
     # exclusions: own-name rows and ':'-variants inside the input's cluster
     own = P.join(XC.withColumnRenamed("input", "key"), ["cl", "key"]).withColumn("input", F.col("key"))
@@ -141,12 +145,13 @@ def recommendation_plan(items: DataFrame, members: DataFrame, inputs: DataFrame
     var = pre.join(XC.select("input", "cl", base_name(F.col("input")).alias("pre")), ["cl", "pre"])
     cols = ["input", "cl", "rid", "key", "w", "pop", "rq"]
     EK = own.select(*cols, F.lit("own").alias("kind")).unionByName(var.select(*cols, F.lit("variant").alias("kind")))
+    EK = cut_lineage(EK)
     E = EK.dropDuplicates(["input", "rid"])
 
     # distinct-vector groups and input-vector x group distances (the only pair work)
     G = P.groupBy("cl", "w").agg(F.count(F.lit(1)).alias("cnt"))
     U = XU.select("cl", "u").distinct()
-    UP = blocked_join(U, G, ["cl"], "u", broadcast_rows).withColumn("d", dist(F.col("u"), F.col("w")))
+    UP = cut_lineage(blocked_join(U, G, ["cl"], "u", broadcast_rows).withColumn("d", dist(F.col("u"), F.col("w"))))
     LV = UP.groupBy("cl", "u", "d").agg(F.sum("cnt").alias("n"))
 
     # exact per-input distance range over the remaining candidates
@@ -181,8 +186,9 @@ def recommendation_plan(items: DataFrame, members: DataFrame, inputs: DataFrame
                 | (F.col("e_rmin") >= F.col("c_rmin")) | (F.col("e_rmax") >= F.col("c_rmax"))
                 | (F.col("e_all") > exclusion_cap))
     has_cand = F.col("dmin").isNotNull()
-    ST = (ST.withColumn("path", F.when(~ok, F.lit("none")).when(fallback, F.lit("exact")).otherwise(F.lit("class")))
-          .withColumn("exact_ranges", has_cand & fallback))
+    ST = cut_lineage(ST.withColumn("path", F.when(~ok, F.lit("none")).when(fallback, F.lit("exact"))
+                                   .otherwise(F.lit("class")))
+                     .withColumn("exact_ranges", has_cand & fallback))
 
     w_pop, w_dist, w_rq = C.REC_POPULARITY_WEIGHT, C.REC_DISTANCE_WEIGHT, C.REC_RATING_QUALITY_WEIGHT
     depth_lit = k + exclusion_cap + SLACK

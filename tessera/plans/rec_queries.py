@@ -17,6 +17,7 @@ from tessera.operators import recommend as R
 from tessera.operators.features import feature_columns
 from tessera.plans import sqlgen as S
 from tessera.plans.prep_queries import prepared
+from tessera.session import cut_lineage
 
 DIFFICULTY_ORDER = [lbl for _, lbl in C.DIFFICULTY_BUCKETS]
 CONSTRAINT = C.CONSTRAINT_COLUMNS[0]
@@ -31,7 +32,8 @@ def fixed_cluster_expr() -> F.Column:
 
 
 def clustered(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    items = prepared(spark, sf).withColumn("cluster_id", fixed_cluster_expr())
+    # the prepared table is a materialised stage (the pipeline's own snapshot), read back once
+    items = cut_lineage(prepared(spark, sf).withColumn("cluster_id", fixed_cluster_expr()))
     members = items.select("cluster_id", "game_name").distinct()
     return items, members
 
