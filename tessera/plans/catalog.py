@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessera.plans import cluster_queries, prep_queries, rec_queries, source_queries
+from tessera.plans import cluster_queries, nested_queries, prep_queries, rec_queries, source_queries
 
-_MODULES = [prep_queries, rec_queries, cluster_queries, source_queries]
+_MODULES = [prep_queries, rec_queries, cluster_queries, source_queries, nested_queries]
 
 
 def queries():
