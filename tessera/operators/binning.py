@@ -44,24 +44,53 @@ def bin_items(names: Sequence[str], vectors: np.ndarray, threshold: float = C.BI
     return bins
 
 
+def _fold_sorted(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
+    """Rows sorted by (basket, ord): fold every basket, no per-basket pandas objects."""
+    out_b, out_id, out_size, out_m, out_c = [], [], [], [], []
+    if len(pdf):
+        baskets = pdf["basket"].to_numpy()
+        names = pdf["name"].tolist()
+        vecs = np.array(pdf["vec"].tolist(), dtype=np.float64)
+        starts = np.flatnonzero(np.r_[True, baskets[1:] != baskets[:-1]])
+        ends = np.r_[starts[1:], len(baskets)]
+        for s, e in zip(starts, ends):
+            for i, b in enumerate(bin_items(names[s:e], vecs[s:e], threshold), start=1):
+                out_b.append(baskets[s])
+                out_id.append(i)
+                out_size.append(len(b["members"]))
+                out_m.append(b["members"])
+                out_c.append(b["centroid"].tolist())
+    return pd.DataFrame({"basket": out_b, "bin_id": out_id, "size": out_size, "members": out_m, "centroid": out_c})
+
+
 def basket_bins(df: DataFrame, features: Sequence[str], basket_col: str = "basket", order_col: str = "game_id",
-                name_col: str = "game_name", threshold: float = C.BIN_THRESHOLD) -> DataFrame:
-    """basket, bin_id, size, members (array<string>), centroid (array<int>)."""
+                name_col: str = "game_name", threshold: float = C.BIN_THRESHOLD,
+                partitions: int | None = None) -> DataFrame:
+    """basket, bin_id, size, members (array<string>), centroid (array<bigint>).
+
+    Baskets are hash-partitioned and sorted by (basket, order) inside each partition; a
+    ``mapInPandas`` pass folds them one after another, carrying a basket that straddles two
+    Arrow batches into the next batch. One basket is one sequential fold by definition."""
     vec = F.array(*[F.coalesce(F.col(f"`{f}`"), F.lit(0)).cast("double") for f in features])
     src = df.select(F.col(basket_col).alias("basket"), F.col(order_col).alias("ord"),
                     F.col(name_col).alias("name"), vec.alias("vec")).dropDuplicates(["basket", "ord"])
+    n = partitions or df.sparkSession.conf.get("spark.sql.shuffle.partitions")
+    ordered = src.repartition(int(n), "basket").sortWithinPartitions("basket", "ord")
     btype = src.schema["basket"].dataType.simpleString()
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ord")
-        bins = bin_items(pdf["name"].tolist(), np.array(pdf["vec"].tolist(), dtype=np.float64), threshold)
-        return pd.DataFrame({
-            "basket": [pdf["basket"].iloc[0]] * len(bins),
-            "bin_id": list(range(1, len(bins) + 1)),
-            "size": [len(b["members"]) for b in bins],
-            "members": [b["members"] for b in bins],
-            "centroid": [b["centroid"].tolist() for b in bins],
-        })
+    def run(it):
+        pending = None
+        for pdf in it:
+            if pending is not None and len(pending):
+                pdf = pd.concat([pending, pdf], ignore_index=True)
+            if pdf.empty:
+                continue
+            last = pdf["basket"].iloc[-1]
+            tail = (pdf["basket"] == last).to_numpy()
+            pending = pdf[tail]
+            yield _fold_sorted(pdf[~tail], threshold)
+        if pending is not None and len(pending):
+            yield _fold_sorted(pending, threshold)
 
     schema = f"basket {btype}, bin_id int, size int, members array<string>, centroid array<bigint>"
-    return src.groupBy("basket").applyInPandas(fold, schema)
+    return ordered.mapInPandas(run, schema)
