@@ -144,12 +144,13 @@ def one_hot_columns(df: DataFrame, columns: Sequence[str], values: Sequence[str]
     for v in values:
         name = f"{prefix}_{v.lower()}" if prefix else v.lower()
         by_name.setdefault(name, []).append(v)
+    is_array = {c: _is_array(df, c) for c in columns}  # one schema lookup per column
     out = []
     for name, vs in by_name.items():
         hits = []
         for c in columns:
             for v in vs:
-                if _is_array(df, c):
+                if is_array[c]:
                     hits.append(F.coalesce(F.array_contains(F.col(c), F.lit(v)), F.lit(False)))
                 else:
                     hits.append(F.coalesce(F.col(c) == F.lit(v), F.lit(False)))
@@ -219,61 +220,89 @@ def feature_columns(df: DataFrame | Sequence[str], prefixes: Sequence[str] = C.F
 
 
 # ---------------------------------------------------------------- whole pipeline
+LANGUAGE_COLUMN = "language_dependence_description"
+
+
+def _bucket_exprs():
+    return (bucket_column(F.col("suggested_play_age"), C.AGE_BUCKETS, C.AGE_OPEN_LABEL),
+            bucket_column(F.col("playing_time"), C.DURATION_BUCKETS, C.DURATION_OPEN_LABEL),
+            bucket_column(F.col("avg_weight"), C.DIFFICULTY_BUCKETS, C.DIFFICULTY_OPEN_LABEL))
+
+
+def _encoded_language(mapping: dict | None = None) -> Column:
+    mapping = {k: v for k, v in (mapping or C.LANGUAGE_DEPENDENCY_MAPPING).items() if k is not None}
+    pairs = []
+    for k, v in mapping.items():
+        pairs += [F.lit(k), F.lit(v)]
+    return F.coalesce(F.try_element_at(F.create_map(*pairs), F.col(LANGUAGE_COLUMN)), F.col(LANGUAGE_COLUMN))
+
+
 def pipeline_vocabularies(df: DataFrame, max_values: int = MAX_VOCABULARY) -> dict[str, list[str]]:
     """Every one-hot vocabulary of :func:`prepare_features`, each over exactly the rows that
-    reach its step, in two distributed passes instead of one per step.
-
-    Scalar labels: one global aggregate of ``collect_set`` per step (partial sets are bounded
-    by the label count). Categories: explode + distinct, capped before the collect."""
-    base = add_popularity_score(quality_filter(df)) if "popularity_score" not in df.columns else df
-    age = bucket_column(F.col("suggested_play_age"), C.AGE_BUCKETS, C.AGE_OPEN_LABEL)
-    dur = bucket_column(F.col("playing_time"), C.DURATION_BUCKETS, C.DURATION_OPEN_LABEL)
-    dif = bucket_column(F.col("avg_weight"), C.DIFFICULTY_BUCKETS, C.DIFFICULTY_OPEN_LABEL)
+    reach its step, in ONE distributed aggregate: categories are exploded (outer) once and
+    every vocabulary is a conditional ``collect_set`` (partial sets are bounded by the
+    vocabulary size). Sizes are checked before use."""
+    age, dur, dif = _bucket_exprs()
     unk = F.lit(C.UNKNOWN_BUCKET)
-    staged = base.select(age.alias("a"), dur.alias("d"), dif.alias("f"), "categories",
-                         "language_dependence_description")
+    staged = quality_filter(df).select(age.alias("a"), dur.alias("d"), dif.alias("f"),
+                                       F.explode_outer("categories").alias("cat"),
+                                       _encoded_language().alias("lang"))
     ok_a = F.col("a") != unk
     ok_d = ok_a & (F.col("d") != unk)
     ok_f = ok_d & (F.col("f") != unk)
-    lang = encode_mapping(staged.filter(ok_f), "language_dependence_description")
     row = staged.agg(
         F.collect_set(F.when(ok_a, F.col("a"))).alias("a"),
         F.collect_set(F.when(ok_d, F.col("d"))).alias("d"),
         F.collect_set(F.when(ok_f, F.col("f"))).alias("f"),
+        F.collect_set(F.when(ok_f, F.col("cat"))).alias("cat"),
+        F.collect_set(F.when(ok_f, F.col("lang"))).alias("lang"),
     ).first()
-    lang_vocab = vocabulary(lang, ["language_dependence_description_encoded"], max_values)
-    cat_vocab = vocabulary(staged.filter(ok_f), ["categories"], max_values)
-    return {
-        C.AGE_PREFIX: sorted(row["a"]),
-        C.DURATION_PREFIX: sorted(row["d"]),
-        C.DIFFICULTY_PREFIX: sorted(row["f"]),
-        C.CATEGORY_PREFIX: cat_vocab,
-        C.LANGUAGE_PREFIX: lang_vocab,
-    }
+    out = {C.AGE_PREFIX: row["a"], C.DURATION_PREFIX: row["d"], C.DIFFICULTY_PREFIX: row["f"],
+           C.CATEGORY_PREFIX: row["cat"], C.LANGUAGE_PREFIX: row["lang"]}
+    for k, v in out.items():
+        if len(v) > max_values:
+            raise ValueError(f"one-hot vocabulary {k} exceeds {max_values} values")
+    return {k: sorted(v) for k, v in out.items()}
 
 
 def prepare_features(df: DataFrame, text_column: str | None = "description",
-                     vocabularies: dict[str, Sequence[str]] | None = None) -> DataFrame:
+                     vocabularies: dict[str, Sequence[str]] | None = None,
+                     groups: dict[str, list[str]] | None = None) -> DataFrame:
     """Quality filter -> text clean -> popularity -> age/duration/difficulty buckets with
     one-hots -> player-count flags -> category one-hot + grouping -> language encode +
-    one-hot. ``vocabularies`` (prefix -> values) skips the distinct-value jobs.
-
-    The result is one narrow plan over the scan plus the 1-row maxima aggregate."""
+    one-hot; the same result as chaining the step operators, expressed as ONE projection
+    and ONE filter over the scan (plus the 1-row maxima aggregate) so Catalyst analyses a
+    single wide select. ``vocabularies`` (prefix -> values) skips the vocabulary pass."""
     voc = vocabularies if vocabularies is not None else pipeline_vocabularies(df)
-    df = quality_filter(df)
-    if text_column and text_column in df.columns:
-        df = clean_text_column(df, text_column)
-    df = add_popularity_score(df)
-    df = bucket_age(df)
-    df = one_hot_encode(df, ["age_group"], C.AGE_PREFIX, voc.get(C.AGE_PREFIX))
-    df = bucket_duration(df)
-    df = one_hot_encode(df, ["playing_time_group"], C.DURATION_PREFIX, voc.get(C.DURATION_PREFIX))
-    df = bucket_difficulty(df)
-    df = one_hot_encode(df, ["game_difficulty_group"], C.DIFFICULTY_PREFIX, voc.get(C.DIFFICULTY_PREFIX))
-    df = range_flags(df)
-    df = one_hot_encode(df, ["categories"], C.CATEGORY_PREFIX, voc.get(C.CATEGORY_PREFIX))
-    df = group_indicators(df)
-    df = encode_mapping(df, "language_dependence_description")
-    df = one_hot_encode(df, ["language_dependence_description_encoded"], C.LANGUAGE_PREFIX,
-                        voc.get(C.LANGUAGE_PREFIX))
-    return df
+    groups = groups or C.CATEGORY_GROUPS
+    base = quality_filter(df)
+    if text_column and text_column in base.columns:
+        base = clean_text_column(base, text_column)
+    base = add_popularity_score(base)
+    age, dur, dif = _bucket_exprs()
+    staged = base.select("*", age.alias("age_group"), dur.alias("playing_time_group"),
+                         dif.alias("game_difficulty_group"),
+                         _encoded_language().alias(f"{LANGUAGE_COLUMN}_encoded"))
+    flags: list[tuple[str, Column]] = []
+    flags += one_hot_columns(staged, ["age_group"], voc[C.AGE_PREFIX], C.AGE_PREFIX)
+    flags += one_hot_columns(staged, ["playing_time_group"], voc[C.DURATION_PREFIX], C.DURATION_PREFIX)
+    flags += one_hot_columns(staged, ["game_difficulty_group"], voc[C.DIFFICULTY_PREFIX], C.DIFFICULTY_PREFIX)
+    mn, mx = F.col("min_players"), F.col("max_players")
+    flags += [(f"{C.GROUP_SIZE_PREFIX}_solo", (mn <= 1).cast("int")),
+              (f"{C.GROUP_SIZE_PREFIX}_couple", ((mn <= 2) & (mx >= 2)).cast("int")),
+              (f"{C.GROUP_SIZE_PREFIX}_small", ((mn >= 3) & (mx <= 5)).cast("int")),
+              (f"{C.GROUP_SIZE_PREFIX}_party", (mx >= 6).cast("int"))]
+    cats = one_hot_columns(staged, ["categories"], voc[C.CATEGORY_PREFIX], C.CATEGORY_PREFIX)
+    member_of = {f"{C.CATEGORY_PREFIX}_{m}": g for g, ms in groups.items() for m in ms}
+    flags += [(n, c) for n, c in cats if n not in member_of]          # unmapped indicators survive
+    for g, ms in groups.items():
+        hits = [c for n, c in cats if member_of.get(n) == g]
+        hit = F.lit(False)
+        for h in hits:
+            hit = hit | (h == 1)
+        flags.append((f"{C.CATEGORY_GROUP_PREFIX}_{g}", F.when(hit, F.lit(1)).otherwise(F.lit(0))))
+    flags += one_hot_columns(staged, [f"{LANGUAGE_COLUMN}_encoded"], voc[C.LANGUAGE_PREFIX], C.LANGUAGE_PREFIX)
+    unk = F.lit(C.UNKNOWN_BUCKET)
+    keep = ((F.col("age_group") != unk) & (F.col("playing_time_group") != unk)
+            & (F.col("game_difficulty_group") != unk) & F.col(LANGUAGE_COLUMN).isNotNull())
+    return staged.filter(keep).select("*", *[c.alias(n) for n, c in flags])
