@@ -23,6 +23,7 @@ _LOCAL_DEFAULTS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.driver.memory": "16g",
     # parquet scans: ~128 MB splits is the right unit on a cluster as well
     "spark.sql.files.maxPartitionBytes": str(128 * 1024 * 1024),
