@@ -172,7 +172,8 @@ def kmeans_grid(dv: DataFrame, ks: dict, by: Sequence[str] = (), restarts: int =
     active = set(models)
     inertia: dict = {}
     by_schema = ", ".join(f"`{b}` {dv.schema[b].dataType.simpleString()}" for b in by)
-    schema = (by_schema + ", " if by else "") + "k int, r int, cid int, w double, d2 double, s array<double>"
+    # one partial row per (partition, model): per-centroid weights and flattened sums
+    schema = (by_schema + ", " if by else "") + "k int, r int, d2 double, w array<double>, s array<double>"
     data = dv.select(*[_c(b) for b in by], "vec", "wt").cache()
     for _ in range(max_iter):
         if not active:
@@ -188,6 +189,7 @@ def kmeans_grid(dv: DataFrame, ks: dict, by: Sequence[str] = (), restarts: int =
                 if pdf.empty:
                     continue
                 groups = pdf.groupby(by, sort=False) if by else [((), pdf)]
+                rows = []
                 for key, g in groups:
                     key = key if isinstance(key, tuple) else (key,)
                     ms = table.get(tuple(key))
@@ -195,35 +197,36 @@ def kmeans_grid(dv: DataFrame, ks: dict, by: Sequence[str] = (), restarts: int =
                         continue
                     x = np.array(g["vec"].tolist(), dtype=np.float64)
                     wt = g["wt"].to_numpy(dtype=np.float64)
-                    rows = []
+                    x2 = (x * x).sum(1)[:, None]
                     for k, r, cen in ms:
-                        d2 = (x * x).sum(1)[:, None] - 2.0 * x @ cen.T + (cen * cen).sum(1)[None, :]
+                        d2 = x2 - 2.0 * x @ cen.T + (cen * cen).sum(1)[None, :]
                         np.maximum(d2, 0.0, out=d2)
                         lab = d2.argmin(1)
                         best = d2[np.arange(len(lab)), lab]
-                        for cid in np.unique(lab):
-                            sel = lab == cid
-                            rows.append(list(key) + [k, r, int(cid), float(wt[sel].sum()),
-                                                     float((wt[sel] * best[sel]).sum()),
-                                                     (x[sel] * wt[sel][:, None]).sum(0).tolist()])
-                    yield pd.DataFrame(rows, columns=by + ["k", "r", "cid", "w", "d2", "s"])
+                        onehot = np.zeros((len(lab), k))
+                        onehot[np.arange(len(lab)), lab] = wt
+                        rows.append(list(key) + [k, r, float((wt * best).sum()), onehot.sum(0).tolist(),
+                                                 (onehot.T @ x).ravel().tolist()])
+                if rows:
+                    yield pd.DataFrame(rows, columns=by + ["k", "r", "d2", "w", "s"])
 
         partial = data.mapInPandas(step, schema)
-        red = partial.groupBy(*[_c(b) for b in by], "k", "r", "cid").agg(
-            F.sum("w").alias("w"), F.sum("d2").alias("d2"),
+        red = partial.groupBy(*[_c(b) for b in by], "k", "r").agg(
+            F.sum("d2").alias("d2"),
+            vector_to_array(Summarizer.sum(array_to_vector("w"))).alias("w"),
             vector_to_array(Summarizer.sum(array_to_vector("s"))).alias("s"))
-        sums: dict = {}
-        for row in red.collect():
-            sums.setdefault((_key(row, by), row["k"], row["r"]), []).append(row)
         done = set()
-        for mk in active:
+        for row in red.collect():
+            mk = (_key(row, by), row["k"], row["r"])
+            if mk not in active:
+                continue
             cen = models[mk]
+            w = np.array(row["w"])
+            sums = np.array(row["s"]).reshape(cen.shape)
             new = cen.copy()
-            tot = 0.0
-            for row in sums.get(mk, []):
-                new[row["cid"]] = np.array(row["s"]) / row["w"]
-                tot += row["d2"]
-            inertia[mk] = tot
+            nz = w > 0
+            new[nz] = sums[nz] / w[nz][:, None]  # an empty cluster keeps its centroid
+            inertia[mk] = row["d2"]
             shift = float(((new - cen) ** 2).sum())
             models[mk] = new
             if shift <= tol_abs.get(mk[0], 0.0):
