@@ -16,7 +16,7 @@ from tessera.operators.constrained import constrained_clusters as fit_constraine
 from tessera.operators.features import feature_columns
 from tessera.operators.projection import pca_projection as project
 from tessera.plans import sqlgen as S
-from tessera.plans.rec_queries import CONSTRAINT, DIFFICULTY_ORDER, clustered, cluster_sql, rq_sql  # noqa: F401
+from tessera.plans.rec_queries import CONSTRAINT, DIFFICULTY_ORDER, clustered
 from tessera.session import cut_lineage, shared_path
 from tessera.sources.tables import read_table
 
