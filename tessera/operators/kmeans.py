@@ -138,9 +138,102 @@ def _seed_table(dv: DataFrame, by: list[str], restarts: int, k_max: int, seed: i
     return {k: np.array([v for _, v in sorted(rows)], dtype=np.float64) for k, rows in seeds.items()}
 
 
+MAX_BROADCAST_CELLS = 20_000_000  # distinct vectors x dim that may be broadcast to every task
+
+
+def lloyd(x: np.ndarray, w: np.ndarray, cen: np.ndarray, max_iter: int, tol_abs: float) -> tuple[np.ndarray, float]:
+    """Weighted Lloyd iterations from ``cen`` (numpy); returns (centroids, inertia of the
+    final assignment). An empty cluster keeps its centroid."""
+    x2 = (x * x).sum(1)[:, None]
+    cen = cen.copy()
+    for _ in range(max_iter):
+        d2 = np.maximum(x2 - 2.0 * x @ cen.T + (cen * cen).sum(1)[None, :], 0.0)
+        lab = d2.argmin(1)
+        onehot = np.zeros((len(lab), len(cen)))
+        onehot[np.arange(len(lab)), lab] = w
+        tot = onehot.sum(0)
+        new = cen.copy()
+        nz = tot > 0
+        new[nz] = (onehot.T @ x)[nz] / tot[nz][:, None]
+        shift = float(((new - cen) ** 2).sum())
+        cen = new
+        if shift <= tol_abs:
+            break
+    d2 = np.maximum(x2 - 2.0 * x @ cen.T + (cen * cen).sum(1)[None, :], 0.0)
+    return cen, float((w * d2.min(1)).sum())
+
+
 def kmeans_grid(dv: DataFrame, ks: dict, by: Sequence[str] = (), restarts: int = C.KMEANS_RESTARTS,
                 max_iter: int = C.KMEANS_MAX_ITER, tol: float = C.KMEANS_TOL, seed: int = C.KMEANS_SEED,
-                ) -> dict:
+                max_broadcast_cells: int = MAX_BROADCAST_CELLS) -> dict:
+    """Fit every (subset, k, restart) model; keep the lowest-inertia restart per (subset, k).
+
+    Small distinct-vector sets (vectors x dim <= ``max_broadcast_cells``, checked) are
+    broadcast and the *models* are spread over tasks — each task runs the Lloyd loops of its
+    share of the grid, one Spark job in all. Larger sets use the data-parallel batched Lloyd
+    (one job per iteration over all models)."""
+    n = dv.count()
+    dim = len(dv.select("vec").first()["vec"]) if n else 0
+    if n * dim <= max_broadcast_cells:
+        return _kmeans_grid_model_parallel(dv, ks, list(by), restarts, max_iter, tol, seed)
+    return _kmeans_grid_data_parallel(dv, ks, by, restarts, max_iter, tol, seed)
+
+
+def _kmeans_grid_model_parallel(dv: DataFrame, ks: dict, by: list[str], restarts: int, max_iter: int,
+                                tol: float, seed: int) -> dict:
+    spark = dv.sparkSession
+    k_max = max((max(v) for v in ks.values() if v), default=0)
+    if k_max == 0:
+        return {}
+    seeds = _seed_table(dv, by, restarts, k_max, seed)
+    data: dict = {}
+    for row in dv.select(*[_c(b) for b in by], "vec", "wt").collect():  # size checked by the caller
+        data.setdefault(_key(row, by), []).append((row["vec"], row["wt"]))
+    packed = {}
+    for key, rows in data.items():
+        x = np.array([v for v, _ in rows], dtype=np.float64)
+        w = np.array([wt for _, wt in rows], dtype=np.float64)
+        mu = (w[:, None] * x).sum(0) / w.sum()
+        var = (w[:, None] * (x - mu) ** 2).sum(0) / w.sum()
+        packed[key] = (x, w, tol * float(var.mean()))
+    bc_data = spark.sparkContext.broadcast(packed)
+    bc_seeds = spark.sparkContext.broadcast(seeds)
+    specs = [(i, list(sk), k, r) for i, (sk, k, r) in enumerate(
+        (sk, k, r) for sk, kl in ks.items() for k in kl for r in range(restarts)
+        if (sk, r) in seeds and k <= len(seeds[(sk, r)]))]
+    if not specs:
+        return {}
+    tasks = max(spark.sparkContext.defaultParallelism, 1)
+    spec_df = spark.createDataFrame([(i, k, r) for i, _, k, r in specs], "i int, k int, r int").repartition(tasks)
+    keys = {i: tuple(sk) for i, sk, _, _ in specs}
+    bc_keys = spark.sparkContext.broadcast(keys)
+
+    def fit(it):
+        table, sd, kk = bc_data.value, bc_seeds.value, bc_keys.value
+        for pdf in it:
+            out = []
+            for i, k, r in zip(pdf["i"], pdf["k"], pdf["r"]):
+                sk = kk[int(i)]
+                x, w, tol_abs = table[sk]
+                cen, cost = lloyd(x, w, sd[(sk, int(r))][: int(k)], max_iter, tol_abs)
+                out.append((int(i), float(cost), cen.ravel().tolist()))
+            yield pd.DataFrame(out, columns=["i", "cost", "cen"])
+
+    res = spec_df.mapInPandas(fit, "i int, cost double, cen array<double>").collect()  # bounded: the grid
+    best: dict = {}
+    for row in res:
+        sk, k = keys[row["i"]], specs[row["i"]][2]
+        cen = np.array(row["cen"]).reshape(k, -1)
+        if (sk, k) not in best or row["cost"] < best[(sk, k)][1]:
+            best[(sk, k)] = (cen, row["cost"])
+    for b in (bc_data, bc_seeds, bc_keys):
+        b.unpersist()
+    return best
+
+
+def _kmeans_grid_data_parallel(dv: DataFrame, ks: dict, by: Sequence[str] = (), restarts: int = C.KMEANS_RESTARTS,
+                               max_iter: int = C.KMEANS_MAX_ITER, tol: float = C.KMEANS_TOL,
+                               seed: int = C.KMEANS_SEED) -> dict:
     """Fit every (subset, k, restart) model together. ``ks``: subset key tuple -> list of k.
 
     Returns {(subset, k): (centroids, inertia)} keeping the lowest-inertia restart.
@@ -174,7 +267,10 @@ def kmeans_grid(dv: DataFrame, ks: dict, by: Sequence[str] = (), restarts: int =
     by_schema = ", ".join(f"`{b}` {dv.schema[b].dataType.simpleString()}" for b in by)
     # one partial row per (partition, model): per-centroid weights and flattened sums
     schema = (by_schema + ", " if by else "") + "k int, r int, d2 double, w array<double>, s array<double>"
-    data = dv.select(*[_c(b) for b in by], "vec", "wt").cache()
+    # the per-iteration work is (vectors x all centroids): spread the vectors over every core
+    # instead of the one partition AQE would coalesce a small input into
+    tasks = max(spark.sparkContext.defaultParallelism, 1)
+    data = dv.select(*[_c(b) for b in by], "vec", "wt").repartition(tasks).cache()
     for _ in range(max_iter):
         if not active:
             break

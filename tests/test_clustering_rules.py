@@ -67,3 +67,14 @@ def test_kmeans_grid_separates_blobs(spark):
     cen, cost = best[((1,), 2)]
     assert cost == pytest.approx(2 * 5 * 0.05 ** 2 * 2, rel=1e-6)
     assert sorted(np.round(cen[:, 0], 2).tolist()) == [0.05, 5.05]
+
+
+@pytest.mark.parametrize("cells", [0, 10_000])
+def test_kmeans_paths_agree(spark, cells):
+    """Data-parallel (bound 0) and model-parallel (broadcast) fits reach the same optimum."""
+    pts = [([0.0, 0.0], 5), ([0.1, 0.0], 5), ([5.0, 5.0], 5), ([5.1, 5.0], 5), ([9.0, 0.0], 2)]
+    dv = spark.createDataFrame([(1, v, w) for v, w in pts], "all int, vec array<double>, wt long")
+    best = KM.kmeans_grid(dv, {(1,): [3]}, by=["all"], restarts=4, max_broadcast_cells=cells)
+    cen, cost = best[((1,), 3)]
+    assert sorted(np.round(cen[:, 0], 2).tolist()) == [0.05, 5.05, 9.0]
+    assert cost == pytest.approx(2 * 5 * 0.05 ** 2 * 2, rel=1e-6)
