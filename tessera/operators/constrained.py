@@ -88,3 +88,35 @@ def constrained_clusters(items: DataFrame, features: Sequence[str], constraint_c
     members = labelled_rows.join(used.select(SUBSET, "label", "cluster_id"), [SUBSET, "label"]) \
         .select("cluster_id", F.col("key").alias(key), F.col("ord").alias(order), SUBSET)
     return members, info
+
+
+# ------------------------------------------------------------------ model persistence (S8, M12)
+def save_model(members: DataFrame, info: DataFrame, path: str) -> None:
+    """Members and cluster info as parquet tables (info is kept, unlike the pickled map)."""
+    stamp = F.unix_timestamp(F.current_timestamp()).cast("double").alias("created_at")
+    members.select("*", stamp).write.mode("overwrite").parquet(f"{path}/members")
+    info.select("*", stamp).write.mode("overwrite").parquet(f"{path}/info")
+
+
+def load_model(spark, path: str) -> tuple[DataFrame, DataFrame]:
+    return spark.read.parquet(f"{path}/members"), spark.read.parquet(f"{path}/info")
+
+
+def model_exists(spark, path: str) -> bool:
+    try:
+        spark.read.parquet(f"{path}/members").schema  # noqa: B018 - listing only
+        return True
+    except Exception:  # noqa: BLE001
+        return False
+
+
+def fit_or_load(items: DataFrame, features: Sequence[str], path: str, mode: str = "reuse",
+                **kw) -> tuple[DataFrame, DataFrame]:
+    """``mode="reuse"`` loads a saved model when one exists (fits otherwise);
+    ``mode="retrain"`` always fits and overwrites the saved model."""
+    spark = items.sparkSession
+    if mode == "reuse" and model_exists(spark, path):
+        return load_model(spark, path)
+    members, info = constrained_clusters(items, features, **kw)
+    save_model(members, info, path)
+    return load_model(spark, path)

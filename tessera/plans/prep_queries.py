@@ -9,12 +9,15 @@ from tessera import constants as C
 from tessera.operators import features as FT
 from tessera.plans.games import games
 from tessera.plans import sqlgen as S
+from tessera.session import cut_lineage
 
 ROUND = 6
 
 
 def prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return FT.prepare_features(games(spark, sf_dir))
+    # the item table feeds two passes (vocabularies, then the projection): materialise it once
+    # instead of aggregating the line items twice
+    return FT.prepare_features(cut_lineage(games(spark, sf_dir)))
 
 
 def _q(name):

@@ -78,3 +78,18 @@ def test_kmeans_paths_agree(spark, cells):
     cen, cost = best[((1,), 3)]
     assert sorted(np.round(cen[:, 0], 2).tolist()) == [0.05, 5.05, 9.0]
     assert cost == pytest.approx(2 * 5 * 0.05 ** 2 * 2, rel=1e-6)
+
+
+def test_fit_or_load_reuses_saved_model(spark, tmp_path):
+    from tessera.operators import constrained as CO
+
+    rows = [(i, f"g{i}", i % 2, float(i % 3 == 0), float(i % 5 == 0)) for i in range(30)]
+    items = spark.createDataFrame(rows, "game_id long, game_name string, GAME_CAT_GROUP_card_game int, "
+                                        "f1 double, f2 double")
+    path = str(tmp_path / "model")
+    m1, i1 = CO.fit_or_load(items, ["f1", "f2"], path, mode="retrain", restarts=2)
+    n1 = m1.count()
+    empty = spark.createDataFrame([], items.schema)  # a refit on this would fail: reuse must load
+    m2, i2 = CO.fit_or_load(empty, ["f1", "f2"], path, mode="reuse")
+    assert m2.count() == n1 and i2.count() == i1.count()
+    assert set(i2.columns) >= {"cluster_id", "constraint", "is_subcluster", "created_at"}
