@@ -31,6 +31,7 @@ cluster):
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,7 +68,9 @@ def is_variant(candidate: Column, input_name: Column) -> Column:
 
 
 def size_checked_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
-    """Broadcast hint only when the relation's row count is at most ``limit``."""
+    """Broadcast hint only when the relation's row count is at most ``limit``. The relation
+    is persisted first, so the size check and the later use share one computation."""
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
     n = df.count()
     return (F.broadcast(df), True) if n <= limit else (df, False)
 
@@ -94,6 +97,27 @@ def cluster_of_inputs(inputs: DataFrame, members: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------ the operator
+def build_pool(items: DataFrame, members: DataFrame, *, key: str = "game_name", order: str = "game_id",
+               cluster_col: str = "cluster_id", features: list[str] | None = None,
+               binary: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(members M(cl, key), pool P(cl, key, rid, w, pop, rq), name vectors NV(cl, key, w)).
+
+    The pool holds every item row whose name is a member of a cluster; ``w`` is the vector of
+    the name's first row (by ``order``). P is materialised once (reliable checkpoint)."""
+    feats = list(features or feature_columns(items))
+    vec = pack_bits(feats) if binary else dense_vector(feats)
+    I = items.select(F.col(key).alias("key"), F.col(order).alias("rid"), vec.alias("vec"),
+                     F.col("popularity_score").cast("double").alias("pop"),
+                     SC.rating_quality("avg_rating", F.nullif(F.col("num_rates").cast("double"), F.lit(0.0)))
+                     .alias("rq"))
+    M = members.select(F.col(cluster_col).alias("cl"), F.col(key).alias("key")).distinct()
+    P0 = M.join(I, "key")
+    NV = P0.groupBy("cl", "key").agg(F.min_by("vec", "rid").alias("w"))
+    P = cut_lineage(P0.join(NV, ["cl", "key"]).select("cl", "key", "rid", "w", "pop", "rq"))
+    NV = P.groupBy("cl", "key").agg(F.first("w").alias("w"))
+    return M, P, NV
+
+
 def recommend(items: DataFrame, members: DataFrame, inputs: DataFrame | None = None,
               **kw) -> tuple[DataFrame, DataFrame]:
     """Returns ``(recommendations, status)``.
@@ -117,24 +141,11 @@ def recommendation_plan(items: DataFrame, members: DataFrame, inputs: DataFrame
     ``ranges`` (input, pmin, pmax, rmin, rmax, dmin, dmax over the candidates);
     ``exclusions`` (input, cl, rid, key, kind); ``pool``; ``inputs_cluster``.
     """
-    feats = list(features or feature_columns(items))
-    vec = pack_bits(feats) if binary else dense_vector(feats)
     dist = packed_distance if binary else euclidean
-
-    I = items.select(F.col(key).alias("key"), F.col(order).alias("rid"), vec.alias("vec"),
-                     F.col("popularity_score").cast("double").alias("pop"),
-                     SC.rating_quality("avg_rating", F.nullif(F.col("num_rates").cast("double"), F.lit(0.0)))
-                     .alias("rq"))
-    M = members.select(F.col(cluster_col).alias("cl"), F.col(key).alias("key")).distinct()
+    M, P, NV = build_pool(items, members, key=key, order=order, cluster_col=cluster_col,
+                          features=features, binary=binary)
     X = (inputs if inputs is not None else items.select(F.col(key).alias("input"))).select("input").distinct()
 
-    # pool: rows whose name is a member of the cluster; w = vector of the name's first row
-    P0 = M.join(I, "key")
-    NV = P0.groupBy("cl", "key").agg(F.min_by("vec", "rid").alias("w"))
-    # materialised once (reliable checkpoint in the shared folder): every later step reads it
-    P = cut_lineage(P0.join(NV, ["cl", "key"]).select("cl", "key", "rid", "w", "pop", "rq"))
-    NV = P.groupBy("cl", "key").agg(F.first("w").alias("w"))
-
     XC = cluster_of_inputs(X, M)
     XU = cut_lineage(XC.join(NV.withColumnRenamed("key", "input"), ["cl", "input"]).withColumnRenamed("w", "u"))
 

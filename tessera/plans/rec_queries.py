@@ -139,11 +139,14 @@ def cluster_semi_join(spark, sf):
 
 def candidate_antijoin(spark, sf):
     """Per input: candidate names (cluster names minus the input) and candidate rows."""
-    p = plan(spark, sf)
-    names = p["members"].groupBy("cl").agg(F.count(F.lit(1)).alias("n_names"))
-    rows = p["pool"].groupBy("cl").agg(F.count(F.lit(1)).alias("n_rows"))
-    own = p["exclusions"].filter(F.col("kind") == "own").groupBy("input").agg(F.count(F.lit(1)).alias("n_own"))
-    return (p["inputs_cluster"].join(names, "cl").join(rows, "cl").join(own, "input", "left")
+    items, members = clustered(spark, sf)
+    M, P, _ = R.build_pool(items, members)
+    XC = R.cluster_of_inputs(items.select(F.col("game_name").alias("input")).distinct(), M)
+    names = M.groupBy("cl").agg(F.count(F.lit(1)).alias("n_names"))
+    rows = P.groupBy("cl").agg(F.count(F.lit(1)).alias("n_rows"))
+    own = P.join(XC.withColumnRenamed("input", "key"), ["cl", "key"]).groupBy(F.col("key").alias("input")) \
+        .agg(F.count(F.lit(1)).alias("n_own"))
+    return (XC.join(names, "cl").join(rows, "cl").join(own, "input", "left")
             .select("input", F.col("cl").alias("cluster_id"), (F.col("n_names") - 1).alias("candidate_names"),
                     (F.col("n_rows") - F.coalesce(F.col("n_own"), F.lit(0))).alias("candidate_rows")))
 
@@ -169,7 +172,9 @@ def cluster_labels(spark, sf):
 def pairwise_distance(spark, sf):
     """Per cluster: how many ordered row pairs lie at each distance — from distinct-vector
     pairs weighted by their counts, never from row pairs."""
-    G = plan(spark, sf)["groups"]
+    items, members = clustered(spark, sf)
+    _, P, _ = R.build_pool(items, members)
+    G = P.groupBy("cl", "w").agg(F.count(F.lit(1)).alias("cnt"))
     A = G.select("cl", F.col("w").alias("u"), F.col("cnt").alias("cu"))
     pairs = R.blocked_join(A, G, ["cl"], "u").withColumn("d", packed_distance(F.col("u"), F.col("w")))
     return pairs.groupBy("cl", "d").agg(F.sum(F.col("cu") * F.col("cnt")).alias("n_pairs")) \

@@ -138,3 +138,24 @@ def test_matches_brute_force(spark, seed, cap):
     got = {x: [(rid, f) for _, rid, f in sorted(v)] for x, v in got.items()}
     want = brute(rows, members)
     assert {x: v for x, v in want.items() if v} == got
+
+
+def test_extreme_held_by_variant_takes_exact_path(spark):
+    """The only max-popularity row is a ':'-variant of the input: the input's ranges must be
+    recomputed without it (exact path), and results still equal the brute force."""
+    rows = [
+        ("Ark", 1, 0.5, 7.0, 50, bits("000000000")),
+        ("Ark: Big Box", 2, 1.0, 9.0, 500, bits("000000001")),   # sole holder of pmax and rmax
+        ("Bolt", 3, 0.2, 6.0, 20, bits("000000001")),
+        ("Cog", 4, 0.6, 7.5, 100, bits("000000011")),
+        ("Dune", 5, 0.4, 8.0, 60, bits("000000111")),
+        ("Echo", 6, 0.3, 6.5, 30, bits("000001111")),
+    ]
+    members = [(0, r[0]) for r in rows]
+    recs, _ = recommend(_items(spark, rows), _members(spark, members), features=FEATS)
+    got = {}
+    for r in recs.collect():
+        got.setdefault(r["input"], []).append((r["rank"], r["item_id"], round(r["final_score"], 9)))
+    got = {x: [(rid, f) for _, rid, f in sorted(v)] for x, v in got.items()}
+    want = {x: v for x, v in brute(rows, members).items() if v}
+    assert got == want and "Ark" in got
