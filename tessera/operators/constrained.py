@@ -69,6 +69,7 @@ def constrained_clusters(items: DataFrame, features: Sequence[str], constraint_c
     one = [s for s in all_subsets if (s,) not in final]
     if one:
         lab = lab.unionByName(dv.filter(F.col(SUBSET).isin(one)).select(SUBSET, "vec", F.lit(0).alias("label")))
+    lab = cut_lineage(lab)  # one label per distinct vector: computed once, read by both outputs
     labelled_rows = rows.join(lab, [SUBSET, "vec"])
     order_expr = F.when(F.col(SUBSET) == REMAINDER, F.lit(len(constraint_columns)))
     for i, c in enumerate(constraint_columns):
@@ -76,7 +77,8 @@ def constrained_clusters(items: DataFrame, features: Sequence[str], constraint_c
     used = labelled_rows.groupBy(SUBSET, "label").agg(F.count(F.lit(1)).alias("count")) \
         .withColumn("sub_order", order_expr)
     # (subset, label) pairs are few (sum of selected k): a global window over them is bounded
-    used = used.withColumn("cluster_id", (F.row_number().over(Window.orderBy("sub_order", "label")) - 1).cast("int"))
+    used = cut_lineage(used.withColumn(
+        "cluster_id", (F.row_number().over(Window.orderBy("sub_order", "label")) - 1).cast("int")))
     prefix = C.CATEGORY_GROUP_PREFIX + "_"
     parent = F.when(F.col(SUBSET) != REMAINDER, F.regexp_replace(F.col(SUBSET), "^.*" + prefix, ""))
     info = used.select(
