@@ -56,7 +56,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        configured = tempfile.mkdtemp(prefix="tessera-ckpt-")
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: point it at a folder every executor shares")
+        configured = tempfile.mkdtemp(prefix="tessera-ckpt-")  # local mode only (tests, laptops)
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
 
