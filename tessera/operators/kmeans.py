@@ -400,3 +400,17 @@ def mean_vectors(df: DataFrame, group: str, vec: str = "vec", out: str = "c") ->
     means = long.groupBy(group, "i").agg(F.avg("x").alias("m"))
     return means.groupBy(group).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias(out))
+
+
+def silhouette_squared(df: DataFrame, features: Sequence[str], label_col: str) -> float:
+    """Spark ML's silhouette (squared Euclidean, O(n x k) per pass). A *different* metric from
+    the exact Euclidean one reproduced by :func:`silhouette` — offered for callers who
+    choose it explicitly when the distinct-vector set exceeds the exact bound."""
+    from pyspark.ml.evaluation import ClusteringEvaluator
+    from pyspark.ml.feature import VectorAssembler
+
+    x = VectorAssembler(inputCols=list(features), outputCol="__features").transform(
+        df.select(*[F.col(f"`{f}`").cast("double").alias(f) for f in features], F.col(label_col).cast("double")))
+    ev = ClusteringEvaluator(featuresCol="__features", predictionCol=label_col, metricName="silhouette",
+                             distanceMeasure="squaredEuclidean")
+    return float(ev.evaluate(x))

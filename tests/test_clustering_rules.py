@@ -93,3 +93,8 @@ def test_fit_or_load_reuses_saved_model(spark, tmp_path):
     m2, i2 = CO.fit_or_load(empty, ["f1", "f2"], path, mode="reuse")
     assert m2.count() == n1 and i2.count() == i1.count()
     assert set(i2.columns) >= {"cluster_id", "constraint", "is_subcluster", "created_at"}
+
+
+def test_squared_silhouette_option_runs(spark):
+    df = spark.createDataFrame([(0.0, 0.0, 0), (0.1, 0.0, 0), (5.0, 5.0, 1), (5.1, 5.0, 1)], "a double, b double, l int")
+    assert 0.9 < KM.silhouette_squared(df, ["a", "b"], "l") <= 1.0
