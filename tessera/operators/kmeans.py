@@ -163,15 +163,50 @@ def lloyd(x: np.ndarray, w: np.ndarray, cen: np.ndarray, max_iter: int, tol_abs:
     return cen, float((w * d2.min(1)).sum())
 
 
+def kmeans_pp(x: np.ndarray, w: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """Weighted greedy k-means++ seeding: the first centre by weight, then each next centre
+    is the best (lowest resulting potential) of ``2 + ln k`` candidates drawn with
+    probability proportional to weight x squared distance to the chosen centres."""
+    n = len(x)
+    k = min(k, n)
+    x2 = (x * x).sum(1)
+    centres = np.empty((k, x.shape[1]))
+    first = rng.choice(n, p=w / w.sum())
+    centres[0] = x[first]
+    closest = np.maximum(x2 - 2.0 * x @ x[first] + x2[first], 0.0)
+    pot = float(closest @ w)
+    trials = 2 + int(np.log(k)) if k > 1 else 1
+    for c in range(1, k):
+        if pot <= 0.0:  # every point already coincides with a centre
+            centres[c] = x[rng.integers(n)]
+            continue
+        cand = np.searchsorted(np.cumsum(w * closest), rng.uniform(size=trials) * pot)
+        cand = np.minimum(cand, n - 1)
+        d = np.maximum(x2[cand][:, None] - 2.0 * x[cand] @ x.T + x2[None, :], 0.0)
+        np.minimum(d, closest[None, :], out=d)
+        pots = d @ w
+        best = int(np.argmin(pots))
+        pot, closest = float(pots[best]), d[best]
+        centres[c] = x[cand[best]]
+    return centres
+
+
+def _model_rng(seed: int, key, k: int, r: int) -> np.random.Generator:
+    import zlib
+
+    return np.random.default_rng([seed, zlib.crc32(repr(key).encode()), k, r])
+
+
 def kmeans_grid(dv: DataFrame, ks: dict, by: Sequence[str] = (), restarts: int = C.KMEANS_RESTARTS,
                 max_iter: int = C.KMEANS_MAX_ITER, tol: float = C.KMEANS_TOL, seed: int = C.KMEANS_SEED,
                 max_broadcast_cells: int = MAX_BROADCAST_CELLS) -> dict:
     """Fit every (subset, k, restart) model; keep the lowest-inertia restart per (subset, k).
 
     Small distinct-vector sets (vectors x dim <= ``max_broadcast_cells``, checked) are
-    broadcast and the *models* are spread over tasks — each task runs the Lloyd loops of its
-    share of the grid, one Spark job in all. Larger sets use the data-parallel batched Lloyd
-    (one job per iteration over all models)."""
+    broadcast and the *models* are spread over tasks — each task seeds its models with
+    weighted k-means++ (deterministic per model) and runs their Lloyd loops, one Spark job
+    in all. Larger sets use the data-parallel batched Lloyd (one job per iteration over all
+    models) from seeded random starts."""
     n = dv.count()
     dim = len(dv.select("vec").first()["vec"]) if n else 0
     if n * dim <= max_broadcast_cells:
@@ -185,7 +220,6 @@ def _kmeans_grid_model_parallel(dv: DataFrame, ks: dict, by: list[str], restarts
     k_max = max((max(v) for v in ks.values() if v), default=0)
     if k_max == 0:
         return {}
-    seeds = _seed_table(dv, by, restarts, k_max, seed)
     data: dict = {}
     for row in dv.select(*[_c(b) for b in by], "vec", "wt").collect():  # size checked by the caller
         data.setdefault(_key(row, by), []).append((row["vec"], row["wt"]))
@@ -197,10 +231,9 @@ def _kmeans_grid_model_parallel(dv: DataFrame, ks: dict, by: list[str], restarts
         var = (w[:, None] * (x - mu) ** 2).sum(0) / w.sum()
         packed[key] = (x, w, tol * float(var.mean()))
     bc_data = spark.sparkContext.broadcast(packed)
-    bc_seeds = spark.sparkContext.broadcast(seeds)
     specs = [(i, list(sk), k, r) for i, (sk, k, r) in enumerate(
         (sk, k, r) for sk, kl in ks.items() for k in kl for r in range(restarts)
-        if (sk, r) in seeds and k <= len(seeds[(sk, r)]))]
+        if sk in packed and k <= len(packed[sk][0]))]
     if not specs:
         return {}
     tasks = max(spark.sparkContext.defaultParallelism, 1)
@@ -209,13 +242,14 @@ def _kmeans_grid_model_parallel(dv: DataFrame, ks: dict, by: list[str], restarts
     bc_keys = spark.sparkContext.broadcast(keys)
 
     def fit(it):
-        table, sd, kk = bc_data.value, bc_seeds.value, bc_keys.value
+        table, kk = bc_data.value, bc_keys.value
         for pdf in it:
             out = []
             for i, k, r in zip(pdf["i"], pdf["k"], pdf["r"]):
                 sk = kk[int(i)]
                 x, w, tol_abs = table[sk]
-                cen, cost = lloyd(x, w, sd[(sk, int(r))][: int(k)], max_iter, tol_abs)
+                start = kmeans_pp(x, w, int(k), _model_rng(seed, sk, int(k), int(r)))
+                cen, cost = lloyd(x, w, start, max_iter, tol_abs)
                 out.append((int(i), float(cost), cen.ravel().tolist()))
             yield pd.DataFrame(out, columns=["i", "cost", "cen"])
 
@@ -226,7 +260,7 @@ def _kmeans_grid_model_parallel(dv: DataFrame, ks: dict, by: list[str], restarts
         cen = np.array(row["cen"]).reshape(k, -1)
         if (sk, k) not in best or row["cost"] < best[(sk, k)][1]:
             best[(sk, k)] = (cen, row["cost"])
-    for b in (bc_data, bc_seeds, bc_keys):
+    for b in (bc_data, bc_keys):
         b.unpersist()
     return best
 

@@ -98,3 +98,15 @@ def test_fit_or_load_reuses_saved_model(spark, tmp_path):
 def test_squared_silhouette_option_runs(spark):
     df = spark.createDataFrame([(0.0, 0.0, 0), (0.1, 0.0, 0), (5.0, 5.0, 1), (5.1, 5.0, 1)], "a double, b double, l int")
     assert 0.9 < KM.silhouette_squared(df, ["a", "b"], "l") <= 1.0
+
+
+def test_kmeans_pp_seeding_is_deterministic_and_spread():
+    rng = np.random.default_rng(0)
+    x = np.vstack([rng.normal(0, 0.1, (20, 2)), rng.normal(5, 0.1, (20, 2)), rng.normal((0, 5), 0.1, (20, 2))])
+    w = np.ones(len(x))
+    a = KM.kmeans_pp(x, w, 3, np.random.default_rng(42))
+    b = KM.kmeans_pp(x, w, 3, np.random.default_rng(42))
+    assert np.array_equal(a, b)
+    assert all(any(np.allclose(c, p) for p in x) for c in a)          # centres are data points
+    blobs = {tuple(np.round(c / 5).astype(int)) for c in a}
+    assert blobs == {(0, 0), (1, 1), (0, 1)}                          # one seed per blob
