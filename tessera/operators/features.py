@@ -239,9 +239,9 @@ def _encoded_language(mapping: dict | None = None) -> Column:
 
 def pipeline_vocabularies(df: DataFrame, max_values: int = MAX_VOCABULARY) -> dict[str, list[str]]:
     """Every one-hot vocabulary of :func:`prepare_features`, each over exactly the rows that
-    reach its step, in ONE distributed aggregate: categories are exploded (outer) once and
-    every vocabulary is a conditional ``collect_set`` (partial sets are bounded by the
-    vocabulary size). Sizes are checked before use."""
+    reach its step, in ONE distributed job: (vocabulary, value) pairs are de-duplicated by a
+    shuffle on the pair, and at most ``5 * max_values + 1`` of them are fetched — so neither
+    one task nor the driver ever holds an unbounded vocabulary; an oversized one raises."""
     age, dur, dif = _bucket_exprs()
     unk = F.lit(C.UNKNOWN_BUCKET)
     staged = quality_filter(df).select(age.alias("a"), dur.alias("d"), dif.alias("f"),
@@ -250,15 +250,14 @@ def pipeline_vocabularies(df: DataFrame, max_values: int = MAX_VOCABULARY) -> di
     ok_a = F.col("a") != unk
     ok_d = ok_a & (F.col("d") != unk)
     ok_f = ok_d & (F.col("f") != unk)
-    row = staged.agg(
-        F.collect_set(F.when(ok_a, F.col("a"))).alias("a"),
-        F.collect_set(F.when(ok_d, F.col("d"))).alias("d"),
-        F.collect_set(F.when(ok_f, F.col("f"))).alias("f"),
-        F.collect_set(F.when(ok_f, F.col("cat"))).alias("cat"),
-        F.collect_set(F.when(ok_f, F.col("lang"))).alias("lang"),
-    ).first()
-    out = {C.AGE_PREFIX: row["a"], C.DURATION_PREFIX: row["d"], C.DIFFICULTY_PREFIX: row["f"],
-           C.CATEGORY_PREFIX: row["cat"], C.LANGUAGE_PREFIX: row["lang"]}
+    kinds = [(C.AGE_PREFIX, ok_a, "a"), (C.DURATION_PREFIX, ok_d, "d"), (C.DIFFICULTY_PREFIX, ok_f, "f"),
+             (C.CATEGORY_PREFIX, ok_f, "cat"), (C.LANGUAGE_PREFIX, ok_f, "lang")]
+    pairs = F.array(*[F.struct(F.lit(k).alias("kind"), F.when(ok, F.col(c)).alias("value")) for k, ok, c in kinds])
+    vocab = (staged.select(F.explode(pairs).alias("p")).select("p.*").filter(F.col("value").isNotNull())
+             .distinct().limit(len(kinds) * max_values + 1).collect())
+    out: dict[str, list[str]] = {k: [] for k, _, _ in kinds}
+    for r in vocab:
+        out[r["kind"]].append(r["value"])
     for k, v in out.items():
         if len(v) > max_values:
             raise ValueError(f"one-hot vocabulary {k} exceeds {max_values} values")
