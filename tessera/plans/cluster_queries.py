@@ -317,7 +317,33 @@ def _oracles() -> dict[str, str]:
     emb = ("e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS vec FROM embeddings), "
            "ed AS (SELECT label, i, AVG(vec[i]) AS m FROM e, range(1, len(vec) + 1) t(i) GROUP BY label, i), "
            "ec AS (SELECT label, list(m ORDER BY i) AS c FROM ed GROUP BY label)")
+    cos = lambda a, b: (f"(CASE WHEN list_dot_product({a}, {a}) = 0 OR list_dot_product({b}, {b}) = 0 THEN 0.0 "
+                        f"ELSE list_dot_product({a}, {b}) / (sqrt(list_dot_product({a}, {a})) * "
+                        f"sqrt(list_dot_product({b}, {b}))) END)")
+    new_bin = "struct_pack(members := [o.game_name], s := o.vec, n := 1, c := o.vec)"
+    grown = ("struct_pack(members := list_append(b.members, o.game_name), "
+             "s := list_transform(list_zip(b.s, o.vec), lambda z: z[1] + z[2]), n := b.n + 1, "
+             "c := list_transform(list_zip(b.s, o.vec), lambda z: round_even((z[1] + z[2]) / (b.n + 1), 0)))")
+    bins = (
+        f"WITH RECURSIVE {S.prepared_ctes()}, "
+        f"it AS (SELECT game_id, game_name, {vec} AS vec FROM prepared), "
+        "bi AS (SELECT DISTINCT l.l_orderkey AS basket, it.game_id, it.game_name, it.vec FROM lineitem l "
+        "JOIN it ON it.game_id = l.l_partkey), "
+        "ord AS (SELECT *, row_number() OVER (PARTITION BY basket ORDER BY game_id) AS pos FROM bi), "
+        f"fold AS (SELECT basket, pos, [{new_bin.replace('o.', '')}] AS bins FROM ord WHERE pos = 1 "
+        "UNION ALL SELECT basket, pos, CASE WHEN best = 0 THEN list_append(bins, "
+        f"{new_bin}) ELSE list_transform(bins, lambda b, i: CASE WHEN i = best THEN {grown} ELSE b END) END "
+        "FROM (SELECT o.basket, o.pos, o.game_name, o.vec, f.bins, "
+        f"CASE WHEN list_max(list_transform(f.bins, lambda b: {cos('o.vec', 'b.c')})) > {C.BIN_THRESHOLD} "
+        f"THEN list_position(list_transform(f.bins, lambda b: {cos('o.vec', 'b.c')}), "
+        f"list_max(list_transform(f.bins, lambda b: {cos('o.vec', 'b.c')}))) ELSE 0 END AS best "
+        "FROM fold f JOIN ord o ON o.basket = f.basket AND o.pos = f.pos + 1) o), "
+        "last AS (SELECT basket, bins FROM fold QUALIFY row_number() OVER (PARTITION BY basket ORDER BY pos DESC) = 1), "
+        "ub AS (SELECT basket, unnest(bins) AS b, generate_subscripts(bins, 1) AS bin_id FROM last) "
+        "SELECT basket, CAST(bin_id AS INTEGER) AS bin_id, CAST(b.n AS INTEGER) AS size, b.members AS members, "
+        "CAST(b.c AS BIGINT[]) AS centroid FROM ub")
     return {
+        "basket_bins": bins,
         "cluster_profile": f"{items}, {long}, {top}, {smp}, {cnt} SELECT cluster, count, top_features, sample "
                            "FROM ct JOIN tp USING (cluster) JOIN sp USING (cluster)",
         "cluster_description": (
