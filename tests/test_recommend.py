@@ -170,3 +170,30 @@ def test_salted_path_matches_brute_force(spark):
         got.setdefault(r["input"], []).append((r["rank"], r["item_id"], round(r["final_score"], 9)))
     got = {x: [(rid, f) for _, rid, f in sorted(v)] for x, v in got.items()}
     assert got == {x: v for x, v in brute(rows, members).items() if v}
+
+
+def variant_heavy_catalogue(seed):
+    """Few bases, many ':'-variants (incl. 'Name:' and lower-case), padded names, names in
+    two clusters, and tied popularity/rating values at the extremes."""
+    rnd = random.Random(seed)
+    bases = ["Ark", "Bolt", "Cog"]
+    rows, members = [], set()
+    for rid in range(1, rnd.randint(40, 120)):
+        b = rnd.choice(bases)
+        name = rnd.choice([b, f"{b}: X", f"{b}: X: Y", f"{b}:", f"{b.lower()}: z", f"{b}  "])
+        vec = [rnd.randint(0, 1) if i < rnd.choice([2, 3, 5]) else 0 for i in range(9)]
+        rows.append((name, rid, rnd.choice([0.1, 0.5, 1.0]), rnd.choice([6.0, 9.0]), rnd.choice([20, 400]), vec))
+        for _ in range(rnd.randint(1, 2)):
+            members.add((rnd.randint(0, 3), name))
+    return rows, sorted(members)
+
+
+@pytest.mark.parametrize("seed,cap", [(20, 32), (23, 1)])
+def test_variant_heavy_matches_brute_force(spark, seed, cap):
+    rows, members = variant_heavy_catalogue(seed)
+    recs, _ = recommend(_items(spark, rows), _members(spark, members), features=FEATS, exclusion_cap=cap)
+    got = {}
+    for r in recs.collect():
+        got.setdefault(r["input"], []).append((r["rank"], r["item_id"], round(r["final_score"], 9)))
+    got = {x: [(rid, f) for _, rid, f in sorted(v)] for x, v in got.items()}
+    assert got == {x: v for x, v in brute(rows, members).items() if v}
