@@ -7,9 +7,9 @@ stage's documents.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tessera.llm import quality
+from tessera.llm import decontaminate, pieces, pii, quality, simhash
 from tessera.llm.common import stage
 from tessera.sources.tables import read_table
 
@@ -19,8 +19,34 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.quality_filter(docs)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each SimHash component stays: that with the smallest doc_id."""
+    return simhash.keep_one(docs)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain a benchmark item go."""
+    return decontaminate.decontaminate(docs, read_table(spark, sf_dir, "benchmark"))
+
+
+def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Entities get surrogates; ``n_chars`` follows the new text."""
+    out = pii.anonymise(docs)
+    changed = F.length("text").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None
+    return out if changed is None else out.select(*[changed.alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+
+
+def sentencepiece_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document with the ids of its pieces."""
+    return pieces.with_tokens(docs)
+
+
 STAGES = [
     ("quality_rules", quality_rules),
+    ("near_dedup", near_dedup),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("private_data", private_data),
+    ("sentencepiece_tokens", sentencepiece_tokens),
 ]
 
 #: The stages use iterative estimates, bit fingerprints and keyed surrogates: not expressible in SQL.

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontaminate, quality, simhash
+from tessera.llm import decontaminate, pieces, pii, quality, simhash
 from tessera.sources.tables import read_table
 
 
@@ -20,7 +20,18 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op5_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.anonymise(docs, count="n_entities")
+
+
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.tokens(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op5_pii_surrogates": op5_pii_surrogates,
+    "op9_sentencepiece": op9_sentencepiece,
     "op2_simhash": op2_simhash,
     "op8_decontamination": op8_decontamination,
     "op10_quality_rules": op10_quality_rules,
