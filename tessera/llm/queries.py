@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontaminate, pieces, pii, quality, simhash
+from tessera.llm import decontaminate, html_text, pieces, pii, quality, sharding, simhash
 from tessera.sources.tables import read_table
 
 
@@ -29,7 +29,17 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.tokens(read_table(spark, sf_dir, "documents"))
 
 
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_manifest(read_table(spark, sf_dir, "documents"))
+
+
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(read_table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
+    "op3_sharding": op3_sharding,
+    "op7_html_text": op7_html_text,
     "op5_pii_surrogates": op5_pii_surrogates,
     "op9_sentencepiece": op9_sentencepiece,
     "op2_simhash": op2_simhash,
