@@ -213,7 +213,7 @@ def scores(page: list[Block]) -> dict[str, float]:
         prose = max(0, size - 2 * b.links)
         worth = prose if size >= SHORT or b.tag in HEADINGS or b.tag == "p" else prose * 0.3
         worth -= 0.5 * min(size, b.links)
-        for (number, path, good, _) in enumerate(b.chain):
+        for number, path, good, _ in b.chain:
             own[number] += worth
             path_of[number] = (path, good)
     out: dict[str, float] = {}
