@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontaminate, html_text, pieces, pii, quality, sharding, simhash
+from tessera.llm import decontaminate, html_text, langid, maxent_lm, pieces, pii, quality, sharding, simhash, toxicity
 from tessera.sources.tables import read_table
 
 
@@ -37,7 +37,22 @@ def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.main_text(read_table(spark, sf_dir, "pages"))
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.language_id(read_table(spark, sf_dir, "documents"))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent_lm.lm_scores(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op1_language_id": op1_language_id,
+    "op4_toxicity": op4_toxicity,
+    "op6_lm_scoring": op6_lm_scoring,
     "op3_sharding": op3_sharding,
     "op7_html_text": op7_html_text,
     "op5_pii_surrogates": op5_pii_surrogates,
