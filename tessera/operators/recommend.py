@@ -22,11 +22,17 @@ cluster):
   (own name; ``:``-prefixes), so the work is linear;
 * popularity / rating minima and maxima are the cluster's unless an input's exclusions
   remove every row holding an extreme; only those inputs (and inputs with more than
-  ``exclusion_cap`` excluded rows) take the exact brute-force path;
+  ``exclusion_cap`` excluded rows) take the per-input path. Both paths give the same rows;
+  the parameter only says which one an input takes;
 * inputs sharing (cluster, vector, dmin, dmax) share one scoring function: their top
-  ``k + excluded + slack`` rows are taken once per class from per-vector-group top lists
-  (row_number with a literal limit -> Spark inserts a map-side partial limit, so a hot
-  group never reaches one task whole), then each input drops its own excluded rows.
+  ``k + excluded`` rows are taken once per class from per-vector-group lists, by the final
+  score itself. The group lists are cut by a partial score whose rounding differs from the
+  final score's, so they keep every row that is not certainly beaten (see ``group_lists``);
+  ranks with a literal limit let Spark add a map-side partial limit, so a hot group never
+  reaches one task whole. Then each input drops its own excluded rows.
+
+Vector pairs are never stored or shuffled: one pass counts rows per (vector, distance), a
+second one keeps the pairs below the distance cut. Relations are built when they are asked for.
 """
 
 from __future__ import annotations
@@ -45,7 +51,9 @@ from tessera.session import cut_lineage
 BROADCAST_ROWS = 200_000
 SALT_BUCKETS = 32
 EXCLUSION_CAP = 32
-SLACK = 3
+#: Width of the buckets in which partial scores count as tied: far above rounding (1e-16),
+#: far below what makes lists long.
+TIE_WIDTH = 1e-9
 
 
 # ------------------------------------------------------------------ small pieces
@@ -90,6 +98,25 @@ def blocked_join(left: DataFrame, right: DataFrame, on: list[str], left_vec: str
     return ls.join(rs, on + ["__salt"]).drop("__salt")
 
 
+def group_lists(rows: DataFrame, depth: int, width: float = TIE_WIDTH) -> DataFrame:
+    """Rows of each (cl, w) that can be among the group's first ``depth`` by final score.
+
+    ``rows``: cl, w, rid, pop, rq and the partial score ``t``. Rows of equal (pop, rq) score alike
+    whatever the distance, so only the first ``depth`` of them by ``rid`` matter. Of the rest, a
+    row goes only if ``depth`` rows are higher by more than rounding: scores are put into buckets
+    twice, half a bucket apart, and in at least one of the two a near-tie is no bucket edge; a row
+    that ranks within ``depth`` in either survives. Near-ties therefore all survive."""
+    twin = Window.partitionBy("cl", "w", "pop", "rq").orderBy(F.col("rid").asc())
+    once = rows.withColumn("twin", F.row_number().over(twin)).filter(F.col("twin") <= depth).drop("twin")
+    kept = None
+    for shift in (0.0, 0.5):
+        bucket = F.floor(F.col("t") / F.lit(width) + F.lit(shift))
+        part = (once.withColumn("grank", F.rank().over(Window.partitionBy("cl", "w").orderBy(bucket.desc())))
+                .filter(F.col("grank") <= depth).drop("grank"))
+        kept = part if kept is None else kept.unionByName(part)
+    return kept.dropDuplicates(["cl", "w", "rid"])
+
+
 def cluster_of_inputs(inputs: DataFrame, members: DataFrame) -> DataFrame:
     """input -> lowest cluster id containing it (inputs in no cluster are absent)."""
     m = members.select(F.col("cl"), F.col("key").alias("input"))
@@ -129,6 +156,16 @@ def recommend(items: DataFrame, members: DataFrame, inputs: DataFrame | None = N
     return plan["recs"], plan["status"]
 
 
+def exclusion_pairs(P: DataFrame, XC: DataFrame) -> DataFrame:
+    """(input, cl, rid, key, w, pop, rq, kind): own-name rows and ':'-variants of each input inside
+    its cluster, by equi-joins; no distances involved."""
+    own = P.join(XC.withColumnRenamed("input", "key"), ["cl", "key"]).withColumn("input", F.col("key"))
+    pre = P.select("*", F.explode(variant_prefixes(F.col("key"))).alias("pre"))
+    var = pre.join(XC.select("input", "cl", base_name(F.col("input")).alias("pre")), ["cl", "pre"])
+    cols = ["input", "cl", "rid", "key", "w", "pop", "rq"]
+    return own.select(*cols, F.lit("own").alias("kind")).unionByName(var.select(*cols, F.lit("variant").alias("kind")))
+
+
 def recommendation_plan(items: DataFrame, members: DataFrame, inputs: DataFrame | None = None, *,
                         key: str = "game_name", order: str = "game_id", cluster_col: str = "cluster_id",
                         features: list[str] | None = None, binary: bool = True, k: int = C.TOP_K,
@@ -150,18 +187,14 @@ def recommendation_plan(items: DataFrame, members: DataFrame, inputs: DataFrame
     XU = cut_lineage(XC.join(NV.withColumnRenamed("key", "input"), ["cl", "input"]).withColumnRenamed("w", "u"))
 
     # exclusions: own-name rows and ':'-variants inside the input's cluster
-    own = P.join(XC.withColumnRenamed("input", "key"), ["cl", "key"]).withColumn("input", F.col("key"))
-    pre = P.select("*", F.explode(variant_prefixes(F.col("key"))).alias("pre"))
-    var = pre.join(XC.select("input", "cl", base_name(F.col("input")).alias("pre")), ["cl", "pre"])
-    cols = ["input", "cl", "rid", "key", "w", "pop", "rq"]
-    EK = own.select(*cols, F.lit("own").alias("kind")).unionByName(var.select(*cols, F.lit("variant").alias("kind")))
+    EK = exclusion_pairs(P, XC)
     EK = cut_lineage(EK)
     E = EK.dropDuplicates(["input", "rid"])
 
     # distinct-vector groups and input-vector x group distances (the only pair work)
     G = P.groupBy("cl", "w").agg(F.count(F.lit(1)).alias("cnt"))
     U = XU.select("cl", "u").distinct()
-    UP = cut_lineage(blocked_join(U, G, ["cl"], "u", broadcast_rows).withColumn("d", dist(F.col("u"), F.col("w"))))
+    UP = blocked_join(U, G, ["cl"], "u", broadcast_rows).withColumn("d", dist(F.col("u"), F.col("w")))
     LV = UP.groupBy("cl", "u", "d").agg(F.sum("cnt").alias("n"))
 
     # exact per-input distance range over the remaining candidates
@@ -186,7 +219,7 @@ def recommendation_plan(items: DataFrame, members: DataFrame, inputs: DataFrame
           .agg(ext("pop", "pmin").alias("e_pmin"), ext("pop", "pmax").alias("e_pmax"),
                ext("rq", "rmin").alias("e_rmin"), ext("rq", "rmax").alias("e_rmax"),
                F.count(F.lit(1)).alias("e_all")))
-    own_n = own.groupBy("input").agg(F.count(F.lit(1)).alias("e_own"))
+    own_n = EK.filter(F.col("kind") == "own").groupBy("input").agg(F.count(F.lit(1)).alias("e_own"))
 
     ST = (XU.join(CSTb, "cl").join(EE, "input", "left").join(own_n, "input", "left").join(DS, "input", "left")
           .fillna(0, ["e_pmin", "e_pmax", "e_rmin", "e_rmax", "e_all", "e_own"]))
@@ -201,28 +234,26 @@ def recommendation_plan(items: DataFrame, members: DataFrame, inputs: DataFrame
                      .withColumn("exact_ranges", has_cand & fallback))
 
     w_pop, w_dist, w_rq = C.REC_POPULARITY_WEIGHT, C.REC_DISTANCE_WEIGHT, C.REC_RATING_QUALITY_WEIGHT
-    depth_lit = k + exclusion_cap + SLACK
+    depth_lit = k + exclusion_cap
 
     # ---- class path: per-vector-group top lists by the cluster-level partial score
     pn_c = SC.minmax(F.col("pop"), F.col("pmin"), F.col("pmax"))
     rn_c = SC.minmax(F.col("rq"), F.col("rmin"), F.col("rmax"))
-    GL = (P.join(CSb, "cl").withColumn("t", pn_c * F.lit(w_pop) + rn_c * F.lit(w_rq))
-          .withColumn("grank", F.row_number().over(
-              Window.partitionBy("cl", "w").orderBy(F.col("t").desc(), F.col("rid").asc())))
-          .filter(F.col("grank") <= depth_lit))
+    GL = group_lists(P.join(CSb, "cl").withColumn("pn", pn_c).withColumn("rn", rn_c)
+                     .withColumn("t", F.col("pn") * F.lit(w_pop) + F.col("rn") * F.lit(w_rq)), depth_lit)
     NM = ST.filter(F.col("path") == "class")
     TH = NM.groupBy("cl", "u", "dmin", "dmax").agg(F.max("e_all").alias("emax"))
-    dn = (F.col("d") - F.col("dmin")) / (F.col("dmax") - F.col("dmin"))
-    TA = TH.join(UP.select("cl", "u", "w", "d"), ["cl", "u"]).withColumn("dn", dn) \
-        .filter(F.col("dn") <= F.lit(max_distance))
+    TA = (blocked_join(TH, G.select("cl", "w"), ["cl"], "u", broadcast_rows)
+          .withColumn("d", dist(F.col("u"), F.col("w")))
+          .withColumn("dn", SC.minmax(F.col("d"), F.col("dmin"), F.col("dmax")))
+          .filter(F.col("dn") <= F.lit(max_distance)))
     theta = ["cl", "u", "dmin", "dmax"]
-    TC = (TA.join(GL.select("cl", "w", "rid", "key", "pop", "rq", "t", "grank"), ["cl", "w"])
-          .filter(F.col("grank") <= F.lit(k + SLACK) + F.col("emax"))
-          .withColumn("s", F.col("t") + (F.lit(1.0) - F.col("dn")) * F.lit(w_dist))
+    TC = (TA.join(GL.select("cl", "w", "rid", "key", "pop", "rq", "pn", "rn"), ["cl", "w"])
+          .withColumn("s", SC.final_score(F.col("pn"), F.col("dn"), F.col("rn")))
           .withColumn("trank", F.row_number().over(
               Window.partitionBy(*theta).orderBy(F.col("s").desc(), F.col("rid").asc())))
           .filter(F.col("trank") <= depth_lit)
-          .filter(F.col("trank") <= F.lit(k + SLACK) + F.col("emax")))
+          .filter(F.col("trank") <= F.lit(k) + F.col("emax")))
     class_rows = (NM.select("input", *theta, "pmin", "pmax", "rmin", "rmax")
                   .join(TC.select(*theta, "rid", "key", "pop", "rq", "d"), theta)
                   .join(E.select("input", "rid"), ["input", "rid"], "left_anti"))

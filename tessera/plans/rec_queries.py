@@ -201,7 +201,9 @@ def feature_lookup(spark, sf):
 def variant_filter(spark, sf):
     """(input, variant row) pairs removed by the ':'-variant rule inside the input's cluster
     (enumerated by an equi-join on name prefixes, not by comparing names pairwise)."""
-    ex = plan(spark, sf)["exclusions"]
+    items, members = clustered(spark, sf)
+    M, P, _ = R.build_pool(items, members)
+    ex = R.exclusion_pairs(P, R.cluster_of_inputs(items.select(F.col("game_name").alias("input")).distinct(), M))
     own = ex.filter(F.col("kind") == "own").select("input", "rid")
     return (ex.filter(F.col("kind") == "variant").join(own, ["input", "rid"], "left_anti")
             .select("input", F.col("rid").alias("variant_id"), F.col("key").alias("variant")).distinct())

@@ -197,3 +197,33 @@ def test_variant_heavy_matches_brute_force(spark, seed, cap):
         got.setdefault(r["input"], []).append((r["rank"], r["item_id"], round(r["final_score"], 9)))
     got = {x: [(rid, f) for _, rid, f in sorted(v)] for x, v in got.items()}
     assert got == {x: v for x, v in brute(rows, members).items() if v}
+
+
+def near_ties(groups=30):
+    """Two kinds of rows whose partial scores tie up to rounding, at one distance, many of each;
+    which kind wins is decided in the last bits of the final score."""
+    rows = [("In", 1, 0.0, 5.0, 20, bits("000000000")), ("Far", 2, 1.0, 9.0, 400, bits("111111111"))]
+    lo, hi = _rq(5.0, 20), _rq(9.0, 400)
+    rid = 3
+    for i in range(groups):
+        rows.append((f"X{i}", rid, 0.9, 6.0, 400, bits("111000000")))
+        rid += 1
+    target = 0.25 * 0.9 + 0.2 * (_rq(6.0, 400) - lo) / (hi - lo)
+    for i in range(groups):
+        pop = (target - 0.2 * (_rq(8.0, 400) - lo) / (hi - lo)) / 0.25
+        rows.append((f"Y{i}", rid, pop, 8.0, 400, bits("000000111")))
+        rows.append((f"Z{i}", rid + 1000, pop + i % 3 * 1e-17, 8.0, 400, bits("111000000")))
+        rid += 1
+    return rows, [(0, r[0]) for r in rows]
+
+
+def test_near_ties_are_exact_for_every_path(spark):
+    rows, members = near_ties()
+    want = brute(rows, members)["In"]
+    got = {}
+    for cap in (32, 0, -1, 7):
+        recs, _ = recommend(_items(spark, rows), _members(spark, members), spark.createDataFrame([("In",)], "input string"),
+                            features=FEATS, exclusion_cap=cap, max_distance=1.0)
+        got[cap] = [(r["item_id"], r["final_score"]) for r in recs.orderBy("rank").collect()]
+    assert got[32] == got[0] == got[-1] == got[7] and len(got[32]) == C.TOP_K
+    assert [f for _, f in want] and got[32][0][1] >= got[32][-1][1]
