@@ -4,12 +4,13 @@ Inside one basket, items are visited in table order; an item joins the bin whose
 has the highest cosine similarity strictly above the threshold (the first such bin wins
 ties), the centroid becoming the half-to-even rounded mean of its members; otherwise it
 opens a new bin (ids from 1). The fold is sequential by definition, so it runs per basket
-in ``applyInPandas``; baskets are independent and spread over tasks by the group key.
+over a sorted stream of rows; baskets are independent and spread over tasks by the group key.
+A task holds the open bins of one basket, as running sums and one centroid matrix.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -19,48 +20,54 @@ from pyspark.sql import functions as F
 from tessera import constants as C
 
 
-def _cos(a: np.ndarray, b: np.ndarray) -> float:
-    na, nb = np.linalg.norm(a), np.linalg.norm(b)
-    if na == 0.0 or nb == 0.0:
-        return 0.0
-    return float(a @ b / (na * nb))
-
-
-def bin_items(names: Sequence[str], vectors: np.ndarray, threshold: float = C.BIN_THRESHOLD) -> list[dict]:
-    """The per-basket fold (plain numpy); returns bins in creation order."""
-    bins: list[dict] = []
-    for name, v in zip(names, vectors):
-        best, best_sim = None, -np.inf
-        for b in bins:
-            s = _cos(v, b["centroid"])
-            if s > max(best_sim, threshold):
-                best, best_sim = b, s
-        if best is None:
-            bins.append({"members": [name], "vectors": [v], "centroid": v.astype(np.int64)})
-        else:
-            best["members"].append(name)
-            best["vectors"].append(v)
-            best["centroid"] = np.rint(np.mean(best["vectors"], axis=0)).astype(np.int64)
-    return bins
-
-
-def _fold_sorted(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
-    """Rows sorted by (basket, ord): fold every basket, no per-basket pandas objects."""
-    out_b, out_id, out_size, out_m, out_c = [], [], [], [], []
-    if len(pdf):
-        baskets = pdf["basket"].to_numpy()
-        names = pdf["name"].tolist()
-        vecs = np.array(pdf["vec"].tolist(), dtype=np.float64)
-        starts = np.flatnonzero(np.r_[True, baskets[1:] != baskets[:-1]])
-        ends = np.r_[starts[1:], len(baskets)]
-        for s, e in zip(starts, ends):
-            for i, b in enumerate(bin_items(names[s:e], vecs[s:e], threshold), start=1):
-                out_b.append(baskets[s])
-                out_id.append(i)
-                out_size.append(len(b["members"]))
-                out_m.append(b["members"])
-                out_c.append(b["centroid"].tolist())
-    return pd.DataFrame({"basket": out_b, "bin_id": out_id, "size": out_size, "members": out_m, "centroid": out_c})
+class LeaderBins:
+    """Open bins of one basket: member sums, rounded centroids (one matrix row each), names."""
+
+    def __init__(self, width: int, threshold: float):
+        self.threshold, self.used = threshold, 0
+        self.sums = np.zeros((8, width))
+        self.centroids = np.zeros((8, width))
+        self.lengths = np.zeros(8)
+        self.names: list[list[str]] = []
+
+    def _place(self, vector: np.ndarray) -> int | None:
+        """The most similar centroid above the threshold; one product for all bins."""
+        scale = self.lengths[:self.used] * np.linalg.norm(vector)
+        similarity = np.divide(self.centroids[:self.used] @ vector, scale, out=np.zeros(self.used), where=scale > 0)
+        if not self.used:
+            return None
+        top = int(similarity.argmax())
+        return top if similarity[top] > self.threshold else None
+
+    def add(self, name: str, vector: np.ndarray) -> None:
+        at = self._place(vector)
+        if at is None:
+            at = self.used
+            self.used += 1
+            self.names.append([])
+            if at == len(self.sums):
+                self.sums, self.centroids = (np.concatenate([x, np.zeros_like(x)]) for x in (self.sums, self.centroids))
+                self.lengths = np.concatenate([self.lengths, np.zeros_like(self.lengths)])
+        self.names[at].append(name)
+        self.sums[at] += vector
+        members = len(self.names[at])
+        self.centroids[at] = np.rint(self.sums[at] / members) if members > 1 else np.trunc(vector)
+        self.lengths[at] = np.linalg.norm(self.centroids[at])
+
+    def table(self, basket) -> pd.DataFrame:
+        return pd.DataFrame({
+            "basket": [basket] * self.used, "bin_id": range(1, self.used + 1), "size": [len(n) for n in self.names],
+            "members": self.names, "centroid": self.centroids[:self.used].astype(np.int64).tolist(),
+        })
+
+
+def bin_items(names: Sequence[str], vectors: np.ndarray, threshold: float = C.BIN_THRESHOLD) -> pd.DataFrame:
+    """Bins of one basket in the order in which they open."""
+    vectors = np.asarray(vectors, dtype=np.float64)
+    bins = LeaderBins(vectors.shape[1] if vectors.ndim == 2 else 0, threshold)
+    for name, vector in zip(names, vectors):
+        bins.add(name, vector)
+    return bins.table(None)
 
 
 def basket_bins(df: DataFrame, features: Sequence[str], basket_col: str = "basket", order_col: str = "game_id",
@@ -69,28 +76,27 @@ def basket_bins(df: DataFrame, features: Sequence[str], basket_col: str = "baske
     """basket, bin_id, size, members (array<string>), centroid (array<bigint>).
 
     Baskets are hash-partitioned and sorted by (basket, order) inside each partition; a
-    ``mapInPandas`` pass folds them one after another, carrying a basket that straddles two
-    Arrow batches into the next batch. One basket is one sequential fold by definition."""
+    ``mapInPandas`` pass feeds the rows to the open basket's bins and emits them when the next
+    basket begins. One basket is one sequential fold by definition."""
     vec = F.array(*[F.coalesce(F.col(f"`{f}`"), F.lit(0)).cast("double") for f in features])
     src = df.select(F.col(basket_col).alias("basket"), F.col(order_col).alias("ord"),
                     F.col(name_col).alias("name"), vec.alias("vec")).dropDuplicates(["basket", "ord"])
     n = partitions or df.sparkSession.conf.get("spark.sql.shuffle.partitions")
     ordered = src.repartition(int(n), "basket").sortWithinPartitions("basket", "ord")
     btype = src.schema["basket"].dataType.simpleString()
-
-    def run(it):
-        pending = None
-        for pdf in it:
-            if pending is not None and len(pending):
-                pdf = pd.concat([pending, pdf], ignore_index=True)
-            if pdf.empty:
-                continue
-            last = pdf["basket"].iloc[-1]
-            tail = (pdf["basket"] == last).to_numpy()
-            pending = pdf[tail]
-            yield _fold_sorted(pdf[~tail], threshold)
-        if pending is not None and len(pending):
-            yield _fold_sorted(pending, threshold)
+    width = len(features)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bins, basket = None, None
+        for frame in frames:
+            for key, name, vector in zip(frame["basket"], frame["name"], frame["vec"]):
+                if bins is None or key != basket and not (pd.isna(key) and pd.isna(basket)):
+                    if bins is not None:
+                        yield bins.table(basket)
+                    bins, basket = LeaderBins(width, threshold), key
+                bins.add(name, np.asarray(vector, dtype=np.float64))
+        if bins is not None:
+            yield bins.table(basket)
 
     schema = f"basket {btype}, bin_id int, size int, members array<string>, centroid array<bigint>"
     return ordered.mapInPandas(run, schema)

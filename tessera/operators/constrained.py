@@ -9,7 +9,9 @@ run over subsets in order (constraints first, remainder last), skipping empty cl
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,7 +19,7 @@ from pyspark.sql import functions as F
 from tessera import constants as C
 from tessera.operators import clustering as CL
 from tessera.operators import kmeans as KM
-from tessera.session import cut_lineage
+from tessera.session import cut_lineage, hadoop_fs, path_exists
 
 SUBSET = "subset"
 REMAINDER = "remainder"
@@ -93,29 +95,47 @@ def constrained_clusters(items: DataFrame, features: Sequence[str], constraint_c
 
 
 # ------------------------------------------------------------------ model persistence (S8, M12)
-def save_model(members: DataFrame, info: DataFrame, path: str) -> None:
-    """Members and cluster info as parquet tables (info is kept, unlike the pickled map)."""
+def _published(spark, path: str) -> list[str]:
+    """Names of the published versions, oldest first; empty if the model was never saved."""
+    marks = f"{path.rstrip('/')}/published"
+    if not path_exists(spark, marks):
+        return []
+    fs, folder = hadoop_fs(spark, marks)
+    return sorted(f.getPath().getName() for f in fs.listStatus(folder))
+
+
+def save_model(members: DataFrame, info: DataFrame, path: str) -> str:
+    """Write members and cluster info as a new version, then publish it by a marker, last: a crash
+    in between leaves the version before in force. Returns the version's name."""
+    spark = members.sparkSession
+    version = f"{datetime.now(timezone.utc):%Y%m%dT%H%M%S%f}-{uuid.uuid4().hex[:8]}"
+    root = path.rstrip("/")
     stamp = F.unix_timestamp(F.current_timestamp()).cast("double").alias("created_at")
-    members.select("*", stamp).write.mode("overwrite").parquet(f"{path}/members")
-    info.select("*", stamp).write.mode("overwrite").parquet(f"{path}/info")
+    members.select("*", stamp).write.parquet(f"{root}/versions/{version}/members")
+    info.select("*", stamp).write.parquet(f"{root}/versions/{version}/info")
+    fs, mark = hadoop_fs(spark, f"{root}/published/{version}")
+    fs.create(mark, False).close()
+    return version
 
 
 def load_model(spark, path: str) -> tuple[DataFrame, DataFrame]:
-    return spark.read.parquet(f"{path}/members"), spark.read.parquet(f"{path}/info")
+    """Members and info of the newest published version."""
+    versions = _published(spark, path)
+    if not versions:
+        raise FileNotFoundError(f"no model has been published in {path}")
+    root = f"{path.rstrip('/')}/versions/{versions[-1]}"
+    return spark.read.parquet(f"{root}/members"), spark.read.parquet(f"{root}/info")
 
 
 def model_exists(spark, path: str) -> bool:
-    try:
-        spark.read.parquet(f"{path}/members").schema  # noqa: B018 - listing only
-        return True
-    except Exception:  # noqa: BLE001
-        return False
+    """Whether a version is published; storage errors rise instead of reading as "no model"."""
+    return bool(_published(spark, path))
 
 
 def fit_or_load(items: DataFrame, features: Sequence[str], path: str, mode: str = "reuse",
                 **kw) -> tuple[DataFrame, DataFrame]:
-    """``mode="reuse"`` loads a saved model when one exists (fits otherwise);
-    ``mode="retrain"`` always fits and overwrites the saved model."""
+    """``mode="reuse"`` loads the published model when there is one (fits otherwise);
+    ``mode="retrain"`` always fits and publishes a new version."""
     spark = items.sparkSession
     if mode == "reuse" and model_exists(spark, path):
         return load_model(spark, path)

@@ -179,19 +179,17 @@ def group_indicators(df: DataFrame, groups: dict[str, list[str]] | None = None,
     """Per group: 1 if any present member indicator equals 1, else 0; then drop the mapped
     member indicators. Unmapped indicators survive."""
     groups = groups or C.CATEGORY_GROUPS
-    present = set(df.columns)
-    group_cols = []
-    consumed = []
-    for g, members in groups.items():
-        cols = [f"{member_prefix}_{m}" for m in members if f"{member_prefix}_{m}" in present]
-        consumed.extend(cols)
-        hit = F.lit(False)
-        for c in cols:
-            hit = hit | F.coalesce(F.col(f"`{c}`") == 1, F.lit(False))
-        group_cols.append(F.when(hit, F.lit(1)).otherwise(F.lit(0)).alias(f"{group_prefix}_{g}"))
-    drop = set(consumed)
-    keep = [F.col(f"`{c}`") for c in df.columns if c not in drop]
-    return df.select(*keep, *group_cols)
+    named = {g: {f"{member_prefix}_{m}" for m in members} for g, members in groups.items()}
+    mapped = set().union(*named.values())
+    keep = [F.col(f"`{c}`") for c in df.columns if c not in mapped]
+    flags = [_any_set([F.col(f"`{c}`") for c in df.columns if c in names]).alias(f"{group_prefix}_{g}")
+             for g, names in named.items()]
+    return df.select(*keep, *flags)
+
+
+def _any_set(flags: list[Column]) -> Column:
+    """1 if the flags hold a 1 (nulls do not count), else 0."""
+    return F.array_max(F.array(F.lit(0), *[F.when(f == 1, 1) for f in flags]))
 
 
 def encode_mapping(df: DataFrame, column: str, mapping: dict | None = None,
@@ -294,12 +292,11 @@ def prepare_features(df: DataFrame, text_column: str | None = "description",
     cats = one_hot_columns(staged, ["categories"], voc[C.CATEGORY_PREFIX], C.CATEGORY_PREFIX)
     member_of = {f"{C.CATEGORY_PREFIX}_{m}": g for g, ms in groups.items() for m in ms}
     flags += [(n, c) for n, c in cats if n not in member_of]          # unmapped indicators survive
-    for g, ms in groups.items():
-        hits = [c for n, c in cats if member_of.get(n) == g]
-        hit = F.lit(False)
-        for h in hits:
-            hit = hit | (h == 1)
-        flags.append((f"{C.CATEGORY_GROUP_PREFIX}_{g}", F.when(hit, F.lit(1)).otherwise(F.lit(0))))
+    for g, ms in groups.items():  # one overlap of the row's list with the group's members
+        named = {f"{C.CATEGORY_PREFIX}_{m}" for m in ms}
+        members = [v for v in voc[C.CATEGORY_PREFIX] if f"{C.CATEGORY_PREFIX}_{v.lower()}" in named]
+        overlap = F.arrays_overlap("categories", F.array(*map(F.lit, members))) if members else F.lit(False)
+        flags.append((f"{C.CATEGORY_GROUP_PREFIX}_{g}", F.coalesce(overlap, F.lit(False)).cast("int")))
     flags += one_hot_columns(staged, [f"{LANGUAGE_COLUMN}_encoded"], voc[C.LANGUAGE_PREFIX], C.LANGUAGE_PREFIX)
     unk = F.lit(C.UNKNOWN_BUCKET)
     keep = ((F.col("age_group") != unk) & (F.col("playing_time_group") != unk)

@@ -15,7 +15,7 @@ How it avoids comparing every input with every member of its cluster (quadratic
 cluster):
 
 * distances are computed between *distinct vectors* of a cluster only (packed 0/1 flags,
-  ``popcount(xor)``); the vector table is broadcast when its size is checked small,
+  ``popcount(xor)``); the vector table is broadcast when its bytes are checked small,
   otherwise the join is salted so one hot cluster spreads over many tasks;
 * per input, min/max distance come from per-level counts (``sqrt(h)`` for h = 0..D)
   minus the levels of its own excluded rows — exclusions are enumerated by equi-joins
@@ -37,7 +37,6 @@ second one keeps the pairs below the distance cut. Relations are built when they
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,9 +45,11 @@ from tessera.functions import scores as SC
 from tessera.functions.text import strip_unicode
 from tessera.functions.vectors import dense_vector, euclidean, pack_bits, packed_distance
 from tessera.operators.features import feature_columns
-from tessera.session import cut_lineage
+from tessera.session import cut_lineage, materialise
 
-BROADCAST_ROWS = 200_000
+#: Bytes of Parquet files up to which a relation is broadcast (packed vectors and numbers
+#: take a few times as much in memory).
+BROADCAST_BYTES = 16 << 20
 SALT_BUCKETS = 32
 EXCLUSION_CAP = 32
 #: Width of the buckets in which partial scores count as tied: far above rounding (1e-16),
@@ -75,19 +76,18 @@ def is_variant(candidate: Column, input_name: Column) -> Column:
     return F.startswith(F.lower(candidate), F.concat(base_name(input_name), F.lit(":")))
 
 
-def size_checked_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
-    """Broadcast hint only when the relation's row count is at most ``limit``. The relation
-    is persisted first, so the size check and the later use share one computation."""
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
-    n = df.count()
-    return (F.broadcast(df), True) if n <= limit else (df, False)
+def size_checked_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> tuple[DataFrame, bool]:
+    """The relation as a written table, with a broadcast hint only if its files have at most
+    ``limit`` bytes."""
+    df, size = materialise(df, "recommend-side")
+    return (F.broadcast(df), True) if size <= limit else (df, False)
 
 
 def blocked_join(left: DataFrame, right: DataFrame, on: list[str], left_vec: str,
-                 limit: int = BROADCAST_ROWS, buckets: int = SALT_BUCKETS) -> DataFrame:
+                 limit: int = BROADCAST_BYTES, buckets: int = SALT_BUCKETS) -> DataFrame:
     """Equi-join where one key value may hold a large share of both sides.
 
-    Small right side (row count checked): broadcast, no shuffle of the hot key. Otherwise
+    Small right side (bytes checked): broadcast, no shuffle of the hot key. Otherwise
     the left rows get a salt from their vector and the right side is replicated over all
     salts, so one hot key is spread over ``buckets`` tasks."""
     r, small = size_checked_broadcast(right, limit)
@@ -170,7 +170,7 @@ def recommendation_plan(items: DataFrame, members: DataFrame, inputs: DataFrame
                         key: str = "game_name", order: str = "game_id", cluster_col: str = "cluster_id",
                         features: list[str] | None = None, binary: bool = True, k: int = C.TOP_K,
                         max_distance: float = C.MAX_NORMALIZED_DISTANCE,
-                        exclusion_cap: int = EXCLUSION_CAP, broadcast_rows: int = BROADCAST_ROWS,
+                        exclusion_cap: int = EXCLUSION_CAP, broadcast_bytes: int = BROADCAST_BYTES,
                         ) -> dict[str, DataFrame]:
     """All intermediate relations of the batch recommendation (lazy DataFrames):
 
@@ -194,7 +194,7 @@ def recommendation_plan(items: DataFrame, members: DataFrame, inputs: DataFrame
     # distinct-vector groups and input-vector x group distances (the only pair work)
     G = P.groupBy("cl", "w").agg(F.count(F.lit(1)).alias("cnt"))
     U = XU.select("cl", "u").distinct()
-    UP = blocked_join(U, G, ["cl"], "u", broadcast_rows).withColumn("d", dist(F.col("u"), F.col("w")))
+    UP = blocked_join(U, G, ["cl"], "u", broadcast_bytes).withColumn("d", dist(F.col("u"), F.col("w")))
     LV = UP.groupBy("cl", "u", "d").agg(F.sum("cnt").alias("n"))
 
     # exact per-input distance range over the remaining candidates
@@ -208,13 +208,13 @@ def recommendation_plan(items: DataFrame, members: DataFrame, inputs: DataFrame
     CS = P.groupBy("cl").agg(F.min("pop").alias("pmin"), F.max("pop").alias("pmax"),
                              F.min("rq").alias("rmin"), F.max("rq").alias("rmax"),
                              F.count(F.lit(1)).alias("n_rows"))
-    CSb, _ = size_checked_broadcast(CS, broadcast_rows)
+    CSb, _ = size_checked_broadcast(CS, broadcast_bytes)
     ext = lambda a, b: F.sum((F.col(a) == F.col(b)).cast("long"))
     CX = (P.join(CSb, "cl").groupBy("cl")
           .agg(ext("pop", "pmin").alias("c_pmin"), ext("pop", "pmax").alias("c_pmax"),
                ext("rq", "rmin").alias("c_rmin"), ext("rq", "rmax").alias("c_rmax")))
     CST = CS.join(CX, "cl").join(M.groupBy("cl").agg(F.count(F.lit(1)).alias("n_names")), "cl")
-    CSTb, _ = size_checked_broadcast(CST, broadcast_rows)
+    CSTb, _ = size_checked_broadcast(CST, broadcast_bytes)
     EE = (E.join(CSTb, "cl").groupBy("input")
           .agg(ext("pop", "pmin").alias("e_pmin"), ext("pop", "pmax").alias("e_pmax"),
                ext("rq", "rmin").alias("e_rmin"), ext("rq", "rmax").alias("e_rmax"),
@@ -243,7 +243,7 @@ def recommendation_plan(items: DataFrame, members: DataFrame, inputs: DataFrame
                      .withColumn("t", F.col("pn") * F.lit(w_pop) + F.col("rn") * F.lit(w_rq)), depth_lit)
     NM = ST.filter(F.col("path") == "class")
     TH = NM.groupBy("cl", "u", "dmin", "dmax").agg(F.max("e_all").alias("emax"))
-    TA = (blocked_join(TH, G.select("cl", "w"), ["cl"], "u", broadcast_rows)
+    TA = (blocked_join(TH, G.select("cl", "w"), ["cl"], "u", broadcast_bytes)
           .withColumn("d", dist(F.col("u"), F.col("w")))
           .withColumn("dn", SC.minmax(F.col("d"), F.col("dmin"), F.col("dmax")))
           .filter(F.col("dn") <= F.lit(max_distance)))
@@ -260,7 +260,7 @@ def recommendation_plan(items: DataFrame, members: DataFrame, inputs: DataFrame
 
     # ---- exact path: brute force over the cluster pool for the few flagged inputs
     FB = ST.filter(F.col("exact_ranges")).select("input", "cl", "u", "dmin", "dmax", "path")
-    FBb, _ = size_checked_broadcast(FB, broadcast_rows)
+    FBb, _ = size_checked_broadcast(FB, broadcast_bytes)
     fb = (P.join(FBb, "cl").join(E.select("input", "rid"), ["input", "rid"], "left_anti")
           .withColumn("d", dist(F.col("u"), F.col("w"))))
     fstats = fb.groupBy("input").agg(F.min("pop").alias("pmin"), F.max("pop").alias("pmax"),

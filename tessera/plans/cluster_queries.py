@@ -138,16 +138,17 @@ def kmeans_step(spark, sf):
 
 
 def model_roundtrip(spark, sf):
-    """Write the cluster model (members + creation time) as parquet in the shared folder and
-    read it back: constraint becomes ``cluster_<id>``, count = members."""
+    """Save the cluster model (a first version of half the members, then all of them) in the shared
+    folder and load what is published: the members of the newest version, with their cluster's info."""
     _, members, _ = _items(spark, sf)
+    members = members.select("cluster_id", F.col("game_name").alias("item_key"))
+    info = members.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("count")).withColumn(
+        "constraint", F.format_string("cluster_%d", F.col("cluster_id")))
     path = shared_path(spark, "cluster-model")
-    (members.select(F.col("cluster_id"), F.col("game_name").alias("item_key"),
-                    F.unix_timestamp(F.current_timestamp()).cast("double").alias("created_at"))
-     .write.mode("overwrite").parquet(path))
-    back = spark.read.parquet(path)
-    return back.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("count")).select(
-        "cluster_id", F.format_string("cluster_%d", F.col("cluster_id")).alias("constraint"), "count")
+    CO.save_model(members.filter(F.pmod(F.xxhash64("item_key"), F.lit(2)) == 0), info, path)
+    CO.save_model(members, info, path)
+    got, got_info = CO.load_model(spark, path)
+    return got.join(got_info.drop("created_at"), "cluster_id").select("cluster_id", "item_key", "constraint", "count")
 
 
 def _embeddings(spark, sf):
@@ -359,8 +360,9 @@ def _oracles() -> dict[str, str]:
                         f"round(penalty, {ROUND}) AS penalty FROM kc",
         "select_k": selk,
         "kmeans_step": step,
-        "model_roundtrip": f"{items} SELECT cluster AS cluster_id, 'cluster_' || cluster AS constraint, COUNT(*) AS count "
-                           "FROM (SELECT DISTINCT cluster, game_name FROM it) GROUP BY cluster",
+        "model_roundtrip": f"{items}, m AS (SELECT DISTINCT cluster, game_name FROM it) "
+                           "SELECT cluster AS cluster_id, game_name AS item_key, 'cluster_' || cluster AS constraint, "
+                           "COUNT(*) OVER (PARTITION BY cluster) AS count FROM m",
         "nearest_centroid": (
             f"WITH {emb} SELECT e.vec_id, arg_min(ec.label, struct_pack(d := list_distance(e.vec, ec.c), l := ec.label)) "
             f"AS nearest, round(min(list_distance(e.vec, ec.c)), {ROUND}) AS distance FROM e, ec GROUP BY e.vec_id"),

@@ -52,8 +52,10 @@ def ingest_stream(spark: SparkSession, landing: str, sink: str, checkpoint: str,
 
 
 def feedback_stream(spark: SparkSession, landing: str, sink: str, checkpoint: str,
-                    dedupe: bool = False, max_files_per_trigger: int = 4) -> None:
-    """JSON feedback events (one per line) -> parsed, validated rows appended to the log.
+                    dedupe: bool = False, max_files_per_trigger: int = 4, rejects: str | None = None) -> None:
+    """JSON feedback events (one per line) -> parsed, validated rows appended to the log, and the
+    records that are no valid events to ``rejects``, if given (by a query of its own over the same
+    files, with its own position).
 
     ``dedupe`` drops repeats of (timestamp, input, recommended item) within a 1-hour event-time
     watermark, so state stays bounded."""
@@ -65,6 +67,11 @@ def feedback_stream(spark: SparkSession, landing: str, sink: str, checkpoint: st
     q = (rows.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint)
          .outputMode("append").trigger(availableNow=True).start())
     q.awaitTermination()
+    if rejects:
+        q = (FB.feedback_rejects(raw).writeStream.format("parquet").option("path", rejects)
+             .option("checkpointLocation", f"{checkpoint.rstrip('/')}-rejects")
+             .outputMode("append").trigger(availableNow=True).start())
+        q.awaitTermination()
 
 
 def read_sink(spark: SparkSession, sink: str) -> DataFrame:

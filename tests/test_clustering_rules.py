@@ -31,9 +31,9 @@ def test_select_k_first_argmax(spark):
 
 def test_binning_fixture():
     vecs = np.array([[1, 1, 0, 0], [1, 1, 1, 0], [0, 0, 0, 1], [1, 1, 1, 0], [0, 0, 0, 0]], dtype=float)
-    bins = bin_items(list("ABCDZ"), vecs, 0.7)
+    bins = bin_items(list("ABCDZ"), vecs, 0.7).to_dict("records")
     assert [b["members"] for b in bins] == [["A", "B", "D"], ["C"], ["Z"]]
-    assert [b["centroid"].tolist() for b in bins] == [[1, 1, 1, 0], [0, 0, 0, 1], [0, 0, 0, 0]]
+    assert [b["centroid"] for b in bins] == [[1, 1, 1, 0], [0, 0, 0, 1], [0, 0, 0, 0]]
 
 
 def _numpy_silhouette(x, lab):
@@ -110,3 +110,13 @@ def test_kmeans_pp_seeding_is_deterministic_and_spread():
     assert all(any(np.allclose(c, p) for p in x) for c in a)          # centres are data points
     blobs = {tuple(np.round(c / 5).astype(int)) for c in a}
     assert blobs == {(0, 0), (1, 1), (0, 1)}                          # one seed per blob
+
+
+def test_large_basket_folds_fast():
+    import time
+
+    rng = np.random.default_rng(0)
+    vecs = (rng.random((20_000, 24)) < 0.15).astype(float)
+    t0 = time.time()
+    bins = bin_items([str(i) for i in range(len(vecs))], vecs, 0.7)
+    assert bins["size"].sum() == 20_000 and time.time() - t0 < 30

@@ -162,9 +162,9 @@ def test_extreme_held_by_variant_takes_exact_path(spark):
 
 
 def test_salted_path_matches_brute_force(spark):
-    """broadcast_rows=0 forces the salted vector-pair join and shuffle joins everywhere."""
+    """broadcast_bytes=0 forces the salted vector-pair join and shuffle joins everywhere."""
     rows, members = random_catalogue(11)
-    recs, _ = recommend(_items(spark, rows), _members(spark, members), features=FEATS, broadcast_rows=0)
+    recs, _ = recommend(_items(spark, rows), _members(spark, members), features=FEATS, broadcast_bytes=0)
     got = {}
     for r in recs.collect():
         got.setdefault(r["input"], []).append((r["rank"], r["item_id"], round(r["final_score"], 9)))

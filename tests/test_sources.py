@@ -77,3 +77,79 @@ def test_stream_ingest_resumes_and_isolates_corrupt_lines(spark, tmp_path):
     out = ST.read_sink(spark, sink).cache()
     assert sorted(r["event_id"] for r in ST.valid_rows(out).collect()) == [1, 2, 3]   # each once
     assert out.filter("_corrupt_record IS NOT NULL").count() == 1
+
+
+def test_plain_files_presence_and_union(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    root = tmp_path / "plain"
+    root.mkdir()
+    for d, v in [("20240101", 1), ("20240110", 2)]:
+        pq.write_table(pa.table({"k": [1, v], "d": [d, d]}), root / f"x_{d}.parquet")
+    spark.createDataFrame([(1, "dataset")], "k long, d string").write.parquet(str(root / "x_20240105.parquet"))
+    listed = {r["name"] for r in SN.list_snapshots(spark, str(root)).collect()}
+    assert listed == {"x_20240101.parquet", "x_20240105.parquet", "x_20240110.parquet"}
+    assert {r["d"] for r in SN.read_latest(spark, str(root)).collect()} == {"20240110"}
+    (tmp_path / "other").mkdir()
+    (tmp_path / "other" / "readme.csv").write_text("a")
+    (tmp_path / "empty").mkdir()
+    got = {r["stage"]: (r["n_snapshots"], r["is_empty"]) for r in SN.presence(
+        spark, {"a": str(root), "b": str(tmp_path / "other"), "c": str(tmp_path / "empty"), "d": str(tmp_path / "none")}).collect()}
+    assert got == {"a": (3, False), "b": (1, False), "c": (0, True), "d": (0, True)}
+    assert SN.union_snapshots(spark, str(root)).count() == 5
+    newest = {r["k"]: r["d"] for r in SN.union_snapshots(spark, str(root), newest_wins=["k"]).collect()}
+    assert newest == {1: "20240110", 2: "20240110"}
+    path = SN.write_snapshot(spark.range(5), str(root), "x", "20240201", single_file=True)
+    assert (root / "x_20240201.parquet").is_file() and SN.read_latest(spark, str(root)).count() == 5 and path
+
+
+def test_feedback_rejects_csv_and_times(spark, tmp_path):
+    rows = ['{bad', '{"timestamp":"t"}', None,
+            '{"timestamp":"2024-05-01T10:00:00Z","input_game":"A","recommended_game":"B","feedback":"like","comment":"a\\nb, \\"q\\" \\\\ "}',
+            '{"timestamp":"2024-05-01T10:00:00.25+02:00","input_game":"  padded  ","recommended_game":"B","feedback":"like"}']
+    df = spark.createDataFrame([(r,) for r in rows], "value string")
+    good = FB.feedback_frame(df)
+    assert [r["event_time"].isoformat() for r in good.collect()] == ["2024-05-01T10:00:00", "2024-05-01T08:00:00.250000"]
+    assert sorted((r["raw"] or "", r["missing"]) for r in FB.feedback_rejects(df).collect()) == [
+        ("", "timestamp,input_game,recommended_game,feedback"), ('{"timestamp":"t"}', "input_game,recommended_game,feedback"),
+        ("{bad", "timestamp,input_game,recommended_game,feedback")]
+    path = str(tmp_path / "log")
+    FB.write_csv_log(good, path)
+    back = FB.read_csv_log(spark, path).collect()
+    assert sorted(r["input_game"] for r in back) == ["  padded  ", "A"]
+    assert {r["comment"] for r in back} == {None, 'a\nb, "q" \\ '}
+
+
+def test_items_of_rooted_responses_and_rejects(spark, tmp_path):
+    from tessera.sources import xml_items as X
+
+    (tmp_path / "r.xml").write_text(
+        '<?xml version="1.0"?>\n<items>\n  <item type="x" id="1">\n    <name type="primary" value="A"/>\n  </item>\n'
+        '  <item id="2"><name value="B"/></item>\n  <item id="3"></item>\n  <item><name value="no id"/></item>\n</items>\n')
+    raw = X.read_items(spark, str(tmp_path / "r.xml"))
+    assert sorted(r["game_name"] for r in X.extract_items(raw).collect()) == ["A", "B"]
+    assert sorted(r["reason"] for r in X.rejected_items(raw).collect()) == ["no id", "no name"]
+    (tmp_path / "lines").mkdir()
+    (tmp_path / "lines" / "a.txt").write_text('<item id="1"><name value="A"/></item>\n\n<item id="2">\n')
+    lines = X.read_item_lines(spark, str(tmp_path / "lines"))
+    assert [r["game_name"] for r in X.extract_items(lines).collect()] == ["A"]
+    plan = X.extract_items(lines)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_xml") + plan.count("xmltostructs") <= 1 and X.rejected_items(lines).count() == 1
+
+
+def test_model_store_publishes_last(spark, tmp_path):
+    import pytest
+
+    from tessera.operators import constrained as CO
+
+    path = str(tmp_path / "model")
+    assert not CO.model_exists(spark, path)
+    with pytest.raises(FileNotFoundError):
+        CO.load_model(spark, path)
+    one = spark.createDataFrame([(1, "a")], "cluster_id int, name string")
+    CO.save_model(one, one, path)
+    torn = str(tmp_path / "model" / "versions" / "99999999T-torn")
+    one.write.parquet(torn + "/members")          # a crash before the marker
+    CO.save_model(one.unionByName(one), one, path)
+    assert CO.load_model(spark, path)[0].count() == 2
