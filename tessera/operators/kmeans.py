@@ -3,14 +3,14 @@
 Rows are first collapsed to ``distinct (vector) + weight`` per subset: k-means and the
 silhouette are weight-aware, so duplicates cost nothing. Every model of a k-grid (all k x
 restarts x subsets) is fitted *together*: one Spark job per Lloyd iteration — tasks assign
-their partition of vectors to every model's centroids with numpy and emit partial sums,
-Spark reduces them (``Summarizer.sum``) — the same driver-loop/partial-sum pattern Spark
-ML's KMeans uses, batched over models. Only the centroid table reaches the driver; its size
-is bounded by (#k values x restarts x k x dim), i.e. by the feature count, not by the data.
-
-The exact Euclidean silhouette needs every vector's summed distance to every cluster. It
-is computed per block of distinct vectors against the subset's broadcast distinct-vector
-set (size checked), as a (block x V) matrix product per model inside a task.
+their tile of vectors to the centroids of a group of models and emit partial sums, Spark
+reduces them (``Summarizer.sum``). Vectors stay distributed at every size; only centroids
+move. Their table is bounded by (#k values x restarts x k x dim), i.e. by the feature count,
+and grids beyond ``GROUP_CELLS`` are fitted group by group.
+
+The exact Euclidean silhouette needs every vector's summed distance to every cluster: the
+distinct vectors are cut into tiles, tiles of a subset are joined, and one task folds the
+tiles that meet a given tile, one matrix product each. Nothing is collected or refused.
 """
 
 from __future__ import annotations
@@ -25,9 +25,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera import constants as C
+from tessera.session import materialise
 
-MAX_DISTINCT_VECTORS = 200_000
-MAX_MODEL_CELLS = 50_000_000  # centroid table cells (models x k x dim) allowed on the driver
+#: Vectors of a tile.
+TILE = 1024
+#: Centroid cells (models x k x dim) that are fitted and broadcast together.
+GROUP_CELLS = 8_000_000
 
 
 def _c(name: str) -> Column:
@@ -53,8 +56,16 @@ def _pairwise(xb: np.ndarray, y: np.ndarray, y2: np.ndarray) -> np.ndarray:
 
 
 # ------------------------------------------------------------------ exact silhouette
-def silhouette(dv: DataFrame, label_col: str, by: Sequence[str] = (), blocks: int = 8,
-               max_vectors: int = MAX_DISTINCT_VECTORS) -> DataFrame:
+def _tiles(src: DataFrame, by: list[str], n: int, tile: int) -> DataFrame:
+    """One row per tile of a subset: parallel lists of vectors, weights and labels."""
+    number = F.pmod(F.xxhash64("vec"), F.lit(max(1, -(-n // tile)))).cast("int")
+    return src.groupBy(*[_c(b) for b in by], number.alias("tile")).agg(
+        F.collect_list(F.struct("vec", "wt", "labels")).alias("rows")).select(
+        *[_c(b) for b in by], "tile", F.col("rows.vec").alias("vecs"), F.col("rows.wt").alias("wts"),
+        F.col("rows.labels").alias("labs"))
+
+
+def silhouette(dv: DataFrame, label_col: str, by: Sequence[str] = (), tile: int = TILE) -> DataFrame:
     """Mean exact (Euclidean) silhouette per subset (and per model when ``label_col`` is an
     ``array<int>`` holding one labelling per model). Input: distinct vectors with weights.
 
@@ -63,62 +74,68 @@ def silhouette(dv: DataFrame, label_col: str, by: Sequence[str] = (), blocks: in
     spark = dv.sparkSession
     is_multi = dv.schema[label_col].dataType.typeName() == "array"
     lab = F.col(label_col) if is_multi else F.array(F.col(label_col))
-    src = dv.select(*[_c(b) for b in by], "vec", "wt", lab.alias("labels"))
-    n = src.count()
-    if n > max_vectors:
-        raise ValueError(f"{n} distinct vectors exceed the exact-silhouette bound {max_vectors}")
-    ref = {}
-    for r in src.collect():
-        ref.setdefault(_key(r, by), []).append((r["vec"], r["wt"], r["labels"]))
-    packed = {}
-    for key, rows in ref.items():
-        y = np.array([v for v, _, _ in rows], dtype=np.float64)
-        w = np.array([wt for _, wt, _ in rows], dtype=np.float64)
-        lab_m = np.array([ls for _, _, ls in rows], dtype=np.int64)
-        packed[key] = (y, (y * y).sum(1), w, lab_m)
-    bc = spark.sparkContext.broadcast(packed)
+    src, _ = materialise(dv.select(*[_c(b) for b in by], "vec", "wt", lab.alias("labels")), "silhouette-vectors")
+    # cluster sizes: one number per subset, model and cluster (bounded by the k-range rule)
+    sizes: dict = {}
+    for r in (src.select(*[_c(b) for b in by], "wt", F.posexplode("labels").alias("m", "l"))
+              .groupBy(*[_c(b) for b in by], "m", "l").agg(F.sum("wt").alias("n")).collect()):
+        sizes.setdefault(_key(r, by), {}).setdefault(r["m"], {})[r["l"]] = float(r["n"])
     by_types = ", ".join(f"`{b}` {dv.schema[b].dataType.simpleString()}" for b in by)
     schema = (by_types + ", " if by else "") + "model int, sw double, w double"
+    if not sizes:
+        return spark.createDataFrame([], (by_types + ", " if by else "") + "model int, silhouette double")
+    bc = spark.sparkContext.broadcast({
+        k: [np.array([ms[m].get(c, 0.0) for c in range(max(ms[m]) + 1)]) for m in sorted(ms)] for k, ms in sizes.items()})
+
+    def finish(key, sums, wa, la) -> pd.DataFrame:
+        out = []
+        for m, (size, total) in enumerate(zip(bc.value[key], sums)):
+            own, at = la[:, m], np.arange(len(la))
+            with np.errstate(divide="ignore", invalid="ignore"):
+                inner = total[at, own] / (size[own] - 1.0)
+                outer = total / size[None, :]
+                outer[at, own] = np.inf
+                outer[:, size == 0] = np.inf
+                nearest = outer.min(1)
+                value = (nearest - inner) / np.maximum(inner, nearest)
+            value = np.nan_to_num(value, nan=0.0, posinf=0.0, neginf=0.0)
+            value[(size[own] <= 1) | ((size > 0).sum() < 2)] = 0.0
+            out.append([*key, m, float((wa * value).sum()), float(wa.sum())])
+        return pd.DataFrame(out, columns=[*by, "model", "sw", "w"])
+
+    def fold(frames):
+        """Rows come sorted by (subset, tile): add up the distances of a tile to all tiles it meets."""
+        open_key, sums, xa, wa, la = None, None, None, None, None
+        for frame in frames:
+            for row in frame.itertuples(index=False):
+                key = tuple(row[:len(by)])
+                if (key, row.tile) != open_key:
+                    if open_key is not None:
+                        yield finish(open_key[0], sums, wa, la)
+                    open_key = (key, row.tile)
+                    xa, wa = np.array(list(row.vecs), dtype=np.float64), np.array(row.wts, dtype=np.float64)
+                    la = np.array(list(row.labs), dtype=np.int64)
+                    sums = [np.zeros((len(xa), len(size))) for size in bc.value[key]]
+                xb, lb = np.array(list(row.vecs_b), dtype=np.float64), np.array(list(row.labs_b), dtype=np.int64)
+                far = _pairwise(xa, xb, (xb * xb).sum(1)) * np.array(row.wts_b, dtype=np.float64)[None, :]
+                for m, total in enumerate(sums):
+                    member = np.zeros((len(xb), total.shape[1]))
+                    member[np.arange(len(xb)), lb[:, m]] = 1.0
+                    total += far @ member
+        if open_key is not None:
+            yield finish(open_key[0], sums, wa, la)
 
-    def run(it):
-        table = bc.value
-        for pdf in it:
-            if pdf.empty:
-                continue
-            groups = pdf.groupby(by, sort=False) if by else [((), pdf)]
-            for key, g in groups:
-                key = key if isinstance(key, tuple) else (key,)
-                y, y2, w, lab_m = table[tuple(key)]
-                xb = np.array(g["vec"].tolist(), dtype=np.float64)
-                wb = g["wt"].to_numpy(dtype=np.float64)
-                lb = np.array(g["labels"].tolist(), dtype=np.int64)
-                d = _pairwise(xb, y, y2)
-                out = []
-                for m in range(lab_m.shape[1]):
-                    ym = lab_m[:, m]
-                    kk = int(ym.max()) + 1
-                    onehot = np.zeros((len(ym), kk))
-                    onehot[np.arange(len(ym)), ym] = w
-                    sums = d @ onehot
-                    sizes = onehot.sum(0)
-                    li = lb[:, m]
-                    own_n = sizes[li]
-                    with np.errstate(divide="ignore", invalid="ignore"):
-                        a = sums[np.arange(len(li)), li] / (own_n - 1.0)
-                        mean_other = sums / sizes[None, :]
-                        mean_other[np.arange(len(li)), li] = np.inf
-                        mean_other[:, sizes == 0] = np.inf
-                        b = mean_other.min(1)
-                        s = (b - a) / np.maximum(a, b)
-                    s = np.nan_to_num(s, nan=0.0, posinf=0.0, neginf=0.0)
-                    s[own_n <= 1] = 0.0
-                    if (sizes > 0).sum() < 2:
-                        s[:] = 0.0
-                    out.append(list(key) + [m, float((wb * s).sum()), float(wb.sum())])
-                yield pd.DataFrame(out, columns=by + ["model", "sw", "w"])
-
-    blocked = src.repartition(blocks, *[_c(b) for b in by], F.pmod(F.xxhash64("vec"), F.lit(blocks * 4)))
-    parts = blocked.mapInPandas(run, schema)
+    n = src.count()
+    tiles, _ = materialise(_tiles(src, by, n, tile), "silhouette-tiles")
+    other = tiles.select(*[_c(b).alias(f"{b}_b") for b in by], F.col("tile").alias("tile_b"), F.col("vecs").alias("vecs_b"),
+                         F.col("wts").alias("wts_b"), F.col("labs").alias("labs_b"))
+    left, right = tiles.withColumn("__one", F.lit(0)), other.withColumn("__one_b", F.lit(0))
+    on = F.col("__one") == F.col("__one_b")
+    for b in by:
+        on = on & _c(b).eqNullSafe(_c(f"{b}_b"))
+    pairs = left.join(right, on).drop("__one", "__one_b", *[f"{b}_b" for b in by])
+    dealt = pairs.repartition(*[_c(b) for b in by], "tile").sortWithinPartitions(*[_c(b) for b in by], "tile", "tile_b")
+    parts = dealt.select(*[_c(b) for b in by], "tile", "vecs", "wts", "labs", "vecs_b", "wts_b", "labs_b").mapInPandas(fold, schema)
     return parts.groupBy(*[_c(b) for b in by], "model").agg((F.sum("sw") / F.sum("w")).alias("silhouette"))
 
 
@@ -138,240 +155,132 @@ def _seed_table(dv: DataFrame, by: list[str], restarts: int, k_max: int, seed: i
     return {k: np.array([v for _, v in sorted(rows)], dtype=np.float64) for k, rows in seeds.items()}
 
 
-MAX_BROADCAST_CELLS = 20_000_000  # distinct vectors x dim that may be broadcast to every task
+def _groups_of_models(models: dict, cells: int) -> list[list]:
+    """Model keys in groups whose centroid tables stay within ``cells`` (at least one each)."""
+    groups, room = [[]], cells
+    for key in sorted(models, key=repr):
+        if groups[-1] and models[key].size > room:
+            groups.append([])
+            room = cells
+        groups[-1].append(key)
+        room -= models[key].size
+    return groups
+
+
+class _Sweep:
+    """The vectors of all subsets, dealt into (tile, model share) parts, and one pass over them."""
+
+    def __init__(self, dv: DataFrame, by: list[str]):
+        spark = dv.sparkSession
+        self.by, self.spark = by, spark
+        src, _ = materialise(dv.select(*[_c(b) for b in by], "vec", "wt"), "kmeans-vectors")
+        tiles = max(1, -(-src.count() // (4 * TILE)))
+        # few tiles: several tasks share one, each with its own models
+        self.shares = max(1, -(-spark.sparkContext.defaultParallelism // tiles))
+        dealt = src.withColumn("tile", F.pmod(F.xxhash64("vec"), F.lit(tiles))).withColumn(
+            "share", F.explode(F.sequence(F.lit(0), F.lit(self.shares - 1))))
+        self.data = dealt.repartitionByRange(tiles * self.shares, "tile", "share").persist()
+        types = ", ".join(f"`{b}` {dv.schema[b].dataType.simpleString()}" for b in by)
+        self.schema = (types + ", " if by else "") + "i int, d2 double, w array<double>, s array<double>"
+
+    def run(self, centroids: dict, sums: bool = True) -> dict:
+        """Per model: (cost of the centroids, weight of each cluster, sum of its vectors)."""
+        keys = list(centroids)
+        by, shares, wanted = self.by, self.shares, sums
+        table: dict = {}
+        for i, key in enumerate(keys):
+            table.setdefault(key[0], []).append((i, centroids[key]))
+        bc = self.spark.sparkContext.broadcast(table)
+
+        def part(frames):
+            for pdf in frames:
+                rows = []
+                for key, g in pdf.groupby([*by, "share"], sort=False, dropna=False):
+                    mine = [x for x in bc.value.get(tuple(key[:-1]), []) if x[0] % shares == key[-1]]
+                    if not mine:
+                        continue
+                    x = np.array(g["vec"].tolist(), dtype=np.float64)
+                    wt = g["wt"].to_numpy(dtype=np.float64)
+                    x2 = (x * x).sum(1)[:, None]
+                    for i, cen in mine:
+                        d2 = np.maximum(x2 - 2.0 * x @ cen.T + (cen * cen).sum(1)[None, :], 0.0)
+                        lab = d2.argmin(1)
+                        cost = float((wt * d2[np.arange(len(lab)), lab]).sum())
+                        member = np.zeros((len(lab), len(cen)))
+                        member[np.arange(len(lab)), lab] = wt
+                        rows.append([*key[:-1], i, cost, member.sum(0), (member.T @ x).ravel() if wanted else [0.0]])
+                if rows:
+                    yield pd.DataFrame(rows, columns=[*by, "i", "d2", "w", "s"])
+
+        red = self.data.mapInPandas(part, self.schema).groupBy("i").agg(
+            F.sum("d2").alias("d2"), vector_to_array(Summarizer.sum(array_to_vector("w"))).alias("w"),
+            vector_to_array(Summarizer.sum(array_to_vector("s"))).alias("s"))
+        out = {keys[r["i"]]: (r["d2"], np.array(r["w"]), np.array(r["s"])) for r in red.collect()}  # the centroid table
+        bc.unpersist()
+        return out
 
 
-def lloyd(x: np.ndarray, w: np.ndarray, cen: np.ndarray, max_iter: int, tol_abs: float) -> tuple[np.ndarray, float]:
-    """Weighted Lloyd iterations from ``cen`` (numpy); returns (centroids, inertia of the
-    final assignment). An empty cluster keeps its centroid."""
-    x2 = (x * x).sum(1)[:, None]
-    cen = cen.copy()
+def lloyd(sweep: _Sweep, starts: dict, max_iter: int, tolerance: dict) -> dict:
+    """Lloyd iterations of all models at once; model key -> (centroids, their cost).
+
+    A model stops when its squared centroid shift is at most its subset's tolerance, or after
+    ``max_iter`` steps. An empty cluster keeps its centroid. Costs belong to the final centroids."""
+    models, active = dict(starts), set(starts)
     for _ in range(max_iter):
-        d2 = np.maximum(x2 - 2.0 * x @ cen.T + (cen * cen).sum(1)[None, :], 0.0)
-        lab = d2.argmin(1)
-        onehot = np.zeros((len(lab), len(cen)))
-        onehot[np.arange(len(lab)), lab] = w
-        tot = onehot.sum(0)
-        new = cen.copy()
-        nz = tot > 0
-        new[nz] = (onehot.T @ x)[nz] / tot[nz][:, None]
-        shift = float(((new - cen) ** 2).sum())
-        cen = new
-        if shift <= tol_abs:
+        if not active:
             break
-    d2 = np.maximum(x2 - 2.0 * x @ cen.T + (cen * cen).sum(1)[None, :], 0.0)
-    return cen, float((w * d2.min(1)).sum())
-
-
-def kmeans_pp(x: np.ndarray, w: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
-    """Weighted greedy k-means++ seeding: the first centre by weight, then each next centre
-    is the best (lowest resulting potential) of ``2 + ln k`` candidates drawn with
-    probability proportional to weight x squared distance to the chosen centres."""
-    n = len(x)
-    k = min(k, n)
-    x2 = (x * x).sum(1)
-    centres = np.empty((k, x.shape[1]))
-    first = rng.choice(n, p=w / w.sum())
-    centres[0] = x[first]
-    closest = np.maximum(x2 - 2.0 * x @ x[first] + x2[first], 0.0)
-    pot = float(closest @ w)
-    trials = 2 + int(np.log(k)) if k > 1 else 1
-    for c in range(1, k):
-        if pot <= 0.0:  # every point already coincides with a centre
-            centres[c] = x[rng.integers(n)]
-            continue
-        cand = np.searchsorted(np.cumsum(w * closest), rng.uniform(size=trials) * pot)
-        cand = np.minimum(cand, n - 1)
-        d = np.maximum(x2[cand][:, None] - 2.0 * x[cand] @ x.T + x2[None, :], 0.0)
-        np.minimum(d, closest[None, :], out=d)
-        pots = d @ w
-        best = int(np.argmin(pots))
-        pot, closest = float(pots[best]), d[best]
-        centres[c] = x[cand[best]]
-    return centres
-
-
-def _model_rng(seed: int, key, k: int, r: int) -> np.random.Generator:
-    import zlib
-
-    return np.random.default_rng([seed, zlib.crc32(repr(key).encode()), k, r])
+        for key, (_, w, s) in sweep.run({k: models[k] for k in active}).items():
+            old = models[key]
+            filled = w > 0
+            new = np.where(filled[:, None], s.reshape(old.shape) / np.where(filled, w, 1.0)[:, None], old)
+            models[key] = new
+            if float(((new - old) ** 2).sum()) <= tolerance.get(key[0], 0.0):
+                active.discard(key)
+    costs = sweep.run(models, sums=False)
+    return {k: (c, costs[k][0]) for k, c in models.items() if k in costs}
 
 
 def kmeans_grid(dv: DataFrame, ks: dict, by: Sequence[str] = (), restarts: int = C.KMEANS_RESTARTS,
                 max_iter: int = C.KMEANS_MAX_ITER, tol: float = C.KMEANS_TOL, seed: int = C.KMEANS_SEED,
-                max_broadcast_cells: int = MAX_BROADCAST_CELLS) -> dict:
-    """Fit every (subset, k, restart) model; keep the lowest-inertia restart per (subset, k).
-
-    Small distinct-vector sets (vectors x dim <= ``max_broadcast_cells``, checked) are
-    broadcast and the *models* are spread over tasks — each task seeds its models with
-    weighted k-means++ (deterministic per model) and runs their Lloyd loops, one Spark job
-    in all. Larger sets use the data-parallel batched Lloyd (one job per iteration over all
-    models) from seeded random starts."""
-    n = dv.count()
-    dim = len(dv.select("vec").first()["vec"]) if n else 0
-    if n * dim <= max_broadcast_cells:
-        return _kmeans_grid_model_parallel(dv, ks, list(by), restarts, max_iter, tol, seed)
-    return _kmeans_grid_data_parallel(dv, ks, by, restarts, max_iter, tol, seed)
-
-
-def _kmeans_grid_model_parallel(dv: DataFrame, ks: dict, by: list[str], restarts: int, max_iter: int,
-                                tol: float, seed: int) -> dict:
-    spark = dv.sparkSession
-    k_max = max((max(v) for v in ks.values() if v), default=0)
-    if k_max == 0:
-        return {}
-    data: dict = {}
-    for row in dv.select(*[_c(b) for b in by], "vec", "wt").collect():  # size checked by the caller
-        data.setdefault(_key(row, by), []).append((row["vec"], row["wt"]))
-    packed = {}
-    for key, rows in data.items():
-        x = np.array([v for v, _ in rows], dtype=np.float64)
-        w = np.array([wt for _, wt in rows], dtype=np.float64)
-        mu = (w[:, None] * x).sum(0) / w.sum()
-        var = (w[:, None] * (x - mu) ** 2).sum(0) / w.sum()
-        packed[key] = (x, w, tol * float(var.mean()))
-    bc_data = spark.sparkContext.broadcast(packed)
-    specs = [(i, list(sk), k, r) for i, (sk, k, r) in enumerate(
-        (sk, k, r) for sk, kl in ks.items() for k in kl for r in range(restarts)
-        if sk in packed and k <= len(packed[sk][0]))]
-    if not specs:
-        return {}
-    tasks = max(spark.sparkContext.defaultParallelism, 1)
-    spec_df = spark.createDataFrame([(i, k, r) for i, _, k, r in specs], "i int, k int, r int").repartition(tasks)
-    keys = {i: tuple(sk) for i, sk, _, _ in specs}
-    bc_keys = spark.sparkContext.broadcast(keys)
-
-    def fit(it):
-        table, kk = bc_data.value, bc_keys.value
-        for pdf in it:
-            out = []
-            for i, k, r in zip(pdf["i"], pdf["k"], pdf["r"]):
-                sk = kk[int(i)]
-                x, w, tol_abs = table[sk]
-                start = kmeans_pp(x, w, int(k), _model_rng(seed, sk, int(k), int(r)))
-                cen, cost = lloyd(x, w, start, max_iter, tol_abs)
-                out.append((int(i), float(cost), cen.ravel().tolist()))
-            yield pd.DataFrame(out, columns=["i", "cost", "cen"])
-
-    res = spec_df.mapInPandas(fit, "i int, cost double, cen array<double>").collect()  # bounded: the grid
-    best: dict = {}
-    for row in res:
-        sk, k = keys[row["i"]], specs[row["i"]][2]
-        cen = np.array(row["cen"]).reshape(k, -1)
-        if (sk, k) not in best or row["cost"] < best[(sk, k)][1]:
-            best[(sk, k)] = (cen, row["cost"])
-    for b in (bc_data, bc_keys):
-        b.unpersist()
-    return best
-
-
-def _kmeans_grid_data_parallel(dv: DataFrame, ks: dict, by: Sequence[str] = (), restarts: int = C.KMEANS_RESTARTS,
-                               max_iter: int = C.KMEANS_MAX_ITER, tol: float = C.KMEANS_TOL,
-                               seed: int = C.KMEANS_SEED) -> dict:
-    """Fit every (subset, k, restart) model together. ``ks``: subset key tuple -> list of k.
+                group_cells: int = GROUP_CELLS) -> dict:
+    """Fit every (subset, k, restart) model; keep the lowest-cost restart per (subset, k).
 
-    Returns {(subset, k): (centroids, inertia)} keeping the lowest-inertia restart.
-    Convergence per model: squared centroid shift <= tol * mean feature variance of the subset
-    (the usual relative tolerance). An empty cluster keeps its previous centroid."""
+    ``ks``: subset key tuple -> list of k. Returns {(subset, k): (centroids, cost)}. Starts are the
+    first k vectors in a seeded hash order (one order per restart), whatever the size; the
+    relative tolerance is ``tol`` times the subset's mean feature variance."""
     by = list(by)
-    spark = dv.sparkSession
     k_max = max((max(v) for v in ks.values() if v), default=0)
     if k_max == 0:
         return {}
-    seeds = _seed_table(dv, by, restarts, k_max, seed)
-    models: dict = {}
-    for (sk, r), arr in seeds.items():
+    starts = {}
+    for (sk, r), arr in _seed_table(dv, by, restarts, k_max, seed).items():
         for k in ks.get(sk, []):
             if k <= len(arr):
-                models[(sk, k, r)] = arr[:k].copy()
-    cells = sum(m.size for m in models.values())
-    if cells > MAX_MODEL_CELLS:
-        raise ValueError(f"centroid table of {cells} cells exceeds {MAX_MODEL_CELLS}")
-    # relative tolerance: tol * mean per-feature variance (weighted) of each subset
+                starts[(sk, k, r)] = arr[:k].copy()
+    weight = F.col("wt").cast("double")
     stats = dv.groupBy(*[_c(b) for b in by]).agg(
-        vector_to_array(Summarizer.mean(array_to_vector("vec"), F.col("wt").cast("double"))).alias("mu"),
-        vector_to_array(Summarizer.mean(array_to_vector(F.transform("vec", lambda x: x * x)),
-                                        F.col("wt").cast("double"))).alias("m2"))
-    tol_abs = {}
-    for row in stats.collect():
-        mu, m2 = np.array(row["mu"]), np.array(row["m2"])
-        tol_abs[_key(row, by)] = tol * float(np.mean(np.maximum(m2 - mu * mu, 0.0)))
-    active = set(models)
-    inertia: dict = {}
-    by_schema = ", ".join(f"`{b}` {dv.schema[b].dataType.simpleString()}" for b in by)
-    # one partial row per (partition, model): per-centroid weights and flattened sums
-    schema = (by_schema + ", " if by else "") + "k int, r int, d2 double, w array<double>, s array<double>"
-    # the per-iteration work is (vectors x all centroids): spread the vectors over every core
-    # instead of the one partition AQE would coalesce a small input into
-    tasks = max(spark.sparkContext.defaultParallelism, 1)
-    data = dv.select(*[_c(b) for b in by], "vec", "wt").repartition(tasks).cache()
-    for _ in range(max_iter):
-        if not active:
-            break
-        cur = {}
-        for (sk, k, r) in active:
-            cur.setdefault(sk, []).append((k, r, models[(sk, k, r)]))
-        bc = spark.sparkContext.broadcast(cur)
-
-        def step(it, bc=bc):
-            table = bc.value
-            for pdf in it:
-                if pdf.empty:
-                    continue
-                groups = pdf.groupby(by, sort=False) if by else [((), pdf)]
-                rows = []
-                for key, g in groups:
-                    key = key if isinstance(key, tuple) else (key,)
-                    ms = table.get(tuple(key))
-                    if not ms:
-                        continue
-                    x = np.array(g["vec"].tolist(), dtype=np.float64)
-                    wt = g["wt"].to_numpy(dtype=np.float64)
-                    x2 = (x * x).sum(1)[:, None]
-                    for k, r, cen in ms:
-                        d2 = x2 - 2.0 * x @ cen.T + (cen * cen).sum(1)[None, :]
-                        np.maximum(d2, 0.0, out=d2)
-                        lab = d2.argmin(1)
-                        best = d2[np.arange(len(lab)), lab]
-                        onehot = np.zeros((len(lab), k))
-                        onehot[np.arange(len(lab)), lab] = wt
-                        rows.append(list(key) + [k, r, float((wt * best).sum()), onehot.sum(0).tolist(),
-                                                 (onehot.T @ x).ravel().tolist()])
-                if rows:
-                    yield pd.DataFrame(rows, columns=by + ["k", "r", "d2", "w", "s"])
-
-        partial = data.mapInPandas(step, schema)
-        red = partial.groupBy(*[_c(b) for b in by], "k", "r").agg(
-            F.sum("d2").alias("d2"),
-            vector_to_array(Summarizer.sum(array_to_vector("w"))).alias("w"),
-            vector_to_array(Summarizer.sum(array_to_vector("s"))).alias("s"))
-        done = set()
-        for row in red.collect():
-            mk = (_key(row, by), row["k"], row["r"])
-            if mk not in active:
-                continue
-            cen = models[mk]
-            w = np.array(row["w"])
-            sums = np.array(row["s"]).reshape(cen.shape)
-            new = cen.copy()
-            nz = w > 0
-            new[nz] = sums[nz] / w[nz][:, None]  # an empty cluster keeps its centroid
-            inertia[mk] = row["d2"]
-            shift = float(((new - cen) ** 2).sum())
-            models[mk] = new
-            if shift <= tol_abs.get(mk[0], 0.0):
-                done.add(mk)
-        active -= done
-        bc.unpersist()
-    data.unpersist()
+        vector_to_array(Summarizer.mean(array_to_vector("vec"), weight)).alias("mu"),
+        vector_to_array(Summarizer.mean(array_to_vector(F.transform("vec", lambda x: x * x)), weight)).alias("m2"))
+    tolerance = {_key(r, by): tol * float(np.mean(np.maximum(np.array(r["m2"]) - np.array(r["mu"]) ** 2, 0.0)))
+                 for r in stats.collect()}  # one row per subset
+    sweep = _Sweep(dv, by)
     best: dict = {}
-    for (sk, k, r), cen in models.items():
-        cost = inertia.get((sk, k, r), float("inf"))
-        if (sk, k) not in best or cost < best[(sk, k)][1]:
-            best[(sk, k)] = (cen, cost)
+    for group in _groups_of_models(starts, group_cells):
+        for (sk, k, r), (cen, cost) in sorted(lloyd(sweep, {m: starts[m] for m in group}, max_iter, tolerance).items(), key=repr):
+            if (sk, k) not in best or cost < best[(sk, k)][1]:
+                best[(sk, k)] = (cen, cost)
+    sweep.data.unpersist()
     return best
 
 
+def fit_from(dv: DataFrame, start: np.ndarray, steps: int) -> tuple[np.ndarray, float]:
+    """Exactly ``steps`` Lloyd steps of one model from given centroids; (centroids, their cost)."""
+    sweep = _Sweep(dv, [])
+    out = lloyd(sweep, {((), len(start), 0): np.asarray(start, dtype=np.float64)}, steps, {(): -1.0})
+    sweep.data.unpersist()
+    return out[((), len(start), 0)]
+
+
 def assign(dv: DataFrame, centroids: dict, by: Sequence[str] = (), out: str = "label") -> DataFrame:
     """Nearest centroid (ties -> lowest id) for each distinct vector; ``centroids`` maps the
     subset key (tuple) to a (k x dim) array, or to a list of arrays -> ``out`` is array<int>."""
@@ -428,12 +337,9 @@ def nearest_centroid_expr(vec: Column, centroids: Column) -> Column:
 
 
 def mean_vectors(df: DataFrame, group: str, vec: str = "vec", out: str = "c") -> DataFrame:
-    """Per group, the element-wise mean vector as sum / count per position (partial
-    aggregation per (group, position); the result has one row per group)."""
-    long = df.select(F.col(group), F.posexplode(F.col(vec)).alias("i", "x"))
-    means = long.groupBy(group, "i").agg(F.avg("x").alias("m"))
-    return means.groupBy(group).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias(out))
+    """Per group, the element-wise mean vector (partial aggregation of whole vectors; the
+    result has one row per group)."""
+    return df.groupBy(group).agg(vector_to_array(Summarizer.mean(array_to_vector(vec))).alias(out))
 
 
 def silhouette_squared(df: DataFrame, features: Sequence[str], label_col: str) -> float:

@@ -176,15 +176,20 @@ def cosine_similarity(spark, sf):
     return e.join(cen, "label").select("vec_id", F.round(cosine(F.col("vec"), F.col("c")), ROUND).alias("cosine"))
 
 
+FIT_STEPS = 4
+
+
 def kmeans_fit(spark, sf):
-    """k-means (k = number of given labels, 10 seeded restarts, lowest inertia) on embeddings."""
+    """k-means on embeddings: ``FIT_STEPS`` Lloyd steps from the first vector of every label, then
+    each vector's cluster and its squared distance."""
     e = _embeddings(spark, sf)
-    k = e.select("label").distinct().count()
-    dv = e.groupBy("vec").agg(F.count(F.lit(1)).alias("wt")).withColumn("all", F.lit(1))
-    best = KM.kmeans_grid(dv, {(1,): [k]}, by=["all"])
-    cen = {(1,): best[((1,), k)][0]}
-    lab = KM.assign(dv, cen, by=["all"], out="cluster")
-    return e.join(lab.select("vec", "cluster"), "vec").select("vec_id", "cluster")
+    firsts = e.groupBy("label").agg(F.min_by("vec", "vec_id").alias("vec")).orderBy("label").collect()  # k rows
+    dv = e.groupBy("vec").agg(F.count(F.lit(1)).alias("wt"))
+    cen, _ = KM.fit_from(dv, np.array([r["vec"] for r in firsts]), FIT_STEPS)
+    table = spark.createDataFrame([(cen.tolist(),)], "centroids array<array<double>>")  # one row
+    near = KM.nearest_centroid_expr(F.col("vec"), F.col("centroids"))
+    return e.crossJoin(F.broadcast(table)).select("vec_id", near.alias("n")).select(
+        "vec_id", F.col("n.cid").alias("cluster"), F.round(F.col("n.distance"), ROUND).alias("distance"))
 
 
 def constrained_clusters(spark, sf):
@@ -232,6 +237,19 @@ def _feat_list(cast="DOUBLE"):
     return "[" + ", ".join(S.ident(n) for n in S.feature_names_in_order()) + f"]::{cast}[]"
 
 
+def _kmeans_fit_sql(emb: str) -> str:
+    near = "arg_min(c.cid, struct_pack(d := list_distance(e.vec, c.c), i := c.cid))"
+    ctes = [emb, "f0 AS (SELECT label, arg_min(vec, vec_id) AS c FROM e GROUP BY label)",
+            "c0 AS (SELECT row_number() OVER (ORDER BY label) - 1 AS cid, c FROM f0)"]
+    for i in range(FIT_STEPS):
+        ctes += [f"a{i} AS (SELECT e.vec_id, any_value(e.vec) AS vec, {near} AS cid FROM e, c{i} c GROUP BY e.vec_id)",
+                 f"m{i} AS (SELECT cid, j, AVG(vec[j]) AS m FROM a{i}, range(1, len(vec) + 1) t(j) GROUP BY cid, j)",
+                 f"n{i} AS (SELECT cid, list(m ORDER BY j) AS c FROM m{i} GROUP BY cid)",
+                 f"c{i + 1} AS (SELECT c{i}.cid, COALESCE(n{i}.c, c{i}.c) AS c FROM c{i} LEFT JOIN n{i} USING (cid))"]
+    return (f"WITH {', '.join(ctes)} SELECT e.vec_id, CAST({near} AS INTEGER) AS cluster, "
+            f"round(min(list_distance(e.vec, c.c)), {ROUND}) AS distance FROM e, c{FIT_STEPS} c GROUP BY e.vec_id")
+
+
 def _oracles() -> dict[str, str]:
     from tessera.plans.rec_queries import cluster_sql as csql
 
@@ -366,6 +384,7 @@ def _oracles() -> dict[str, str]:
         "nearest_centroid": (
             f"WITH {emb} SELECT e.vec_id, arg_min(ec.label, struct_pack(d := list_distance(e.vec, ec.c), l := ec.label)) "
             f"AS nearest, round(min(list_distance(e.vec, ec.c)), {ROUND}) AS distance FROM e, ec GROUP BY e.vec_id"),
+        "kmeans_fit": _kmeans_fit_sql(emb),
         "cosine_similarity": (
             f"WITH {emb} SELECT e.vec_id, round(COALESCE(list_dot_product(e.vec, ec.c) / NULLIF(sqrt(list_dot_product("
             f"e.vec, e.vec)) * sqrt(list_dot_product(ec.c, ec.c)), 0), 0.0), {ROUND}) AS cosine FROM e JOIN ec USING (label)"),

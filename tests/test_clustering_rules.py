@@ -69,15 +69,40 @@ def test_kmeans_grid_separates_blobs(spark):
     assert sorted(np.round(cen[:, 0], 2).tolist()) == [0.05, 5.05]
 
 
-@pytest.mark.parametrize("cells", [0, 10_000])
-def test_kmeans_paths_agree(spark, cells):
-    """Data-parallel (bound 0) and model-parallel (broadcast) fits reach the same optimum."""
+def test_kmeans_does_not_depend_on_layout_or_groups(spark):
     pts = [([0.0, 0.0], 5), ([0.1, 0.0], 5), ([5.0, 5.0], 5), ([5.1, 5.0], 5), ([9.0, 0.0], 2)]
     dv = spark.createDataFrame([(1, v, w) for v, w in pts], "all int, vec array<double>, wt long")
-    best = KM.kmeans_grid(dv, {(1,): [3]}, by=["all"], restarts=4, max_broadcast_cells=cells)
-    cen, cost = best[((1,), 3)]
-    assert sorted(np.round(cen[:, 0], 2).tolist()) == [0.05, 5.05, 9.0]
-    assert cost == pytest.approx(2 * 5 * 0.05 ** 2 * 2, rel=1e-6)
+    for df, cells in [(dv, 1), (dv.repartition(3), 10_000), (dv.coalesce(1), 10_000)]:
+        best = KM.kmeans_grid(df, {(1,): [2, 3]}, by=["all"], restarts=4, group_cells=cells)
+        cen, cost = best[((1,), 3)]
+        assert sorted(np.round(cen[:, 0], 2).tolist()) == [0.05, 5.05, 9.0]
+        assert cost == pytest.approx(2 * 5 * 0.05 ** 2 * 2, rel=1e-6)
+
+
+def test_fit_from_equals_numpy(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(200, 4))
+    dv = spark.createDataFrame([([float(v) for v in r], 1 + i % 3) for i, r in enumerate(x)], "vec array<double>, wt long")
+    w = np.array([1 + i % 3 for i in range(len(x))], float)
+    cen = x[:5].copy()
+    for _ in range(4):
+        lab = ((x[:, None] - cen[None]) ** 2).sum(-1).argmin(1)
+        cen = np.array([np.average(x[lab == c], axis=0, weights=w[lab == c]) for c in range(5)])
+    cost = (w * ((x[:, None] - cen[None]) ** 2).sum(-1).min(1)).sum()
+    got, got_cost = KM.fit_from(dv, x[:5], 4)
+    assert np.allclose(got, cen) and got_cost == pytest.approx(cost)
+
+
+@pytest.mark.parametrize("tile", [16, 1024])
+def test_tiled_silhouette_of_several_models(spark, tile):
+    rng = np.random.default_rng(11)
+    x = np.unique(rng.integers(0, 3, size=(150, 5)).astype(float), axis=0)
+    labs = np.stack([rng.integers(0, 3, len(x)), rng.integers(0, 5, len(x)), np.zeros(len(x), int)], axis=1)
+    df = spark.createDataFrame([("s", [float(v) for v in r], 1, [int(v) for v in lab]) for r, lab in zip(x, labs)],
+                               "sub string, vec array<double>, wt long, labels array<int>")
+    got = {r["model"]: r["silhouette"] for r in KM.silhouette(df, "labels", by=["sub"], tile=tile).collect()}
+    assert got[0] == pytest.approx(_numpy_silhouette(x, labs[:, 0]), abs=1e-12)
+    assert got[1] == pytest.approx(_numpy_silhouette(x, labs[:, 1]), abs=1e-12) and got[2] == 0.0
 
 
 def test_fit_or_load_reuses_saved_model(spark, tmp_path):
@@ -100,18 +125,6 @@ def test_squared_silhouette_option_runs(spark):
     assert 0.9 < KM.silhouette_squared(df, ["a", "b"], "l") <= 1.0
 
 
-def test_kmeans_pp_seeding_is_deterministic_and_spread():
-    rng = np.random.default_rng(0)
-    x = np.vstack([rng.normal(0, 0.1, (20, 2)), rng.normal(5, 0.1, (20, 2)), rng.normal((0, 5), 0.1, (20, 2))])
-    w = np.ones(len(x))
-    a = KM.kmeans_pp(x, w, 3, np.random.default_rng(42))
-    b = KM.kmeans_pp(x, w, 3, np.random.default_rng(42))
-    assert np.array_equal(a, b)
-    assert all(any(np.allclose(c, p) for p in x) for c in a)          # centres are data points
-    blobs = {tuple(np.round(c / 5).astype(int)) for c in a}
-    assert blobs == {(0, 0), (1, 1), (0, 1)}                          # one seed per blob
-
-
 def test_large_basket_folds_fast():
     import time
 

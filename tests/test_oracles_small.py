@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from tessera.plans import catalog
 from scripts.oracle_check import canon
 from tessera.sources.tables import TABLES
 
@@ -28,8 +29,8 @@ def duck():
 
 
 def test_every_query_has_an_oracle_or_is_iterative():
-    rows_only = {"kmeans_fit", "constrained_clusters", "pca_projection"}
-    assert set(entry.queries()) - set(entry.oracle_sql()) == rows_only
+    rows_only = {"constrained_clusters", "pca_projection"}
+    assert set(catalog.queries()) - set(catalog.oracles()) == rows_only
 
 
 @pytest.mark.parametrize("key", KEYS)
@@ -52,11 +53,5 @@ def test_filters_reach_the_scan(spark):
 
 
 def test_topk_uses_partial_window_limit(spark):
-    from pyspark.sql import Window
-    from pyspark.sql import functions as F
-
-    df = spark.range(1000).withColumn("g", F.col("id") % 3)
-    top = df.withColumn("r", F.row_number().over(Window.partitionBy("g").orderBy(F.col("id").desc()))) \
-        .filter(F.col("r") <= 5)
-    plan = top._jdf.queryExecution().executedPlan().toString()
-    assert "WindowGroupLimit" in plan
+    plan = catalog.queries()["recommend_topk"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and "CartesianProduct" not in plan
