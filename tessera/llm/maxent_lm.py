@@ -34,30 +34,33 @@ from pyspark.sql import DataFrame, functions as F
 from tessera.llm.common import LOWER_ASCII, crc_mod, stage
 
 EXPLICIT = 2e-4
-HEAD = 5e-6
-BINS = 24
-RARE = 40
+HEAD = 1e-6
+BINS = 16
+RARE = 32
 ROWS = 1 << 13
 WORD_ROWS = 1 << 10
 BLOCK = 64
 ROUNDS = 1
-BATCH = 8192
+BATCH = 16384
 RATE = 0.4
 HELD = 400_000
-END = ""
+END = b""
+#: Weights stay within this bound, so that sums of a history's weights cannot overflow.
+LARGEST = 15.0
 LN10 = math.log(10)
 
 
-def tokens(text: str | None) -> list[str]:
-    """Words of the text with A-Z lower-cased, then the end."""
-    raw = (text or "").encode("utf-8", "surrogatepass").translate(LOWER_ASCII).split()
-    return [*b"\0".join(raw).decode("utf-8", "surrogatepass").split("\0"), END] if raw and b"\0" not in (text or "").encode("utf-8", "surrogatepass") else [*(w.decode("utf-8", "surrogatepass") for w in raw), END]
+def tokens(text: str | None) -> list[bytes]:
+    """Words of the text (UTF-8) with A-Z lower-cased, then the end."""
+    words = (text or "").encode("utf-8", "surrogatepass").translate(LOWER_ASCII).split()
+    words.append(END)
+    return words
 
 
-def rare_class(word: str) -> int:
+def rare_class(word: bytes) -> int:
     """Class of a word by its last letters."""
-    stem = word.rstrip(".,;:!?\"')]}*%$#&|")
-    return zlib.crc32((stem or word)[-3:].encode("utf-8", "surrogatepass")) % RARE
+    stem = word.rstrip(b".,;:!?\"')]}*%$#&|")
+    return zlib.crc32((stem or word)[-3:]) % RARE
 
 
 def count_tokens(texts: DataFrame) -> DataFrame:
@@ -67,7 +70,7 @@ def count_tokens(texts: DataFrame) -> DataFrame:
         counts: Counter = Counter()
 
         def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], ["word", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.binary()), pa.array(counts.values(), pa.int64())], ["word", "n"])
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
@@ -77,13 +80,13 @@ def count_tokens(texts: DataFrame) -> DataFrame:
                     counts.clear()
         yield out()
 
-    return stage(texts.mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "lm-counts")
+    return stage(texts.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "lm-counts")
 
 
 class Vocabulary:
     """Frequent words: counts, classes and places in their class. Bounded by 1 / HEAD entries."""
 
-    def __init__(self, head: list[tuple[str, int]], total: int, kinds: int, rare: dict[int, tuple[int, int]]):
+    def __init__(self, head: list[tuple[bytes, int]], total: int, kinds: int, rare: dict[int, tuple[int, int]]):
         self.total, self.kinds = total, kinds
         self.words = {w: i for i, (w, _) in enumerate(head)}
         n = np.array([c for _, c in head], np.float64)
@@ -113,23 +116,23 @@ class Vocabulary:
             c = self.cls[i]
             if self.place[i] >= 0:
                 prior[c] += n[i]
-                self.word_prior[self.starts[c] + self.place[i]] = math.log(n[i] + 1)
+                self.word_prior[self.starts[c] + self.place[i]] = math.log((n[i] + 1) / total)
                 # explicit words are not in the rare counts
         self.denominator += 1
-        self.prior = np.log(prior + 0.5).astype(np.float32)
+        self.prior = np.log((prior + 0.5) / (prior + 0.5).sum()).astype(np.float32)
 
     def encode(self, texts: list[str | None]) -> dict:
         """Flat token arrays of several texts; tail words get index -1."""
         words = self.words
         lists = [tokens(t) for t in texts]
         flat = [w for x in lists for w in x]
-        index = np.fromiter((words.get(w, -1) for w in flat), np.int64, len(flat))
+        index = np.array([words.get(w, -1) for w in flat], np.int64)
         tail = np.flatnonzero(index < 0)
         cls, place, context = (np.zeros(len(flat), np.int64) for _ in range(3))
         seen = index >= 0
         for to, table in ((cls, self.cls), (place, self.place), (context, self.context)):
             to[seen] = table[index[seen]]
-        known: dict[str, int] = {}
+        known: dict[bytes, int] = {}
         for i in tail.tolist():
             w = flat[i]
             k = known.get(w)
@@ -177,40 +180,43 @@ class Weights:
         self.squares = [np.full(ROWS, 1e-2, np.float32), np.full(WORD_ROWS, 1e-2, np.float32)]
 
     @staticmethod
-    def _log_softmax(z: np.ndarray) -> np.ndarray:
-        z -= z.max(axis=1, keepdims=True)
-        z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
-        return z
+    def _softmax(z: np.ndarray, target: np.ndarray, learn: bool) -> np.ndarray:
+        """Log probability of the targets; with ``learn``, ``z`` becomes the gradient of the loss."""
+        every = np.arange(len(z))
+        chosen = z[every, target]
+        np.exp(z, out=z)
+        total = z.sum(axis=1)
+        if learn:
+            z *= (1 / total)[:, None]
+            z[every, target] -= 1
+        return chosen - np.log(total)
 
     def _step(self, which: int, rows: np.ndarray, gradient: np.ndarray, cols: slice = slice(None)) -> None:
         """AdaGrad on the touched rows, with the gradients of a row summed first."""
         order = np.argsort(rows, kind="stable")
         ranked = rows[order]
         starts = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
-        sums = np.add.reduceat(gradient[order], starts, axis=0)
+        sums = np.add.reduceat(np.take(gradient, order, axis=0), starts, axis=0)
         at = ranked[starts]
-        self.squares[which][at] += (sums * sums).mean(axis=1)
+        table = self.tables[which]
+        self.squares[which][at] += np.einsum("ij,ij->i", sums, sums) / sums.shape[1]
         self.updates[which][at] += np.diff(np.append(starts, len(rows)))
-        self.tables[which][at, cols] -= RATE * sums / np.sqrt(self.squares[which][at])[:, None]
+        sums *= (RATE / np.sqrt(self.squares[which][at]))[:, None]
+        table[at, cols] = np.clip(table[at, cols] - sums, -LARGEST, LARGEST)
 
     def run(self, cls: np.ndarray, place: np.ndarray, rows: np.ndarray, learn: bool = False) -> np.ndarray:
         """Natural log probability of the class and, for explicit words, of the word in it."""
         v, out = self.v, np.zeros(len(cls))
         for at in range(0, len(cls), BATCH):
             c, p, f = cls[at:at + BATCH], place[at:at + BATCH], rows[:, at:at + BATCH]
-            table = self.tables[0]
-            z = table[f[0]]
-            z += table[f[1]]
-            z += table[f[2]]
+            z = np.take(self.tables[0], f[0], axis=0)
+            z += np.take(self.tables[0], f[1], axis=0)
+            z += np.take(self.tables[0], f[2], axis=0)
             z += v.prior
-            z = self._log_softmax(z)
-            every = np.arange(len(c))
-            out[at:at + BATCH] = z[every, c]
+            out[at:at + BATCH] = self._softmax(z, c, learn)
             if learn:
-                g = np.exp(z, out=z)
-                g[every, c] -= 1
                 for line in f:
-                    self._step(0, line, g)
+                    self._step(0, line, z)
             word_rows = f[:2] & (WORD_ROWS - 1)
             order = np.argsort(c, kind="stable")
             ends = np.searchsorted(c[order], np.arange(BINS + 1))
@@ -219,15 +225,12 @@ class Weights:
                 if not len(own) or v.sizes[k] < 2:
                     continue
                 cols = slice(int(v.starts[k]), int(v.starts[k + 1]))
-                z = self.tables[1][word_rows[0, own], cols] + self.tables[1][word_rows[1, own], cols] + v.word_prior[cols]
-                z = self._log_softmax(z)
-                mine = np.arange(len(own))
-                out[at + own] += z[mine, p[own]]
+                z = self.tables[1][word_rows[0, own], cols] + self.tables[1][word_rows[1, own], cols]
+                z += v.word_prior[cols]
+                out[at + own] += self._softmax(z, p[own], learn)
                 if learn:
-                    g = np.exp(z, out=z)
-                    g[mine, p[own]] -= 1
                     for line in word_rows:
-                        self._step(1, line[own], g, cols)
+                        self._step(1, line[own], z, cols)
         return out
 
 
@@ -246,7 +249,7 @@ def build_vocabulary(counts: DataFrame) -> Vocabulary:
         yield pa.RecordBatch.from_arrays([pa.array(range(RARE), pa.int32()), pa.array(n), pa.array(v)], ["k", "n", "v"])
 
     rare = counts.filter(F.col("n") < EXPLICIT * total).mapInArrow(classes, "k int, n long, v long").groupBy("k").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect() if total else []
-    return Vocabulary([(r.word, r.n) for r in head], total, kinds, {r.k: (r.n, r.v) for r in rare})
+    return Vocabulary([(bytes(r.word), r.n) for r in head], total, kinds, {r.k: (r.n, r.v) for r in rare})
 
 
 def _summed(parts: DataFrame, keys: list[str]) -> DataFrame:
@@ -301,7 +304,7 @@ def score(docs: DataFrame, counts: DataFrame, weights: Weights) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, base_score, score of (doc_id, held_out, text) rows."""
     v = weights.v
     shared = docs.sparkSession.sparkContext.broadcast((v, *weights.tables))
-    schema = "doc_id long, held_out boolean, n_tokens long, head_known long, head_log double, logp double, words array<string>, tf array<long>"
+    schema = "doc_id long, held_out boolean, n_tokens long, head_known long, head_log double, logp double, words array<binary>, tf array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Weights(*shared.value)
@@ -328,7 +331,7 @@ def score(docs: DataFrame, counts: DataFrame, weights: Weights) -> DataFrame:
                     [
                         rows.column(0), rows.column(1), pa.array(x["lengths"]), pa.array(np.add.reduceat(head.astype(np.int64), starts)),
                         pa.array(np.add.reduceat(log_n, starts)), pa.array(np.add.reduceat(logp, starts)),
-                        pa.array([list(t) for t in tails], pa.list_(pa.string())), pa.array([list(t.values()) for t in tails], pa.list_(pa.int64())),
+                        pa.array([list(t) for t in tails], pa.list_(pa.binary())), pa.array([list(t.values()) for t in tails], pa.list_(pa.int64())),
                     ],
                     ["doc_id", "held_out", "n_tokens", "head_known", "head_log", "logp", "words", "tf"],
                 )

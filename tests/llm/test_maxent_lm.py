@@ -16,7 +16,7 @@ SCHEMA = "doc_id long, text string, lang string, words string, rid int"
 
 def brute_tokens(text):
     low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
-    return [*re.findall(r"[^\x20\x09-\x0D]+", low), ""]
+    return [*(w.encode() for w in re.findall(r"[^\x20\x09-\x0D]+", low)), b""]
 
 
 def check_base(rows, got):
@@ -63,8 +63,8 @@ def test_probabilities_sum_to_one(spark):
     counts = m.count_tokens(df.select("text"))
     v = m.build_vocabulary(counts)
     w = m.train(df.select("text"), v)
-    table = {r.word: r.n for r in counts.collect()}
-    histories = [("", ""), ("the", ""), ("cat", "the"), ("w7", "on")]
+    table = {bytes(r.word): r.n for r in counts.collect()}
+    histories = [(b"", b""), (b"the", b""), (b"cat", b"the"), (b"w7", b"on")]
     for last, before in histories:
         total = 0.0
         ctx = lambda x: m.START if not x else int(v.context[v.words[x]]) if x in v.words else m.RARE_BASE + m.BINS + m.rare_class(x)
