@@ -161,6 +161,16 @@ def one_hot_columns(df: DataFrame, columns: Sequence[str], values: Sequence[str]
     return out
 
 
+def one_hot_long(df: DataFrame, key: str, columns: Sequence[str] | str, prefix: str | None = None) -> DataFrame:
+    """The one-hot encoding in long form: (key, feature) for every flag that is 1. It needs no
+    vocabulary, so designers, publishers and other free lists of any size can be encoded."""
+    cols = [columns] if isinstance(columns, str) else list(columns)
+    lists = [F.col(c) if _is_array(df, c) else F.array(F.col(c).cast("string")) for c in cols]
+    values = F.flatten(F.array(*[F.coalesce(v.cast("array<string>"), F.array().cast("array<string>")) for v in lists]))
+    names = F.array_distinct(F.transform(F.array_compact(values), lambda v: F.concat(F.lit(f"{prefix}_" if prefix else ""), F.lower(v))))
+    return df.select(key, F.explode(names).alias("feature"))
+
+
 def one_hot_encode(df: DataFrame, columns: Sequence[str] | str, prefix: str | None = None,
                    values: Sequence[str] | None = None) -> DataFrame:
     """Adds (or replaces) one flag column per vocabulary value in a single ``select``."""

@@ -322,9 +322,11 @@ def assign(dv: DataFrame, centroids: dict, by: Sequence[str] = (), out: str = "l
     return dv.mapInPandas(run, schema)
 
 
-def centroid_literal(centroids: np.ndarray) -> Column:
-    """A (k x dim) centroid table as an ``array<array<double>>`` literal (k is bounded)."""
-    return F.array(*[F.array(*[F.lit(float(v)) for v in row]) for row in centroids])
+def centroid_table(centroids: DataFrame, id_col: str, vec: str = "c") -> DataFrame:
+    """One row: ``ids`` and ``centroids`` (array<array<double>>), ordered by id. Its size is that of
+    the k x dim table, and it never passes through the driver or the plan."""
+    rows = F.array_sort(F.collect_list(F.struct(F.col(id_col).alias("id"), F.col(vec).alias("c"))))
+    return centroids.agg(rows.alias("t")).select(F.col("t.id").alias("ids"), F.col("t.c").alias("centroids"))
 
 
 def nearest_centroid_expr(vec: Column, centroids: Column) -> Column:

@@ -76,6 +76,33 @@ def is_variant(candidate: Column, input_name: Column) -> Column:
     return F.startswith(F.lower(candidate), F.concat(base_name(input_name), F.lit(":")))
 
 
+# ------------------------------------------------------------------ cluster lookups
+def member_rows(items: DataFrame, members: DataFrame, key: str = "game_name") -> DataFrame:
+    """Item rows whose name is a member of any cluster (semi join: rows are not multiplied)."""
+    return items.join(members.select(key), key, "left_semi")
+
+
+def cluster_labels(items: DataFrame, members: DataFrame, key: str = "game_name", order: str = "game_id",
+                   cluster_col: str = "cluster_id", out: str = "cluster") -> DataFrame:
+    """Label each row with its cluster, -1 when none: of a duplicated name only the last row is
+    labelled, with the highest cluster id containing it."""
+    top = members.groupBy(key).agg(F.max(cluster_col).alias("__label"))
+    last = items.groupBy(key).agg(F.max(order).alias(order)).join(top, key).select(order, "__label")
+    return items.join(last, order, "left").withColumn(out, F.coalesce("__label", F.lit(-1))).drop("__label")
+
+
+def feature_lookup(items: DataFrame, names: DataFrame, features: list[str], key: str = "game_name",
+                   order: str = "game_id") -> DataFrame:
+    """(name, features, status): the feature vector of the first row of each asked name. Names
+    that no item has come back with null features and the missing-name message."""
+    vector = F.array(*[F.col(f"`{c}`").cast("int") for c in features])
+    firsts = items.groupBy(F.col(key).alias("name")).agg(F.min_by(vector, order).alias("features"))
+    asked = names.select(F.col(names.columns[0]).alias("name")).distinct()
+    found = asked.join(firsts, "name", "left")
+    missing = F.format_string(C.STATUS_NOT_IN_CLUSTER.replace("{}", "%s"), F.col("name"))
+    return found.withColumn("status", F.when(F.col("features").isNull(), missing).otherwise(F.lit(C.STATUS_OK)))
+
+
 def size_checked_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> tuple[DataFrame, bool]:
     """The relation as a written table, with a broadcast hint only if its files have at most
     ``limit`` bytes."""

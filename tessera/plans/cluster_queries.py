@@ -12,7 +12,7 @@ from tessera.functions.vectors import cosine
 from tessera.operators import clustering as CL
 from tessera.operators import kmeans as KM
 from tessera.operators.binning import basket_bins as bin_baskets
-from tessera.operators.constrained import constrained_clusters as fit_constrained
+from tessera.operators import constrained as CO
 from tessera.operators.features import feature_columns
 from tessera.operators.projection import pca_projection as project
 from tessera.plans import sqlgen as S
@@ -66,9 +66,7 @@ def silhouette(spark, sf):
 
 def _subsets(items: DataFrame) -> DataFrame:
     """rows of each constraint subset (taken from the full table), remainder otherwise."""
-    cons = C.CONSTRAINT_COLUMNS
-    tags = F.filter(F.array(*[F.when(F.col(c) == 1, F.lit(c)) for c in cons]), lambda t: t.isNotNull())
-    return items.withColumn(SUBSET, F.explode(F.when(F.size(tags) > 0, tags).otherwise(F.array(F.lit("remainder")))))
+    return CO.split_by_constraints(items, C.CONSTRAINT_COLUMNS)
 
 
 def k_candidates(spark, sf):
@@ -125,10 +123,9 @@ def kmeans_step(spark, sf):
     vec = F.array(*[F.col(f"`{f}`").cast("double") for f in feats])
     x = items.select("game_id", "cluster_id", vec.alias("vec"))
     old = KM.mean_vectors(x, "cluster_id").withColumnRenamed("cluster_id", "cid")
-    cen = old.orderBy("cid").collect()  # one row per cluster: bounded by the cluster count
-    ids = [r["cid"] for r in cen]
-    nc = KM.nearest_centroid_expr(F.col("vec"), KM.centroid_literal(np.array([r["c"] for r in cen])))
-    a = x.withColumn("nc", nc).withColumn("cid", F.element_at(F.array(*[F.lit(i) for i in ids]), F.col("nc.cid") + 1))
+    table = KM.centroid_table(old, "cid")
+    nc = KM.nearest_centroid_expr(F.col("vec"), F.col("centroids"))
+    a = x.crossJoin(F.broadcast(table)).withColumn("nc", nc).withColumn("cid", F.get("ids", F.col("nc.cid"))).drop("centroids", "ids")
     agg = a.groupBy("cid").agg(F.count(F.lit(1)).alias("n"),
                                F.sum(F.col("nc.distance") * F.col("nc.distance")).alias("sse"))
     new = KM.mean_vectors(a, "cid", out="m")
@@ -156,17 +153,12 @@ def _embeddings(spark, sf):
     return e.select("vec_id", "label", F.transform("embedding", lambda v: v.cast("double")).alias("vec"))
 
 
-def _label_centroids(e: DataFrame):
-    rows = KM.mean_vectors(e, "label").orderBy("label").collect()  # one row per label (bounded)
-    return [r["label"] for r in rows], np.array([r["c"] for r in rows])
-
-
 def nearest_centroid(spark, sf):
     e = _embeddings(spark, sf)
-    labels, cents = _label_centroids(e)
-    nc = KM.nearest_centroid_expr(F.col("vec"), KM.centroid_literal(cents))
-    return e.select("vec_id", F.element_at(F.array(*[F.lit(int(x)) for x in labels]), nc["cid"] + 1).alias("nearest"),
-                    F.round(nc["distance"], ROUND).alias("distance"))
+    table = KM.centroid_table(KM.mean_vectors(e, "label"), "label")
+    nc = KM.nearest_centroid_expr(F.col("vec"), F.col("centroids"))
+    return e.crossJoin(F.broadcast(table)).select("vec_id", nc.alias("n"), "ids").select(
+        "vec_id", F.get("ids", F.col("n.cid")).alias("nearest"), F.round(F.col("n.distance"), ROUND).alias("distance"))
 
 
 def cosine_similarity(spark, sf):
@@ -177,6 +169,7 @@ def cosine_similarity(spark, sf):
 
 
 FIT_STEPS = 4
+PCA_ROUND = 4
 
 
 def kmeans_fit(spark, sf):
@@ -194,16 +187,19 @@ def kmeans_fit(spark, sf):
 
 def constrained_clusters(spark, sf):
     items, _, feats = _items(spark, sf)
-    members, info = fit_constrained(items, feats, C.CONSTRAINT_COLUMNS, key="game_name", order="game_id")
+    members, info = CO.constrained_clusters(items, feats, C.CONSTRAINT_COLUMNS, key="game_name", order="game_id")
     return members.join(info.select("cluster_id", "constraint"), "cluster_id")
 
 
 def pca_projection(spark, sf):
+    """Cluster centroids on two principal components, without the axes' arbitrary signs."""
     items, _, feats = _items(spark, sf)
     proj, ratio = project(items, feats, "cluster_id")
-    return proj.groupBy("cluster_id").agg(F.avg("pc1").alias("pc1"), F.avg("pc2").alias("pc2"),
-                                          F.count(F.lit(1)).alias("n")) \
-        .withColumn("explained_1", F.lit(float(ratio[0]))).withColumn("explained_2", F.lit(float(ratio[1])))
+    return proj.groupBy("cluster_id").agg(
+        F.round(F.abs(F.avg("pc1")), PCA_ROUND).alias("abs_pc1"), F.round(F.abs(F.avg("pc2")), PCA_ROUND).alias("abs_pc2"),
+        F.count(F.lit(1)).alias("n")) \
+        .withColumn("explained_1", F.round(F.lit(float(ratio[0])), PCA_ROUND)) \
+        .withColumn("explained_2", F.round(F.lit(float(ratio[1])), PCA_ROUND))
 
 
 def basket_bins(spark, sf):
@@ -250,6 +246,32 @@ def _kmeans_fit_sql(emb: str) -> str:
             f"round(min(list_distance(e.vec, c.c)), {ROUND}) AS distance FROM e, c{FIT_STEPS} c GROUP BY e.vec_id")
 
 
+def _pca_sql(items: str, vec: str) -> str:
+    """Power iteration on the covariance matrix, twice (the second time deflated)."""
+    def power(name: str, mat: str) -> str:
+        nxt = f"list_transform({mat}.m, lambda r: list_dot_product(r, p.v))"
+        return (f"{name}p AS (SELECT 0 AS step, list_transform({mat}.m, lambda r, i: 1.0 + (i % 7) / 10.0) AS v FROM {mat} "
+                f"UNION ALL SELECT step + 1, list_transform(w, lambda x: x / sqrt(list_dot_product(w, w))) FROM "
+                f"(SELECT p.step, {nxt} AS w FROM {name}p p, {mat} WHERE p.step < 600)), "
+                f"{name} AS (SELECT v, list_dot_product(v, list_transform({mat}.m, lambda r: list_dot_product(r, v))) AS lam "
+                f"FROM {name}p, {mat} WHERE step = 600)")
+    return (
+        f"{items.replace('WITH ', 'WITH RECURSIVE ', 1)}, x AS (SELECT game_id, cluster, {vec} AS vec FROM it), "
+        "lg AS (SELECT game_id, i, vec[i] AS v FROM x, range(1, len(vec) + 1) t(i)), "
+        "cv AS (SELECT a.i, b.i AS j, covar_samp(a.v, b.v) AS c FROM lg a JOIN lg b USING (game_id) GROUP BY a.i, b.i), "
+        "rw AS (SELECT i, list(c ORDER BY j) AS r FROM cv GROUP BY i), m1 AS (SELECT list(r ORDER BY i) AS m FROM rw), "
+        f"{power('e1', 'm1')}, "
+        "m2 AS (SELECT list_transform(m1.m, lambda r, i: list_transform(r, lambda c, j: c - e1.lam * e1.v[i] * e1.v[j])) AS m FROM m1, e1), "
+        f"{power('e2', 'm2')}, "
+        "tr AS (SELECT SUM(c) AS t FROM cv WHERE i = j), "
+        "mu AS (SELECT list(a ORDER BY i) AS m FROM (SELECT i, AVG(v) AS a FROM lg GROUP BY i)), "
+        "pj AS (SELECT cluster, list_dot_product(list_transform(list_zip(vec, mu.m), lambda z: z[1] - z[2]), e1.v) AS a, "
+        "list_dot_product(list_transform(list_zip(vec, mu.m), lambda z: z[1] - z[2]), e2.v) AS b FROM x, mu, e1, e2) "
+        f"SELECT cluster AS cluster_id, round(abs(AVG(a)), {PCA_ROUND}) AS abs_pc1, round(abs(AVG(b)), {PCA_ROUND}) AS abs_pc2, "
+        f"COUNT(*) AS n, round(any_value(e1.lam / tr.t), {PCA_ROUND}) AS explained_1, "
+        f"round(any_value(e2.lam / tr.t), {PCA_ROUND}) AS explained_2 FROM pj, e1, e2, tr GROUP BY cluster")
+
+
 def _oracles() -> dict[str, str]:
     from tessera.plans.rec_queries import cluster_sql as csql
 
@@ -385,6 +407,7 @@ def _oracles() -> dict[str, str]:
             f"WITH {emb} SELECT e.vec_id, arg_min(ec.label, struct_pack(d := list_distance(e.vec, ec.c), l := ec.label)) "
             f"AS nearest, round(min(list_distance(e.vec, ec.c)), {ROUND}) AS distance FROM e, ec GROUP BY e.vec_id"),
         "kmeans_fit": _kmeans_fit_sql(emb),
+        "pca_projection": _pca_sql(items, vec),
         "cosine_similarity": (
             f"WITH {emb} SELECT e.vec_id, round(COALESCE(list_dot_product(e.vec, ec.c) / NULLIF(sqrt(list_dot_product("
             f"e.vec, e.vec)) * sqrt(list_dot_product(ec.c, ec.c)), 0), 0.0), {ROUND}) AS cosine FROM e JOIN ec USING (label)"),

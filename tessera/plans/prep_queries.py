@@ -56,6 +56,11 @@ def one_hot_scalar(spark, sf):
     return df.select("game_id", *[_q(c) for c in df.columns if c.startswith(C.AGE_PREFIX + "_")])
 
 
+def one_hot_long(spark, sf):
+    """Categories in long form: no vocabulary, no cap."""
+    return FT.one_hot_long(games(spark, sf), "game_id", ["categories"], C.CATEGORY_PREFIX)
+
+
 def one_hot_list(spark, sf):
     df = FT.one_hot_encode(games(spark, sf), ["categories"], C.CATEGORY_PREFIX)
     return df.select("game_id", *[_q(c) for c in df.columns if c.startswith(C.CATEGORY_PREFIX + "_")])
@@ -103,6 +108,7 @@ QUERIES = {
     "range_flags": range_flags,
     "one_hot_scalar": one_hot_scalar,
     "one_hot_list": one_hot_list,
+    "one_hot_long": one_hot_long,
     "one_hot_multi": one_hot_multi,
     "distinct_vocab": distinct_vocab,
     "group_indicators": group_indicators,
@@ -152,6 +158,8 @@ def _oracles() -> dict[str, str]:
         "one_hot_scalar": f"{g}, a AS (SELECT game_id, {age} AS age_group FROM games) SELECT game_id, "
                           + cols(S.scalar_flags("age_group", C.AGE_PREFIX, S.AGE_VALUES))
                           + " FROM a WHERE age_group <> 'Unknown'",
+        "one_hot_long": f"{g} SELECT DISTINCT game_id, '{C.CATEGORY_PREFIX}_' || lower(c) AS feature FROM "
+                        "(SELECT game_id, unnest(categories) AS c FROM games) WHERE c IS NOT NULL",
         "one_hot_list": f"{g} SELECT game_id, "
                         + cols(S.list_flags("categories", C.CATEGORY_PREFIX, S.CATEGORY_VALUES)) + " FROM games",
         "one_hot_multi": f"{g}, a AS (SELECT game_id, {dur} AS playing_time_group, {dif} AS game_difficulty_group "

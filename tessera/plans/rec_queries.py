@@ -14,6 +14,7 @@ from tessera import constants as C
 from tessera.functions import scores as SC
 from tessera.functions.vectors import pack_bits, packed_distance
 from tessera.operators import recommend as R
+from tessera.operators.constrained import split_by_constraints
 from tessera.operators.features import feature_columns
 from tessera.plans import sqlgen as S
 from tessera.plans.prep_queries import prepared
@@ -133,8 +134,8 @@ def minmax_normalize(spark, sf):
 def cluster_semi_join(spark, sf):
     items, members = clustered(spark, sf)
     m = members.select(F.col("cluster_id").alias("member_of"), "game_name")
-    return items.select("game_id", "game_name").join(m, "game_name", "left_semi") \
-        .join(m, "game_name").select("member_of", "game_id", "game_name")
+    return R.member_rows(items, members).select("game_id", "game_name").join(m, "game_name") \
+        .select("member_of", "game_id", "game_name")
 
 
 def candidate_antijoin(spark, sf):
@@ -159,14 +160,8 @@ def find_cluster(spark, sf):
 
 
 def cluster_labels(spark, sf):
-    """Label each row with its cluster, -1 when none: a duplicated name labels only its last
-    row, with the highest cluster id containing it."""
     items, members = clustered(spark, sf)
-    top = members.groupBy("game_name").agg(F.max("cluster_id").alias("label"))
-    last = items.groupBy("game_name").agg(F.max("game_id").alias("game_id"))
-    lab = last.join(top, "game_name").select("game_id", "label")
-    return items.select("game_id", "game_name").join(lab, "game_id", "left") \
-        .select("game_id", "game_name", F.coalesce(F.col("label"), F.lit(-1)).alias("cluster"))
+    return R.cluster_labels(items, members).select("game_id", "game_name", "cluster")
 
 
 def pairwise_distance(spark, sf):
@@ -183,19 +178,14 @@ def pairwise_distance(spark, sf):
 
 def constraint_split(spark, sf):
     """Every row goes to each constraint it satisfies; rows matching none go to the remainder."""
-    items = prepared(spark, sf)
-    cons = C.CONSTRAINT_COLUMNS
-    tags = F.filter(F.array(*[F.when(F.col(c) == 1, F.lit(c)) for c in cons]), lambda t: t.isNotNull())
-    return items.select("game_id", F.explode(F.when(F.size(tags) > 0, tags).otherwise(F.array(F.lit("remainder"))))
-                        .alias("subset"))
+    return split_by_constraints(prepared(spark, sf), C.CONSTRAINT_COLUMNS).select("game_id", "subset")
 
 
 def feature_lookup(spark, sf):
-    """Feature vector of the first row of every name (point lookup served for all names)."""
+    """Feature vector of the first row of every name (point lookup served for all names at once)."""
     items = prepared(spark, sf)
-    feats = feature_columns(items)
-    v = F.array(*[F.col(f"`{c}`").cast("int") for c in feats])
-    return items.groupBy("game_name").agg(F.min_by(v, "game_id").alias("features"))
+    return R.feature_lookup(items, items.select("game_name"), feature_columns(items)).select(
+        F.col("name").alias("game_name"), "features")
 
 
 def variant_filter(spark, sf):
