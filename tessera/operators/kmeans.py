@@ -180,8 +180,7 @@ class _Sweep:
         dealt = src.withColumn("tile", F.pmod(F.xxhash64("vec"), F.lit(tiles))).withColumn(
             "share", F.explode(F.sequence(F.lit(0), F.lit(self.shares - 1))))
         self.data = dealt.repartitionByRange(tiles * self.shares, "tile", "share").persist()
-        types = ", ".join(f"`{b}` {dv.schema[b].dataType.simpleString()}" for b in by)
-        self.schema = (types + ", " if by else "") + "i int, d2 double, w array<double>, s array<double>"
+        self.tiles = tiles
 
     def run(self, centroids: dict, sums: bool = True) -> dict:
         """Per model: (cost of the centroids, weight of each cluster, sum of its vectors)."""
@@ -193,6 +192,7 @@ class _Sweep:
         bc = self.spark.sparkContext.broadcast(table)
 
         def part(frames):
+            """(model, packed cost, cluster weights and vector sums) of a tile."""
             for pdf in frames:
                 rows = []
                 for key, g in pdf.groupby([*by, "share"], sort=False, dropna=False):
@@ -201,21 +201,35 @@ class _Sweep:
                         continue
                     x = np.array(g["vec"].tolist(), dtype=np.float64)
                     wt = g["wt"].to_numpy(dtype=np.float64)
-                    x2 = (x * x).sum(1)[:, None]
+                    x2, at = (x * x).sum(1)[:, None], np.arange(len(x))
                     for i, cen in mine:
                         d2 = np.maximum(x2 - 2.0 * x @ cen.T + (cen * cen).sum(1)[None, :], 0.0)
                         lab = d2.argmin(1)
-                        cost = float((wt * d2[np.arange(len(lab)), lab]).sum())
                         member = np.zeros((len(lab), len(cen)))
-                        member[np.arange(len(lab)), lab] = wt
-                        rows.append([*key[:-1], i, cost, member.sum(0), (member.T @ x).ravel() if wanted else [0.0]])
+                        member[at, lab] = wt
+                        packed = [[float((wt * d2[at, lab]).sum())], member.sum(0), (member.T @ x).ravel() if wanted else []]
+                        rows.append((i, np.concatenate(packed).tobytes()))
                 if rows:
-                    yield pd.DataFrame(rows, columns=[*by, "i", "d2", "w", "s"])
+                    yield pd.DataFrame(rows, columns=["i", "packed"])
 
-        red = self.data.mapInPandas(part, self.schema).groupBy("i").agg(
-            F.sum("d2").alias("d2"), vector_to_array(Summarizer.sum(array_to_vector("w"))).alias("w"),
-            vector_to_array(Summarizer.sum(array_to_vector("s"))).alias("s"))
-        out = {keys[r["i"]]: (r["d2"], np.array(r["w"]), np.array(r["s"])) for r in red.collect()}  # the centroid table
+        def add(frames):
+            """Sums of equal models; a task holds one sum per model it is dealt."""
+            total: dict = {}
+            for pdf in frames:
+                for i, packed in zip(pdf["i"], pdf["packed"]):
+                    value = np.frombuffer(packed)
+                    total[i] = total[i] + value if i in total else value
+            yield pd.DataFrame([(i, v.tobytes()) for i, v in total.items()], columns=["i", "packed"])
+
+        schema = "i int, packed binary"
+        summed = self.data.mapInPandas(part, schema)
+        if self.tiles > 1:
+            summed = summed.repartition("i").mapInPandas(add, schema)
+        out: dict = {}
+        for r in summed.collect():  # the centroid table
+            value, k = np.frombuffer(r["packed"]), len(centroids[keys[r["i"]]])
+            cost, w, s = out.get(keys[r["i"]], (0.0, 0.0, 0.0))  # Arrow batches of one tile come apart
+            out[keys[r["i"]]] = (cost + value[0], w + value[1:1 + k], s + value[1 + k:])
         bc.unpersist()
         return out
 
