@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tessera.llm import decontaminate, pieces, pii, quality, simhash
-from tessera.llm.common import stage
+from tessera.llm.common import quote, stage
 from tessera.sources.tables import read_table
 
 
@@ -33,7 +33,7 @@ def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Entities get surrogates; ``n_chars`` follows the new text."""
     out = pii.anonymise(docs)
     changed = F.length("text").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None
-    return out if changed is None else out.select(*[changed.alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    return out if changed is None else out.select(*[changed.alias(c) if c == "n_chars" else F.col(quote(c)) for c in docs.columns])
 
 
 def sentencepiece_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

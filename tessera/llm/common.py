@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import StructType
 
 from tessera.session import shared_path
 
@@ -61,17 +59,10 @@ def free_name(taken: Iterable[str], name: str) -> str:
 
 
 def with_columns(df: DataFrame, **cols: Column) -> DataFrame:
-    """Add columns; a column of the input with the same name gives way."""
-    return df.drop(*cols).withColumns(cols) if not (set(cols) & set(df.columns)) else \
-        df.select(*[F.col(quote(c)) for c in df.columns if c not in cols], *[v.alias(k) for k, v in cols.items()])
+    """Add columns; columns of the input with the same names (in any case) give way."""
+    new = {k.lower() for k in cols}
+    return df.select(*[F.col(quote(c)) for c in df.columns if c.lower() not in new], *[v.alias(k) for k, v in cols.items()])
 
 
 def quote(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
-
-
-def schema_of(ddl: str) -> StructType:
-    return StructType.fromDDL(ddl)
-
-
-WORD_BYTES = re.compile(rb"[^\x20\x09-\x0D]+")

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm.common import BLANKS, let, stage, with_columns, words_of
+from tessera.llm.common import BLANKS, let, quote, stage, with_columns, words_of
 
 SYMBOLS = "#*$%&|<>"
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -220,8 +220,7 @@ def quality_verdicts(docs: DataFrame, cutoff: float = CUTOFF, min_rows: int = 10
 
 def quality_filter(docs: DataFrame, cutoff: float = CUTOFF, min_rows: int = 100) -> DataFrame:
     """The rows of documents that are kept, with their own columns."""
-    columns = docs.columns
-    row = F.struct(*[docs[c] for c in columns]).alias("row")
-    annotated = stage(text_statistics(docs.select(row, docs["text"], docs["lang"], docs["source"])).drop("text"), "quality-docs")
+    row = F.struct(*[F.col(quote(c)) for c in docs.columns]).alias("row")
+    annotated = stage(text_statistics(docs.select(row, "text", "lang", "source")).drop("text"), "quality-docs")
     groups, model = mcd_model(annotated.drop("row"), min_rows=min_rows)
     return judge(annotated, groups, model, cutoff).filter("kept").select("row.*")
