@@ -9,8 +9,9 @@ and only the item is sketched:
   bottom-k MinHash sketch, its ``k`` smallest shingle hashes. ``k`` follows from the largest size of
   the partition: one more than the number of shingles a contained item may miss. A document
   that contains the item therefore holds at least one hash of its sketch: no link is lost.
-* Documents are probed with their shingle hashes up to the largest hash in any sketch. Hits,
-  after a size filter, are candidate (text, item) pairs.
+* Documents are probed with their shingle hashes. Those that hold any hash of any sketch are set
+  aside first (without shuffling texts, see ``with_hits``); their hashes, joined with the sketches and
+  filtered by size, give candidate (text, item) pairs.
 * Candidates are verified exactly: the words of the shingles, not their hashes, are joined with the
   item's shingles and the distinct matches counted.
 
@@ -31,6 +32,8 @@ from tessera.llm.common import free_name, let, quote, stage
 
 SHINGLE = 5
 CONTAINMENT = 0.8
+#: Hashes up to which all sketches are compared inside the scan instead of joined.
+INLINE = 20_000
 GAPS = r"[^\p{L}\p{M}\p{N}]+"
 
 
@@ -79,36 +82,57 @@ def item_tables(items: DataFrame, containment: float = CONTAINMENT) -> tuple[Dat
     return exact, stage(sketch, "decon-sketch")
 
 
-def contained_items(docs: DataFrame, items: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
-    """(text_key, item_key, n_shared, n_shingles): verified links between texts and items, written."""
-    exact, sketch = item_tables(items, containment)
+def with_hits(docs: DataFrame, sketch: DataFrame, key: str, hit: str, inline: int = INLINE) -> DataFrame:
+    """``docs`` with the text's key and whether it holds any hash of any sketch.
+
+    A sketch table of at most ``inline`` hashes is compared row by row, so that no text is shuffled.
+    A larger one is joined with the exploded hashes; the keys found are joined back.
+    """
     top = sketch.agg(F.max("hash")).first()[0]
-    keyed = docs.select(text_key(F.col("text")).alias("text_key"), "text")
-    hashed = keyed.select("text_key", shingle_hashes(F.col("text")).alias("hashes"))
-    probe = hashed.select("text_key", F.size("hashes").alias("size"), F.explode("hashes").alias("hash")).filter(F.col("hash") <= F.lit(top))
-    hits = probe.join(sketch, "hash").filter("size >= need")
-    pairs = stage(hits.groupBy("text_key", "item_key").agg(F.count("*").alias("hits")).select("text_key", "item_key"), "decon-pairs")
-
-    texts = pairs.select("text_key").distinct()
-    found = keyed.join(texts, "text_key", "left_semi").select("text_key", F.explode(shingles(F.col("text"))).alias("shingle"))
-    shared = found.join(exact, "shingle").groupBy("text_key", "item_key", "n", "need", "shingle").agg(F.count("*").alias("c"))
-    counted = shared.groupBy("text_key", "item_key", "n", "need").agg(F.count("*").alias("n_shared")).filter("n_shared >= need")
-    verified = counted.join(pairs, ["text_key", "item_key"], "left_semi")
+    text = F.col("text")
+    keyed = docs.withColumn(key, text_key(text))
+    if top is None:
+        return keyed.withColumn(hit, F.lit(False))
+    distinct = sketch.select("hash").distinct()
+    if distinct.count() <= inline:
+        every = distinct.agg(F.collect_list("hash")).scalar()
+        return keyed.withColumn(hit, F.coalesce(F.arrays_overlap(shingle_hashes(text), every), F.lit(False)))
+    probe = keyed.select(F.col(key).alias("found"), F.explode(shingle_hashes(text)).alias("hash")).filter(F.col("hash") <= F.lit(top))
+    found = stage(probe.join(distinct, "hash", "left_semi").select("found").distinct(), "decon-found")
+    return keyed.join(found, F.col(key) == F.col("found"), "left").withColumn(hit, F.col("found").isNotNull()).drop("found")
+
+
+def verified_links(hits: DataFrame, exact: DataFrame, sketch: DataFrame) -> DataFrame:
+    """(text_key, item_key, n_shared, n_shingles) of (text_key, text) rows with hits; written."""
+    texts = stage(hits.groupBy("text_key").agg(F.first("text").alias("text")), "decon-texts")
+    probe = texts.select("text_key", shingle_hashes(F.col("text")).alias("hashes")).select("text_key", F.size("hashes").alias("size"), F.explode("hashes").alias("hash"))
+    near = probe.join(sketch, "hash").filter("size >= need")
+    pairs = stage(near.groupBy("text_key", "item_key").agg(F.count("*").alias("hits")).select("text_key", "item_key"), "decon-pairs")
+    found = texts.select("text_key", F.explode(F.array_distinct(shingles(F.col("text")))).alias("shingle"))
+    shared = found.join(exact, "shingle").groupBy("text_key", "item_key", "n", "need").agg(F.count("*").alias("n_shared")).filter("n_shared >= need")
+    verified = shared.join(pairs, ["text_key", "item_key"], "left_semi")
     return stage(verified.select("text_key", "item_key", F.col("n_shared").cast("int").alias("n_shared"), F.col("n").alias("n_shingles")), "decon-links")
 
 
-def contaminated(docs: DataFrame, items: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, containment: float = CONTAINMENT, inline: int = INLINE) -> DataFrame:
     """doc_id, item_id, n_shared, n_shingles, containment: a row for each document and item it contains."""
-    links = contained_items(docs, items, containment)
+    exact, sketch = item_tables(items, containment)
+    flagged = with_hits(docs.select("doc_id", "text"), sketch, "text_key", "hit", inline)
+    hits = stage(flagged.filter("hit").select("doc_id", "text_key", "text"), "decon-hits")
+    links = verified_links(hits.select("text_key", "text"), exact, sketch)
     ids = items.select("item_id", text_key(F.col("text")).alias("item_key"))
-    rows = docs.select("doc_id", text_key(F.col("text")).alias("text_key"))
-    out = rows.join(links, "text_key").join(ids, "item_key")
+    out = hits.select("doc_id", "text_key").join(links, "text_key").join(ids, "item_key")
     return out.select("doc_id", "item_id", "n_shared", "n_shingles", (F.col("n_shared") / F.col("n_shingles")).alias("containment"))
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
-    """The rows of documents that contain no test item."""
+def decontaminate(docs: DataFrame, items: DataFrame, containment: float = CONTAINMENT, inline: int = INLINE) -> DataFrame:
+    """The rows of documents that contain no test item. Rows without hits take part in no shuffle."""
     key = free_name(docs.columns, "text_key")
-    links = contained_items(docs, items, containment).select(F.col("text_key").alias(key)).distinct()
-    rows = docs.withColumn(key, text_key(F.col("text")))
-    return rows.join(links, key, "left_anti").select(*[F.col(quote(c)) for c in docs.columns])
+    hit = free_name([*docs.columns, key], "hit")
+    exact, sketch = item_tables(items, containment)
+    flagged = stage(with_hits(docs, sketch, key, hit, inline), "decon-docs")
+    columns = [F.col(quote(c)) for c in docs.columns]
+    hits = flagged.filter(F.col(hit))
+    links = verified_links(hits.select(F.col(key).alias("text_key"), "text"), exact, sketch)
+    dirty = links.select(F.col("text_key").alias(key)).distinct()
+    return flagged.filter(~F.col(hit)).select(*columns).unionByName(hits.join(dirty, key, "left_anti").select(*columns))

@@ -4,6 +4,8 @@ import random
 import re
 from collections import Counter
 
+import pytest
+
 from tessera.llm import decontaminate as d
 
 DOCS = "doc_id long, text string, lang string, source string, text_key string, item_key int"
@@ -48,15 +50,16 @@ def corpus():
     return docs + [docs[20], docs[20], (None, docs[20][1])], items
 
 
-def test_against_brute_force(spark):
+@pytest.mark.parametrize("inline", [d.INLINE, 0])
+def test_against_brute_force(spark, inline):
     docs, items = corpus()
     ddf = spark.createDataFrame([(i, t, "en", None, "k", 1) for i, t in docs], DOCS)
     idf = spark.createDataFrame([(i, t, 1) for i, t in items], ITEMS)
-    got = Counter((r.doc_id, r.item_id, r.n_shared, r.n_shingles) for r in d.contaminated(ddf, idf).collect())
+    got = Counter((r.doc_id, r.item_id, r.n_shared, r.n_shingles) for r in d.contaminated(ddf, idf, inline=inline).collect())
     want = brute(docs, items)
     assert got == want and len(want) > 20
     dirty = {w[0] for w in want}
-    clean = d.decontaminate(ddf, idf)
+    clean = d.decontaminate(ddf, idf, inline=inline)
     assert clean.columns == ddf.columns
     assert Counter((r.doc_id, r.text) for r in clean.collect()) == Counter(x for x in docs if x[0] not in dirty)
 
