@@ -33,7 +33,7 @@ from tessera.llm.common import free_name, quote
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
-CACHE = 300_000
+CACHE = 150_000
 #: Bytes of the parts that are encoded together and kept in the cache.
 LONG = 72
 #: Texts that are encoded together.
@@ -139,8 +139,8 @@ class Unigram:
         runs = f"(?:[^{MARK}{stop}{q}]+|{behind_letter}[{q}]+)*" if q else f"[^{MARK}{stop}]*"
         self.parts = re.compile((f"{stop}|" if stop else "") + f"{MARK}*" + (f"[{q}]*" if q else "") + runs)
         self.mark_ids = [self.byte_ids[b] for b in MARK.encode()]
-        self.cache: dict[str | None, tuple] = {}
-        self.words: dict[str, tuple] = {}
+        self.cache: dict[str | None, bytes] = {}
+        self.words: dict[str, bytes] = {}
 
     def viterbi(self, part: str) -> list[int]:
         """Ids of the best segmentation."""
@@ -273,9 +273,10 @@ class Unigram:
             out += ([None] if k else []) + self.parts.findall(piece.replace(" ", MARK))
         return out
 
-    def encode_many(self, texts: list[str | None]) -> list[list[int] | None]:
+    def encode_many(self, texts: list[str | None]) -> list[np.ndarray | None]:
         """Ids of each text. Texts with single blanks are looked up word by word; new words and all
-        other texts are cut into parts, and the parts not seen before are encoded together."""
+        other texts are cut into parts, and the parts not seen before are encoded together. Looked-up
+        ids are kept and joined as packed int32."""
         words, cache = self.words, self.cache
         for table in (words, cache):
             if len(table) >= CACHE:
@@ -286,17 +287,13 @@ class Unigram:
         need = {x for c in fresh.values() for x in c}
         need.update(*odd)
         need = list(need.difference(cache, ("", None)))
-        cache.update(zip(need, map(tuple, self.viterbi_many(need))))
-        cache[None], cache[""] = tuple(self.mark_ids), ()
-
-        def joined(keys: list, table: dict) -> list[int]:
-            ids: list[int] = []
-            for x in keys:
-                ids += table[x]
-            return ids
-
-        words.update((w, tuple(joined(parts, cache))) for w, parts in fresh.items())
-        out = [joined(p, words) if p else None if t is None else joined(c, cache) for t, p, c in zip(texts, plain, odd)]
+        cache.update(zip(need, [np.array(x, np.int32).tobytes() for x in self.viterbi_many(need)]))
+        cache[None], cache[""] = np.array(self.mark_ids, np.int32).tobytes(), b""
+        words.update((w, b"".join(map(cache.__getitem__, parts))) for w, parts in fresh.items())
+        out = [
+            None if t is None else np.frombuffer(b"".join(map(words.__getitem__, p) if p else map(cache.__getitem__, c)), np.int32)
+            for t, p, c in zip(texts, plain, odd)
+        ]
         for table, keys in ((words, fresh), (cache, need)):
             for x in keys:
                 if len(x) > LONG:
@@ -304,7 +301,7 @@ class Unigram:
         return out
 
     def encode(self, text: str) -> list[int]:
-        return self.encode_many([text])[0]
+        return self.encode_many([text])[0].tolist()
 
     def decode(self, ids: list[int]) -> str:
         table = self.bytes_of
@@ -328,6 +325,13 @@ def _broadcast(spark: SparkSession, path: str) -> tuple:
     return uuid.uuid4().hex, spark.sparkContext.broadcast((vocabulary, Unigram(vocabulary).trie))
 
 
+def _list_array(lists: list[np.ndarray | None]) -> pa.ListArray:
+    arrays = [np.zeros(0, np.int32) if x is None else x for x in lists]
+    offsets = np.concatenate([[0], np.cumsum([len(a) for a in arrays])]).astype(np.int32)
+    values = np.concatenate(arrays) if arrays else np.zeros(0, np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values), mask=pa.array([x is None for x in lists], pa.bool_()))
+
+
 def encode(docs: DataFrame, text: str = "text", path: str = MODEL, ids: str = "ids") -> DataFrame:
     """``docs`` with the piece ids of every whole text in column ``ids``."""
     model = _broadcast(docs.sparkSession, path)
@@ -338,7 +342,7 @@ def encode(docs: DataFrame, text: str = "text", path: str = MODEL, ids: str = "i
         out: list = []
         for at in range(0, len(texts), ROWS):
             out += encoder.encode_many(texts.slice(at, ROWS).to_pylist())
-        return pa.array(out, pa.list_(pa.int32()))
+        return _list_array(out)
 
     return docs.withColumn(ids, batch(F.col(quote(text))))
 
@@ -369,15 +373,13 @@ def tokens(docs: DataFrame, path: str = MODEL) -> DataFrame:
                 rows = whole.slice(at, ROWS)
                 texts = rows.column(1).to_pylist()
                 lists = coder.encode_many(texts)
-                arrays = [np.array(x or [], np.int32) for x in lists]
-                offsets = pa.array(np.concatenate([[0], np.cumsum([len(a) for a in arrays])]).astype(np.int32))
-                ids = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(arrays)), mask=pa.array([x is None for x in lists]))
+                sizes = [0 if x is None else len(x) for x in lists]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        rows.column(0), ids,
-                        pa.array([len(a) for a in arrays], pa.int64()),
-                        pa.array([int(is_byte[a].sum()) for a in arrays], pa.int64()),
-                        pa.array([None if t is None else coder.decode(x) == t for t, x in zip(texts, lists)], pa.bool_()),
+                        rows.column(0), _list_array(lists),
+                        pa.array(sizes, pa.int64()),
+                        pa.array([0 if x is None else int(is_byte[x].sum()) for x in lists], pa.int64()),
+                        pa.array([None if t is None else coder.decode(x.tolist()) == t for t, x in zip(texts, lists)], pa.bool_()),
                     ],
                     ["doc_id", "ids", "n_pieces", "n_byte_pieces", "round_trip"],
                 )
