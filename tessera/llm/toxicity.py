@@ -106,21 +106,21 @@ def train(rows: DataFrame, features: int = FEATURES, regularisation: float = REG
     if pos == 0 or pos == n:
         share = min(max(pos / n if n else 0.0, 1e-12), 1 - 1e-12)
         return Model(np.zeros(0, int), np.zeros(0), float(np.log(share / (1 - share))))
-    counts = rows.mapInArrow(_count, "bin long, pos long, neg long").groupBy("bin").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    table = counts.toPandas().sort_values("bin")  # at most BINS rows
-    b, p, q = (table[c].to_numpy() for c in ("bin", "pos", "neg"))
-    ratio = np.log((p + SMOOTH) / (p + SMOOTH).sum()) - np.log((q + SMOOTH) / (q + SMOOTH).sum())
+    counts = stage(rows.mapInArrow(_count, "bin long, pos long, neg long").groupBy("bin").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")), "toxic-counts")
+    sizes = counts.agg(F.count("*").alias("bins"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).first()
+    p, q = F.col("pos"), F.col("neg")
+    all_pos, all_neg = (sizes[c] + SMOOTH * sizes.bins for c in ("pos", "neg"))
+    ratio = F.log((p + SMOOTH) / all_pos) - F.log((q + SMOOTH) / all_neg)
     # significance: difference of the two labels' document rates over its standard error
     rate = (p + q + 1) / (n + 2)
-    z = np.abs(p / pos - q / (n - pos)) / np.sqrt(rate * (1 - rate) * (1 / pos + 1 / (n - pos)))
-    kept = np.sort(np.lexsort((b, -z))[:features])
-    kept_bins, kept_ratio = b[kept], ratio[kept]
-
-    place = np.full(BINS, -1, np.int64)
-    place[kept_bins] = np.arange(len(kept_bins))
+    z = F.abs(p / pos - q / (n - pos)) / F.sqrt(rate * (1 - rate) * (1 / pos + 1 / (n - pos)))
+    best = counts.select("bin", ratio.alias("ratio"), z.alias("z")).orderBy(F.desc("z"), "bin").limit(features).collect()
+    kept = sorted((r.bin, r.ratio) for r in best)
+    kept_bins, kept_ratio = np.array([b for b, _ in kept], np.int64), np.array([r for _, r in kept])
 
     def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bins = Bins()
+        bins, place = Bins(), np.full(BINS, -1, np.int64)
+        place[kept_bins] = np.arange(len(kept_bins))
         for batch in batches:
             found = []
             for t in batch.column(0).to_pylist():
