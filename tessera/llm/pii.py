@@ -38,7 +38,7 @@ TITLES = {
     "госпожа": "f", "Госпожа": "f", "κυρία": "f", "Dr": "n", "Prof": "n",
 }
 NAME_WORD = r"\p{Lu}[\p{L}\p{M}]*+(?:['’-]\p{L}[\p{L}\p{M}]*+)*+"
-TITLED = rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(sorted(TITLES, key=len, reverse=True))})\.? {NAME_WORD}(?: {NAME_WORD}){{0,2}}"
+TITLED = rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(sorted(TITLES, key=len, reverse=True))})\.? {NAME_WORD}(?: {NAME_WORD})*+"
 
 LOCAL = r"[\p{L}\p{M}\p{N}._+-]"
 EMAIL = rf"(?<!{LOCAL}){LOCAL}++@[\p{{L}}\p{{N}}-]++(?:\.[\p{{L}}\p{{N}}-]++)++"
@@ -49,14 +49,23 @@ HEX = r"(?<![A-Za-z0-9])(?=[a-fA-F]{0,200}[0-9])(?=[0-9]{0,200}[a-fA-F])(?:[0-9a
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 IP = r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?!\.?[0-9])"
 CARD = r"(?<![\p{L}\p{N}.])[0-9](?:[ -]?[0-9]){12,18}(?![\p{L}\p{N}])"
-GAP = r"[^\p{L}\p{N}\n]"
+SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
+BRACKETED = r"\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![0-9])"
+DASHED = r"(?<![0-9.+-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9])"
+#: Cards in groups; the digits of a card without gaps are more than a phone's group takes.
+GROUPED = r"[0-9]{4}(?:(?: [0-9]{4}){2} [0-9]{1,7}|(?:-[0-9]{4}){2}-[0-9]{1,7}|[ -][0-9]{6}[ -][0-9]{5})(?![ -]?[\p{L}\p{N}])"
+#: What a phone must not run into with any further group, and with those after the first.
+OTHER = f"{IP}|{GROUPED}|{EMAIL}|{HEX}"
+GAP = r"[^\p{L}\p{N}\n+]"
+SIXTEEN = "[0-9]" + f"{GAP}{{0,6}}[0-9]" * 15
+#: At most the 15 digits of E.164; numbers of country code 1 have 11.
 PHONE = (
-    rf"\+[0-9]{{1,3}}{GAP}{{0,6}}[0-9]{{2,4}}(?:{GAP}{{1,6}}[0-9]{{2,4}}){{1,4}}(?![0-9])"
+    rf"\+1{GAP}{{0,6}}[0-9]{{3}}{GAP}{{0,6}}[0-9]{{3}}{GAP}{{0,6}}[0-9]{{4}}(?![0-9])"
+    rf"|\+[0-9]{{1,3}}{GAP}{{0,6}}[0-9]{{2,4}}{GAP}{{1,6}}(?!{OTHER})[0-9]{{2,4}}(?![0-9])"
+    rf"(?:(?!{GAP}{{0,5}}{BRACKETED}){GAP}{{1,6}}(?!{OTHER}|{SSN}|{DASHED})[0-9]{{2,4}}(?![0-9])(?<!{SIXTEEN})){{0,3}}"
     r"|\+[0-9]{8,15}(?![0-9])"
-    r"|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![0-9])"
-    r"|(?<![0-9.+-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9])"
+    rf"|{BRACKETED}|{DASHED}"
 )
-SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 #: Kinds in the order in which a match is told.
 KINDS = {"email": EMAIL, "access_key": ACCESS_KEY, "secret": SECRET, "hex_key": HEX, "iban": IBAN, "ip": IP, "card": CARD, "ssn": SSN, "phone": PHONE}
 BASE = "|".join(KINDS.values())
@@ -88,21 +97,15 @@ def _name_words(match: Column) -> Column:
 def _roles(titled: Column) -> Column:
     """array<struct<word, kind>>: what each name word of the titled mentions is."""
     genders = F.create_map(*[F.lit(x) for kv in TITLES.items() for x in kv])
-    return F.flatten(
-        F.transform(
-            titled,
-            lambda m: let(
-                _name_words(m),
-                lambda ws: F.transform(
-                    ws,
-                    lambda w, i: F.struct(
-                        F.lower(w).alias("word"),
-                        F.when(i < F.size(ws) - 1, F.concat(F.lit("given_"), F.coalesce(genders[_title(m)], F.lit("n")))).otherwise("family").alias("kind"),
-                    ),
-                ),
-            ),
-        )
-    )
+
+    def told(m: Column) -> Column:
+        def role(ws: Column, given: Column) -> Column:
+            return F.transform(ws, lambda w, i: F.struct(F.lower(w).alias("word"), F.when(i < F.size(ws) - 1, given).otherwise("family").alias("kind")))
+
+        given = F.concat(F.lit("given_"), F.coalesce(genders[_title(m)], F.lit("n")))
+        return let(given, lambda g: let(_name_words(m), lambda ws: role(ws, g)))
+
+    return F.array_distinct(F.flatten(F.transform(titled, told)))
 
 
 def _titled(text: Column) -> Column:
@@ -131,17 +134,18 @@ def _norm(kind: Column, m: Column) -> Column:
 
 def _entities(match: Column, roles: Column) -> Column:
     """Parts of a match: one, or for names one per word (a title has no kind)."""
-    kind = F.lit(None).cast("string")
+    # a phone that ends before another entity may look otherwise without what follows
+    kind = F.when(match.startswith("+"), "phone")
     for k, p in reversed(KINDS.items()):
         kind = F.when(match.rlike(f"^(?:{p})$"), k).otherwise(kind)
 
     def names(m: Column) -> Column:
-        def part(w: Column, i: Column) -> Column:
+        def part(w: Column, i: Column, ws: Column) -> Column:
             role = F.element_at(F.filter(roles, lambda r: r["word"] == F.lower(w)), 1)["kind"]
-            known = F.when((i == 0) & (F.size(F.split(m, " ")) > 1), F.lit(None).cast("string")).otherwise(role)
+            known = F.when((i == 0) & (F.size(ws) > 1), F.lit(None).cast("string")).otherwise(role)
             return F.struct(i.cast("int").alias("part"), known.alias("kind"), F.lower(w).alias("norm"), w.alias("raw"))
 
-        return F.transform(F.split(m, " "), part)
+        return let(F.split(m, " "), lambda ws: F.transform(ws, lambda w, i: part(w, i, ws)))
 
     plain = let(kind, lambda k: F.array(F.struct(F.lit(0).alias("part"), k.alias("kind"), _norm(k, match).alias("norm"), match.alias("raw"))))
     return F.when(kind.isNull(), names(match).cast(f"array<{ENTITY}>")).otherwise(plain.cast(f"array<{ENTITY}>"))
@@ -154,7 +158,8 @@ def detect(docs: DataFrame, matches: str, pattern: str, parts: str, text: str =
     step = step.withColumn(roles, _roles(F.col(titled))).withColumn(pattern, _pattern(F.col(roles), F.col(titled)))
     found = F.when(t.rlike("[0-9@]") | (F.size(titled) > 0), F.regexp_extract_all(t, F.col(pattern), F.lit(0)))
     step = step.withColumn(matches, F.coalesce(found, F.array().cast("array<string>")))
-    return step.withColumn(parts, F.transform(matches, lambda m: _entities(m, F.col(roles)))).drop(titled, roles)
+    # bound here, as the planner may put the roles' expression where the name is, for every word
+    return step.withColumn(parts, let(F.col(roles), lambda r: F.transform(matches, lambda m: _entities(m, r)))).drop(titled, roles)
 
 
 def _pick(alphabet: str, seed: Column, i: Column) -> Column:

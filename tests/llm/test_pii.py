@@ -57,6 +57,22 @@ def test_names(spark):
     assert re.fullmatch(r"Dr [A-Z]\w+ [A-Z]\w+", got[4][0])
 
 
+def test_neighbours_and_long_names(spark):
+    after = ["190.137.223.204", "4041 8949 7460 8795", "4041894974608795", "123-45-6789", "(973) 555-1234", "+49 170 555 1234", "12.ab@mail.example.com", "24 of them"]
+    phones = ["+1 (826) 555-4081", "+44 20 7946 0958"]
+    got = run(spark, [*phones, *after, *[f"{p} {a}" for p in phones for a in after[:-1]], f"{phones[0]} {after[-1]}", "+49 170 234 678 1234 5678"])
+    k = len(phones) + len(after)
+    for p in range(2):
+        for a in range(len(after) - 1):
+            assert got[k][0] == f"{got[p][0]} {got[len(phones) + a][0]}" and got[k][1] == 2, (phones[p], after[a], got[k])
+            k += 1
+    assert got[k] == (f"{got[0][0]} 24 of them", 1)
+    assert got[k + 1][0].endswith(" 5678") and got[k + 1][1] == 1
+    got = run(spark, ["Mrs. Ana Maria Lopez Garcia left. Garcia", "Mr. " + "Ab Cd " * 500 + "Ef went"])
+    assert not re.search("Ana|Maria|Lopez|Garcia", got[0][0]) and re.fullmatch(r"Mrs\.( [A-Z]\w+){3} ([A-Z]\w+) left\. \2", got[0][0])
+    assert not re.search(r"\b(Ab|Cd|Ef)\b", got[1][0]) and got[1][0].endswith(" went")
+
+
 def test_edges(spark):
     long = "a" * 200_000 + " " + "1" * 100_000 + " x@y.zz " + "b.c" * 50_000
     texts = [None, "", "clean text 4.0, version 3.", "a@b.cc a@b.cc", long, "a@b.cc a@b.cc", "x@y.zz", "Mr. ", "1.2.3.4.5 300.1.1.1"]
