@@ -11,6 +11,9 @@
 
 Boilerplate is left out wherever it stands: navigation, page headers and footers, sidebars,
 notices, adverts, forms, scripts, styles and reader comments, told by tag, role, class or id.
+A name that is such a word tells it for certain. A name that only contains one (``has-sidebar``), or
+that stands beside a promising one, raises a doubt: its elements are left out unless on this page
+they hold the main element, a promising container of some weight, or most of the prose.
 
 In a block, character references are decoded, white space (with ``<br>``) becomes one blank, ends
 are trimmed; blocks are joined in page order by two line feeds.
@@ -51,6 +54,8 @@ NEGATIVE = frozenset(
     "replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags toolbar "
     "topbar widget widgets".split()
 )
+#: Negative words that also name wrappers of the main text; alone, they raise a doubt only.
+WRAPPING = frozenset("widget widgets".split())
 #: Words that mark the main text.
 POSITIVE = frozenset("article articlebody body content entry entrytext main maincontent post postbody story text prose".split())
 
@@ -62,6 +67,9 @@ DIGITS = re.compile(r"[0-9]+")
 #: Elements that an opening tag closes if one is the innermost open block.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SHORT = 25
+#: Shares of a page's prose: a promising container of some weight, and most of it.
+WEIGHTY = 0.2
+MOST = 0.5
 #: The chain of a block outside all containers: the whole page, whose path is empty.
 ROOT = ((0, "", False, -1),)
 
@@ -69,16 +77,23 @@ ROOT = ((0, "", False, -1),)
 class Block:
     """A run of text between block tags, with the open containers around it."""
 
-    __slots__ = ("text", "links", "chain", "tag")
+    __slots__ = ("text", "links", "chain", "tag", "doubts", "promise", "main")
 
-    def __init__(self, text: str, links: int, chain: tuple, tag: str):
+    def __init__(self, text: str, links: int, chain: tuple, tag: str, doubts: tuple = (), promise: int = -1, main: int = -1):
         self.text, self.links, self.chain, self.tag = text, links, chain, tag
+        # (depth, names) of the doubtful elements around; depth of the innermost promising one that is not doubtful, and of main
+        self.doubts, self.promise, self.main = doubts, promise, main
 
+    @property
+    def prose(self) -> int:
+        return max(0, len(self.text) - 2 * self.links)
 
-def _label(tag: str, attributes: str) -> tuple[str, bool, bool]:
-    """(generalised name, boilerplate, promising) of an element."""
+
+def _label(tag: str, attributes: str) -> tuple[str, bool, bool, tuple[str, ...]]:
+    """(generalised name, boilerplate, promising, doubtful names) of an element."""
     names, bad = [], tag in SKIP
     good = tag in ("article", "main")
+    exact, doubts = False, []
     if attributes:
         for m in ATTRIBUTE.finditer(attributes):
             key, value = m[1].lower(), (m[2] or "").strip("\"'")
@@ -91,10 +106,13 @@ def _label(tag: str, attributes: str) -> tuple[str, bool, bool]:
                     words = {w.lower() for w in NAME_PARTS.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", token))}
                     good = good or not POSITIVE.isdisjoint(words) or key == "role" and token == "main"
                     # body and html carry page-wide state in their classes
-                    bad = bad or tag not in ("body", "html", "article", "main") and not NEGATIVE.isdisjoint(words)
+                    if tag not in ("body", "html", "article", "main") and not NEGATIVE.isdisjoint(words):
+                        whole = token.lower().strip("0123456789-_")
+                        exact = exact or whole in NEGATIVE and whole not in WRAPPING
+                        doubts.append(DIGITS.sub("0", token).lower())
                 if key == "class":
                     names = sorted(DIGITS.sub("0", t).lower() for t in value.split())
-    return ".".join([tag, *names]), bad, good
+    return ".".join([tag, *names]), bad or exact and not good, good, tuple(doubts)
 
 
 def blocks(html: str | None) -> list[Block]:
@@ -104,7 +122,7 @@ def blocks(html: str | None) -> list[Block]:
     """
     html = html or ""
     out: list[Block] = []
-    stack: list[tuple[str, bool, tuple, str]] = []  # (tag, boilerplate, chain, path)
+    stack: list[tuple[str, bool, tuple, str, tuple, int, int]] = []  # (tag, boilerplate, chain, path, doubts, promise, main)
     text: list[str] = []
     links = 0
     number = 0
@@ -117,14 +135,14 @@ def blocks(html: str | None) -> list[Block]:
         if text:
             joined = " ".join(unescape("".join(text)).split())
             if joined:
-                top = stack[-1] if stack else ("", False, ROOT, "")
-                out.append(Block(joined, links, top[2], top[0]))
+                top = stack[-1] if stack else ("", False, ROOT, "", (), -1, -1)
+                out.append(Block(joined, links, top[2], top[0], *top[4:]))
             text.clear()
         links = 0
 
     def pop() -> None:
         nonlocal skipping, in_link, within
-        tag, bad, chain, _ = stack.pop()
+        tag, bad, chain, *_ = stack.pop()
         skipping -= bad
         in_link -= tag == "a"
         if tag in CONTAINERS and chain and chain[-1][2] and chain[-1][3] == len(stack):
@@ -184,24 +202,58 @@ def blocks(html: str | None) -> list[Block]:
             if tag == "hr":
                 flush()
             continue
-        name, bad, good = _label(tag, m[3])
+        name, bad, good, doubtful = _label(tag, m[3])
         if tag == "header" and not within:
             bad = True
         if tag in RAW:
             end = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
             at = end.end() if end else n
             continue
-        chain, path = stack[-1][2:] if stack else (ROOT, "")
+        chain, path, doubts, promise, main = stack[-1][2:] if stack else (ROOT, "", (), -1, -1)
         path = f"{path}/{name}" if path else name
         if tag in CONTAINERS:
             number += 1
             chain = (*chain, (number, path, good, len(stack)))
             within += good
-        stack.append((tag, bad, chain, path))
+        if doubtful:
+            doubts = (*doubts, (len(stack), doubtful))
+        elif good and tag in CONTAINERS and tag not in ("html", "body"):
+            promise = len(stack)
+        if tag == "main":
+            main = len(stack)
+        stack.append((tag, bad, chain, path, doubts, promise, main))
         skipping += bad
         in_link += tag == "a"
     flush()
-    return out
+    return _settled(out)
+
+
+def _settled(page: list[Block]) -> list[Block]:
+    """The blocks without those of doubtful elements that the page's prose speaks against."""
+    if not any(b.doubts for b in page):
+        return page
+    total = promised = 0
+    held: dict[str, int] = defaultdict(int)  # prose in elements of a doubtful name
+    inner: dict[str, int] = defaultdict(int)  # of it, in promising containers inside them
+    taken: dict[str, int] = defaultdict(int)  # of it, in promising containers anywhere
+    kept: set[str] = set()
+    for b in page:
+        prose = b.prose
+        total += prose
+        promised += prose if b.promise >= 0 else 0
+        for name in {n for _, names in b.doubts for n in names}:
+            held[name] += prose
+            taken[name] += prose if b.promise >= 0 else 0
+            if any(b.promise > depth for depth, names in b.doubts if name in names):
+                inner[name] += prose
+        for depth, names in b.doubts:
+            if b.main > depth:
+                kept.update(names)
+    for name, prose in held.items():
+        if inner[name] > WEIGHTY * total or prose >= MOST * total and promised - taken[name] < WEIGHTY * total:
+            kept.add(name)
+    out = [b for b in page if all(not kept.isdisjoint(names) for _, names in b.doubts)]
+    return out or page
 
 
 def scores(page: list[Block]) -> dict[str, float]:
@@ -210,7 +262,7 @@ def scores(page: list[Block]) -> dict[str, float]:
     path_of: dict[int, tuple[str, bool]] = {}
     for b in page:
         size = len(b.text)
-        prose = max(0, size - 2 * b.links)
+        prose = b.prose
         worth = prose if size >= SHORT or b.tag in HEADINGS or b.tag == "p" else prose * 0.3
         worth -= 0.5 * min(size, b.links)
         for number, path, good, _ in b.chain:

@@ -52,3 +52,23 @@ def test_votes_bind_small_pages(spark):
     assert [text[i] for i in range(8)] == [want(i) for i in range(8)]
     assert text[8] == "Short." and text[9] == text[10] == "" and text[11] == "only text"
     assert h.main_text(df.limit(0)).count() == 0
+
+
+def test_doubtful_wrappers():
+    text = "\n\n".join(["Head", *(PROSE % k for k in range(6))])
+    body = "<h2>Head</h2>" + "".join(f"<p>{PROSE % k}</p>" for k in range(6))
+    side = f'<div class="sidebar-primary widget-area"><div class="widget"><p>{PROSE % 900}</p></div></div>'
+    tail = f'<div class="comments-wrap">{"".join(f"<p>{PROSE % k}</p>" for k in range(910, 920))}</div>'
+    pages = [
+        f'<div class="content-sidebar-wrap"><main>{body}</main>{side}</div>',
+        f'<div class="content-sidebar-wrap"><div class="entry-content">{body}</div>{side}{tail}</div>',
+        f'<div class="site-content with-sidebar">{body}</div>{side}',
+        f'<div class="elementor-widget elementor-widget-theme-post-content"><div class="elementor-widget-container">{body}</div></div>',
+        f'<div class="widget Blog" id="Blog1"><div class="blog-posts"><div class="post hentry">{body}</div></div></div>{side}',
+        '<div class="page">' + "".join(f'<div class="elementor-widget" id="e{k}">{x}</div>' for k, x in enumerate(body.replace("><", ">\n<").split("\n"))) + "</div>",
+        f'<div class="post">{body}<div class="share-box"><p>{PROSE % 903}</p></div></div><div class="related-posts"><article><p>{PROSE % 904}</p></article></div>',
+    ]
+    for p in pages:
+        assert h.extract_page(f"<html><body><nav><a href=x>Home</a></nav>{p}<footer>foot</footer></body></html>", None) == text, p
+    assert h.extract_page('<div class="notice-box">only this</div>', None) == "only this"
+    assert h.extract_page(f'<div class="sidebar"><p>{PROSE % 1}</p></div><div class="box">x</div>', None) == "x"
