@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontaminate, html_text, langid, maxent_lm, pieces, pii, quality, sharding, simhash, toxicity
+from tessera.llm import decontaminate, html_text, langid, maxent_lm, merkle, pieces, pii, quality, sharding, simhash, toxicity
 from tessera.sources.tables import read_table
 
 
@@ -49,6 +49,10 @@ def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxent_lm.lm_scores(read_table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.merkle_manifest(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op4_toxicity": op4_toxicity,
@@ -60,5 +64,6 @@ QUERIES = {
     "op2_simhash": op2_simhash,
     "op8_decontamination": op8_decontamination,
     "op10_quality_rules": op10_quality_rules,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
 ORACLES: dict[str, str] = {}
