@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontaminate, html_text, langid, maxent_lm, merkle, pieces, pii, quality, sharding, simhash, toxicity
+from tessera.llm import decontaminate, html_text, langid, maxent_lm, merkle, packing, pieces, pii, quality, sharding, simhash, toxicity, whitening
 from tessera.sources.tables import read_table
 
 
@@ -53,6 +53,14 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.merkle_manifest(read_table(spark, sf_dir, "documents"))
 
 
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed_windows(read_table(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened_embeddings(read_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op4_toxicity": op4_toxicity,
@@ -65,5 +73,7 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op10_quality_rules": op10_quality_rules,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_packing": op12_packing,
+    "op13_whitening": op13_whitening,
 }
 ORACLES: dict[str, str] = {}
