@@ -12,7 +12,7 @@ from tokenizers import Tokenizer
 from tessera.llm import packing as p
 
 SCHEMA = "doc_id long, text string, ids string, key string, start int"
-ODD = ["", " ", "  ", "a", " a", "a ", "a  b", "a b", "a \n b", "a\n b", "tab\t x", "a  b", "a 　b", "it's we'll I'm", "x <|endoftext|> y",
+ODD = ["", " ", "  ", "a", " a", "it's, he said: \"no.\"", "a.\nb", "x.\n\ny", "end,###", "a<|endoftext|>,", "it' s", "a ", "a  b", "a b", "a \n b", "a\n b", "tab\t x", "a  b", "a 　b", "it's we'll I'm", "x <|endoftext|> y",
        "<|endoftext|>", "a<|endoftext|> b", "a <|endoftext|>", "\x1c a \x1d b", "é è", "日本 語", "12 34,5 6", "a​ b", "ab" * 5000, "🙂 🙂🙂", "- -- ---", "\r\n x", "end \u0085 x"]
 
 
@@ -31,14 +31,23 @@ def whole(library, text):
     return library.encode(text or "", add_special_tokens=False).ids + [p.END]
 
 
-@pytest.mark.parametrize("room", [0, 10**9])
-def test_ids_of_cut_texts(library, model, room):
+def test_ids(library, model):
     rnd = random.Random(1)
-    texts = ODD + ["".join(rnd.choice([" ", " ", "a", "b", "\n", "'", "é", "1", "　", ".", "s"]) for _ in range(60)) for _ in range(300)]
-    enc = p.Encoder(model, cache_bytes=room)
-    assert enc.cuts
-    for _ in range(2):
-        assert [np.frombuffer(b, enc.dtype).tolist() for b in enc.encode(texts)] == [whole(library, t) for t in texts]
+    texts = ODD + ["".join(rnd.choice([" ", " ", "a", "b", "\n", "'", "é", "1", "\u3000", ".", "s", "\x85", "\xa0", "ß", "½", "\u2014"]) for _ in range(60)) for _ in range(500)]
+    texts += ["".join(chr(c) for c in range(0x250) if c != 0) * 2, " ".join(chr(c) for c in range(1, 0x250)), " " * 100_000 + "x", "ab" * 300_000, "q" * (p.LONG + 1)]
+    enc = p.Encoder(model)
+    assert enc.ranks is not None
+    assert [np.frombuffer(b, enc.dtype).tolist() for b in enc.encode(texts)] == [whole(library, t) for t in texts]
+
+
+def test_other_tokenizers_are_asked_themselves():
+    from public_tokenizers import path
+
+    with open(path("word_bpe_49k.json"), encoding="utf-8") as f:
+        enc = p.Encoder(f.read())
+    own = Tokenizer.from_file(path("word_bpe_49k.json"))
+    assert enc.ranks is None
+    assert [np.frombuffer(b, enc.dtype).tolist()[:-1] for b in enc.encode(ODD)] == [own.encode(t, add_special_tokens=False).ids for t in ODD]
 
 
 def test_bm25_and_document_counts(spark):
