@@ -189,6 +189,12 @@ class Index:
         self.starts = np.concatenate([[0], np.cumsum(np.bincount(terms, minlength=len(idf)))])
         self.n = len(docs)
 
+    def keep(self, wanted: np.ndarray) -> None:
+        """Leave only the postings of the wanted documents; their scores stay as they are."""
+        kept = wanted[self.doc]
+        self.starts = np.concatenate([[0], np.cumsum(kept)])[self.starts]
+        self.doc, self.weight = self.doc[kept], self.weight[kept]
+
     def scores(self, query: int) -> np.ndarray:
         """BM25 of every document of the shard for the ids of one of them."""
         first, n = self.starts[self.terms[query]], self.starts[self.terms[query].astype(np.int64) + 1] - self.starts[self.terms[query]]
@@ -209,6 +215,7 @@ def pack_shard(docs: list[np.ndarray], index: Index, window: int = WINDOW) -> li
     unused = left > 0
     seeds = iter(np.argsort(-left, kind="stable").tolist())
     rest = None  # of the document that was cut last: (document, start, length)
+    indexed = len(docs)
     while True:
         if rest is None:
             seed = next((d for d in seeds if unused[d]), None)
@@ -218,6 +225,9 @@ def pack_shard(docs: list[np.ndarray], index: Index, window: int = WINDOW) -> li
             unused[seed] = False
         pieces, rest, room = [rest], None, window - rest[2]
         waiting = np.flatnonzero(unused)
+        if len(waiting) < 0.7 * indexed:
+            index.keep(unused)
+            indexed = len(waiting)
         ranked = waiting[np.argsort(-index.scores(pieces[0][0])[waiting], kind="stable")]
         ends = np.cumsum(left[ranked])
         whole = int(np.searchsorted(ends, room, side="right"))
