@@ -32,6 +32,17 @@ def pack_bits(columns: Sequence[str]) -> Column:
     return F.array(*words)
 
 
+def pack_flags(flags: Sequence[Column]) -> Column:
+    """Boolean expressions -> array<bigint>; null counts as 0."""
+    words = []
+    for start in range(0, len(flags), BITS_PER_WORD):
+        word = F.lit(0).cast("long")
+        for i, f in enumerate(flags[start:start + BITS_PER_WORD]):
+            word = word.bitwiseOR(F.when(f, F.lit(1 << i)).otherwise(F.lit(0)).cast("long"))
+        words.append(word)
+    return F.array(*words)
+
+
 def dense_vector(columns: Sequence[str]) -> Column:
     return F.array(*[_c(c).cast("double") for c in columns])
 

@@ -15,8 +15,9 @@ How it avoids comparing every input with every member of its cluster (quadratic
 cluster):
 
 * distances are computed between *distinct vectors* of a cluster only (packed 0/1 flags,
-  ``popcount(xor)``); the vector table is broadcast when its bytes are checked small,
-  otherwise the join is salted so one hot cluster spreads over many tasks;
+  ``popcount(xor)``). If their table is small (bytes and rows checked) it is broadcast and all pairs
+  are compared; beyond, the counts per distance and the pairs within the cut come from the
+  prefix methods of :mod:`tessera.operators.hamming`, which never form all pairs;
 * per input, min/max distance come from per-level counts (``sqrt(h)`` for h = 0..D)
   minus the levels of its own excluded rows — exclusions are enumerated by equi-joins
   (own name; ``:``-prefixes), so the work is linear;
@@ -45,12 +46,10 @@ from tessera.functions import scores as SC
 from tessera.functions.text import strip_unicode
 from tessera.functions.vectors import dense_vector, euclidean, pack_bits, packed_distance
 from tessera.operators.features import feature_columns
-from tessera.session import cut_lineage, materialise
+from tessera.operators.hamming import level_counts, within
+from tessera.operators.joins import BROADCAST_BYTES, blocked_join, salted_join, size_checked_broadcast
+from tessera.session import cut_lineage
 
-#: Bytes of Parquet files up to which a relation is broadcast (packed vectors and numbers
-#: take a few times as much in memory).
-BROADCAST_BYTES = 16 << 20
-SALT_BUCKETS = 32
 EXCLUSION_CAP = 32
 #: Width of the buckets in which partial scores count as tied: far above rounding (1e-16),
 #: far below what makes lists long.
@@ -103,28 +102,6 @@ def feature_lookup(items: DataFrame, names: DataFrame, features: list[str], key:
     return found.withColumn("status", F.when(F.col("features").isNull(), missing).otherwise(F.lit(C.STATUS_OK)))
 
 
-def size_checked_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> tuple[DataFrame, bool]:
-    """The relation as a written table, with a broadcast hint only if its files have at most
-    ``limit`` bytes."""
-    df, size = materialise(df, "recommend-side")
-    return (F.broadcast(df), True) if size <= limit else (df, False)
-
-
-def blocked_join(left: DataFrame, right: DataFrame, on: list[str], left_vec: str,
-                 limit: int = BROADCAST_BYTES, buckets: int = SALT_BUCKETS) -> DataFrame:
-    """Equi-join where one key value may hold a large share of both sides.
-
-    Small right side (bytes checked): broadcast, no shuffle of the hot key. Otherwise
-    the left rows get a salt from their vector and the right side is replicated over all
-    salts, so one hot key is spread over ``buckets`` tasks."""
-    r, small = size_checked_broadcast(right, limit)
-    if small:
-        return left.join(r, on)
-    ls = left.withColumn("__salt", F.pmod(F.xxhash64(F.col(left_vec)), F.lit(buckets)))
-    rs = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
-    return ls.join(rs, on + ["__salt"]).drop("__salt")
-
-
 def group_lists(rows: DataFrame, depth: int, width: float = TIE_WIDTH) -> DataFrame:
     """Rows of each (cl, w) that can be among the group's first ``depth`` by final score.
 
@@ -206,8 +183,9 @@ def recommendation_plan(items: DataFrame, members: DataFrame, inputs: DataFrame
     ``exclusions`` (input, cl, rid, key, kind); ``pool``; ``inputs_cluster``.
     """
     dist = packed_distance if binary else euclidean
+    feats = list(features or feature_columns(items))
     M, P, NV = build_pool(items, members, key=key, order=order, cluster_col=cluster_col,
-                          features=features, binary=binary)
+                          features=feats, binary=binary)
     X = (inputs if inputs is not None else items.select(F.col(key).alias("input"))).select("input").distinct()
 
     XC = cluster_of_inputs(X, M)
@@ -221,8 +199,13 @@ def recommendation_plan(items: DataFrame, members: DataFrame, inputs: DataFrame
     # distinct-vector groups and input-vector x group distances (the only pair work)
     G = P.groupBy("cl", "w").agg(F.count(F.lit(1)).alias("cnt"))
     U = XU.select("cl", "u").distinct()
-    UP = blocked_join(U, G, ["cl"], "u", broadcast_bytes).withColumn("d", dist(F.col("u"), F.col("w")))
-    LV = UP.groupBy("cl", "u", "d").agg(F.sum("cnt").alias("n"))
+    G, few = size_checked_broadcast(G, broadcast_bytes)
+    if binary and not few:  # too many distinct vectors to compare them all
+        LV = (level_counts(U, G, len(feats), ["cl"], broadcast_bytes=broadcast_bytes)
+              .select("cl", "u", F.sqrt(F.col("h").cast("double")).alias("d"), "n"))
+    else:
+        UP = (U.join(G, "cl") if few else salted_join(U, G, ["cl"], "u")).withColumn("d", dist(F.col("u"), F.col("w")))
+        LV = UP.groupBy("cl", "u", "d").agg(F.sum("cnt").alias("n"))
 
     # exact per-input distance range over the remaining candidates
     EXL = (E.join(XU.select("input", "u"), "input").withColumn("d", dist(F.col("u"), F.col("w")))
@@ -270,8 +253,13 @@ def recommendation_plan(items: DataFrame, members: DataFrame, inputs: DataFrame
                      .withColumn("t", F.col("pn") * F.lit(w_pop) + F.col("rn") * F.lit(w_rq)), depth_lit)
     NM = ST.filter(F.col("path") == "class")
     TH = NM.groupBy("cl", "u", "dmin", "dmax").agg(F.max("e_all").alias("emax"))
-    TA = (blocked_join(TH, G.select("cl", "w"), ["cl"], "u", broadcast_bytes)
-          .withColumn("d", dist(F.col("u"), F.col("w")))
+    if binary and not few:
+        far = F.col("dmin") + F.lit(max_distance) * (F.col("dmax") - F.col("dmin"))
+        near = within(TH.withColumn("radius", F.floor(far * far + 1e-6)), G, len(feats), ["cl"], broadcast_bytes=broadcast_bytes)
+        pairs = TH.join(near.select("cl", "u", "w"), ["cl", "u"])
+    else:
+        pairs = TH.join(G.select("cl", "w"), "cl") if few else salted_join(TH, G.select("cl", "w"), ["cl"], "u")
+    TA = (pairs.withColumn("d", dist(F.col("u"), F.col("w")))
           .withColumn("dn", SC.minmax(F.col("d"), F.col("dmin"), F.col("dmax")))
           .filter(F.col("dn") <= F.lit(max_distance)))
     theta = ["cl", "u", "dmin", "dmax"]
@@ -287,8 +275,7 @@ def recommendation_plan(items: DataFrame, members: DataFrame, inputs: DataFrame
 
     # ---- exact path: brute force over the cluster pool for the few flagged inputs
     FB = ST.filter(F.col("exact_ranges")).select("input", "cl", "u", "dmin", "dmax", "path")
-    FBb, _ = size_checked_broadcast(FB, broadcast_bytes)
-    fb = (P.join(FBb, "cl").join(E.select("input", "rid"), ["input", "rid"], "left_anti")
+    fb = (blocked_join(P, FB, ["cl"], "rid", broadcast_bytes).join(E.select("input", "rid"), ["input", "rid"], "left_anti")
           .withColumn("d", dist(F.col("u"), F.col("w"))))
     fstats = fb.groupBy("input").agg(F.min("pop").alias("pmin"), F.max("pop").alias("pmax"),
                                      F.min("rq").alias("rmin"), F.max("rq").alias("rmax"))

@@ -12,13 +12,15 @@ from pyspark.sql import functions as F
 
 from tessera import constants as C
 from tessera.functions import scores as SC
-from tessera.functions.vectors import pack_bits, packed_distance
+from tessera.functions.vectors import pack_bits, pack_flags, packed_distance
 from tessera.operators import recommend as R
 from tessera.operators.constrained import split_by_constraints
 from tessera.operators.features import feature_columns
+from tessera.operators.hamming import farthest, indexed_within, level_counts, nearest
 from tessera.plans import sqlgen as S
 from tessera.plans.prep_queries import prepared
 from tessera.session import cut_lineage
+from tessera.sources.tables import read_table
 
 DIFFICULTY_ORDER = [lbl for _, lbl in C.DIFFICULTY_BUCKETS]
 CONSTRAINT = C.CONSTRAINT_COLUMNS[0]
@@ -165,15 +167,34 @@ def cluster_labels(spark, sf):
 
 
 def pairwise_distance(spark, sf):
-    """Per cluster: how many ordered row pairs lie at each distance — from distinct-vector
-    pairs weighted by their counts, never from row pairs."""
+    """Per cluster: how many ordered row pairs lie at each distance — from the distinct vectors'
+    counts per distance, never from row or vector pairs."""
     items, members = clustered(spark, sf)
     _, P, _ = R.build_pool(items, members)
     G = P.groupBy("cl", "w").agg(F.count(F.lit(1)).alias("cnt"))
-    A = G.select("cl", F.col("w").alias("u"), F.col("cnt").alias("cu"))
-    pairs = R.blocked_join(A, G, ["cl"], "u").withColumn("d", packed_distance(F.col("u"), F.col("w")))
-    return pairs.groupBy("cl", "d").agg(F.sum(F.col("cu") * F.col("cnt")).alias("n_pairs")) \
-        .select(F.col("cl").alias("cluster_id"), F.col("d").alias("distance"), "n_pairs")
+    G = cut_lineage(G)
+    levels = level_counts(G.select("cl", F.col("w").alias("u")), G, len(feature_columns(items)), ["cl"])
+    pairs = levels.join(G.select("cl", F.col("w").alias("u"), F.col("cnt").alias("cu")), ["cl", "u"])
+    return pairs.groupBy("cl", "h").agg(F.sum(F.col("cu") * F.col("n")).alias("n_pairs")) \
+        .select(F.col("cl").alias("cluster_id"), F.sqrt(F.col("h").cast("double")).alias("distance"), "n_pairs")
+
+
+SIGN_BITS, SIGN_RADIUS = 64, 20
+
+
+def range_search(spark, sf):
+    """Per embedding, among the sign vectors of its label: rows within ``SIGN_RADIUS`` bits (itself
+    included), distance to the nearest other vector and to the farthest one."""
+    e = cut_lineage(read_table(spark, sf, "embeddings").select(
+        "vec_id", "label", pack_flags([F.get("embedding", F.lit(j)) > 0 for j in range(SIGN_BITS)]).alias("u")))
+    table = e.groupBy("label", F.col("u").alias("w")).agg(F.count(F.lit(1)).alias("cnt"))
+    queries = e.select("label", "u").distinct().withColumn("radius", F.lit(SIGN_RADIUS))
+    pairs = indexed_within(queries, table, SIGN_BITS, ["label"])
+    inside = pairs.join(table, ["label", "w"]).groupBy("label", "u").agg(F.sum("cnt").alias("n_within"))
+    near = nearest(queries, table, SIGN_BITS, ["label"], others=False).select("label", "u", F.col("h").alias("nearest"))
+    far = farthest(queries, table, SIGN_BITS, ["label"]).select("label", "u", F.col("h").alias("farthest"))
+    return (e.join(inside, ["label", "u"]).join(near, ["label", "u"], "left").join(far, ["label", "u"])
+            .select("vec_id", "n_within", "nearest", "farthest"))
 
 
 def constraint_split(spark, sf):
@@ -213,6 +234,7 @@ QUERIES = {
     "find_cluster": find_cluster,
     "cluster_labels": cluster_labels,
     "pairwise_distance": pairwise_distance,
+    "range_search": range_search,
     "input_distances": input_distances,
     "constraint_split": constraint_split,
     "feature_lookup": feature_lookup,
@@ -357,6 +379,13 @@ def _oracles() -> dict[str, str]:
             f"{base}, g AS (SELECT cl, w, COUNT(*) AS cnt FROM pw GROUP BY cl, w) "
             "SELECT a.cl AS cluster_id, list_distance(a.w, b.w) AS distance, SUM(a.cnt * b.cnt) AS n_pairs "
             "FROM g a JOIN g b ON a.cl = b.cl GROUP BY a.cl, list_distance(a.w, b.w)"),
+        "range_search": (
+            "WITH e AS (SELECT vec_id, label, "
+            + ", ".join("+".join(f"(CASE WHEN embedding[{j + 1}] > 0 THEN {1 << j - a}::BIGINT ELSE 0 END)" for j in range(a, a + 32)) + f" AS s{a}"
+                        for a in range(0, SIGN_BITS, 32))
+            + " FROM embeddings), p AS (SELECT a.vec_id, bit_count(xor(a.s0, b.s0)) + bit_count(xor(a.s32, b.s32)) AS h FROM e a JOIN e b "
+            f"ON a.label = b.label) SELECT vec_id, COUNT(*) FILTER (h <= {SIGN_RADIUS}) AS n_within, "
+            "CAST(MIN(h) FILTER (h > 0) AS BIGINT) AS nearest, CAST(MAX(h) AS BIGINT) AS farthest FROM p GROUP BY vec_id"),
         "constraint_split": (
             f"WITH {S.prepared_ctes()} SELECT game_id, CASE WHEN {S.ident(CONSTRAINT)} = 1 THEN {S.q(CONSTRAINT)} "
             "ELSE 'remainder' END AS subset FROM prepared"),
