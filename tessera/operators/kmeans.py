@@ -9,12 +9,15 @@ move. Their table is bounded by (#k values x restarts x k x dim), i.e. by the fe
 and grids beyond ``GROUP_CELLS`` are fitted group by group.
 
 The exact Euclidean silhouette needs every vector's summed distance to every cluster: the
-distinct vectors are cut into tiles, tiles of a subset are joined, and one task folds the
-tiles that meet a given tile, one matrix product each. Nothing is collected or refused.
+distinct vectors are cut into tiles, the tiles dealt into blocks, and every unordered pair of blocks
+is a task: it meets their tiles, one distance matrix a pair of tiles for both of them, and adds up
+each tile's sums. A tile is sent once for every block, so about sqrt(2 x tasks) times. Nothing
+is collected or refused.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -25,10 +28,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera import constants as C
+from tessera.operators import seeding
 from tessera.session import materialise
 
-#: Vectors of a tile.
-TILE = 1024
+#: Vectors of a tile, and tiles of a block that a silhouette task holds at most.
+TILE, BLOCK_TILES = 512, 16
+#: Decimals to which squared distances are compared.
+TIE_DIGITS = 9
 #: Centroid cells (models x k x dim) that are fitted and broadcast together.
 GROUP_CELLS = 8_000_000
 
@@ -87,13 +93,14 @@ def silhouette(dv: DataFrame, label_col: str, by: Sequence[str] = (), tile: int
     bc = spark.sparkContext.broadcast({
         k: [np.array([ms[m].get(c, 0.0) for c in range(max(ms[m]) + 1)]) for m in sorted(ms)] for k, ms in sizes.items()})
 
-    def finish(key, sums, wa, la) -> pd.DataFrame:
-        out = []
-        for m, (size, total) in enumerate(zip(bc.value[key], sums)):
-            own, at = la[:, m], np.arange(len(la))
+    def finish(key, total, wa, la) -> list[list]:
+        """Weighted silhouette sums of a tile, model by model, from its summed distances to every cluster."""
+        out, at, start = [], np.arange(len(la)), 0
+        for m, size in enumerate(bc.value[key]):
+            far, own, start = total[:, start:start + len(size)].copy(), la[:, m], start + len(size)
             with np.errstate(divide="ignore", invalid="ignore"):
-                inner = total[at, own] / (size[own] - 1.0)
-                outer = total / size[None, :]
+                inner = far[at, own] / (size[own] - 1.0)
+                outer = far / size[None, :]
                 outer[at, own] = np.inf
                 outer[:, size == 0] = np.inf
                 nearest = outer.min(1)
@@ -101,42 +108,105 @@ def silhouette(dv: DataFrame, label_col: str, by: Sequence[str] = (), tile: int
             value = np.nan_to_num(value, nan=0.0, posinf=0.0, neginf=0.0)
             value[(size[own] <= 1) | ((size > 0).sum() < 2)] = 0.0
             out.append([*key, m, float((wa * value).sum()), float(wa.sum())])
-        return pd.DataFrame(out, columns=[*by, "model", "sw", "w"])
+        return out
+
+    def load(key, row) -> _Tile:
+        return _Tile(row.tile, np.array(list(row.vecs), dtype=np.float64), np.array(row.wts, dtype=np.float64),
+                     np.array(list(row.labs), dtype=np.int64), [len(size) for size in bc.value[key]])
+
+    def meet(frames):
+        """Rows come sorted by (subset, pair of blocks, block): each unordered pair of tiles is met once and
+        both tiles get their share; what leaves is one sum a tile and task."""
+        open_key, held = None, []
 
-    def fold(frames):
-        """Rows come sorted by (subset, tile): add up the distances of a tile to all tiles it meets."""
-        open_key, sums, xa, wa, la = None, None, None, None, None
+        def packed(key, tiles):
+            rows = [[*key, t.number, t.sums.tobytes(), *t.rest(own=same)] for t in tiles]
+            return pd.DataFrame(rows, columns=[*by, "tile", "sums", "wts", "labs"])
+
+        for frame in frames:
+            for row in frame.itertuples(index=False):
+                key = (tuple(row[:len(by)]), row.i, row.j)
+                if key != open_key:
+                    if held:
+                        yield packed(open_key[0], held)
+                    open_key, held, same = key, [], row.i == row.j
+                tile = load(key[0], row)
+                if same:
+                    tile.meet(tile)
+                if same or row.block == row.i:
+                    if same:
+                        for other in held:
+                            tile.meet(other)
+                    held.append(tile)
+                else:
+                    for other in held:
+                        tile.meet(other)
+                    yield packed(key[0], [tile])
+        if held:
+            yield packed(open_key[0], held)
+
+    def add(frames):
+        """Rows come sorted by (subset, tile): the sums of a tile, then its silhouette."""
+        open_key, total, wa, la = None, None, None, None
         for frame in frames:
+            out = []
             for row in frame.itertuples(index=False):
-                key = tuple(row[:len(by)])
-                if (key, row.tile) != open_key:
+                key = tuple(row[:len(by) + 1])
+                if key != open_key:
                     if open_key is not None:
-                        yield finish(open_key[0], sums, wa, la)
-                    open_key = (key, row.tile)
-                    xa, wa = np.array(list(row.vecs), dtype=np.float64), np.array(row.wts, dtype=np.float64)
-                    la = np.array(list(row.labs), dtype=np.int64)
-                    sums = [np.zeros((len(xa), len(size))) for size in bc.value[key]]
-                xb, lb = np.array(list(row.vecs_b), dtype=np.float64), np.array(list(row.labs_b), dtype=np.int64)
-                far = _pairwise(xa, xb, (xb * xb).sum(1)) * np.array(row.wts_b, dtype=np.float64)[None, :]
-                for m, total in enumerate(sums):
-                    member = np.zeros((len(xb), total.shape[1]))
-                    member[np.arange(len(xb)), lb[:, m]] = 1.0
-                    total += far @ member
+                        out += finish(open_key[:-1], total, wa, la)
+                    open_key, total = key, 0.0
+                width = sum(len(size) for size in bc.value[key[:-1]])
+                total = total + np.frombuffer(row.sums).reshape(-1, width)
+                if row.wts is not None:
+                    wa, la = np.frombuffer(row.wts), np.frombuffer(row.labs, dtype=np.int64).reshape(total.shape[0], -1)
+            if out:
+                yield pd.DataFrame(out, columns=[*by, "model", "sw", "w"])
         if open_key is not None:
-            yield finish(open_key[0], sums, wa, la)
+            yield pd.DataFrame(finish(open_key[:-1], total, wa, la), columns=[*by, "model", "sw", "w"])
 
     n = src.count()
     tiles, _ = materialise(_tiles(src, by, n, tile), "silhouette-tiles")
-    other = tiles.select(*[_c(b).alias(f"{b}_b") for b in by], F.col("tile").alias("tile_b"), F.col("vecs").alias("vecs_b"),
-                         F.col("wts").alias("wts_b"), F.col("labs").alias("labs_b"))
-    left, right = tiles.withColumn("__one", F.lit(0)), other.withColumn("__one_b", F.lit(0))
-    on = F.col("__one") == F.col("__one_b")
-    for b in by:
-        on = on & _c(b).eqNullSafe(_c(f"{b}_b"))
-    pairs = left.join(right, on).drop("__one", "__one_b", *[f"{b}_b" for b in by])
-    dealt = pairs.repartition(*[_c(b) for b in by], "tile").sortWithinPartitions(*[_c(b) for b in by], "tile", "tile_b")
-    parts = dealt.select(*[_c(b) for b in by], "tile", "vecs", "wts", "labs", "vecs_b", "wts_b", "labs_b").mapInPandas(fold, schema)
-    return parts.groupBy(*[_c(b) for b in by], "model").agg((F.sum("sw") / F.sum("w")).alias("silhouette"))
+    blocks = block_count(max(1, -(-n // tile)), spark.sparkContext.defaultParallelism)
+    block = F.col("tile") % blocks
+    each = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    dealt = tiles.withColumn("block", block).withColumn("other", each).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+    names = [_c(b) for b in by]
+    dealt = dealt.repartition(*names, "i", "j").sortWithinPartitions(*names, "i", "j", "block", "tile")
+    sums = dealt.select(*names, "tile", "vecs", "wts", "labs", "block", "i", "j").mapInPandas(
+        meet, (by_types + ", " if by else "") + "tile int, sums binary, wts binary, labs binary")
+    parts = sums.repartition(*names, "tile").sortWithinPartitions(*names, "tile").mapInPandas(add, schema)
+    return parts.groupBy(*names, "model").agg((F.sum("sw") / F.sum("w")).alias("silhouette"))
+
+
+def block_count(tiles: int, parallelism: int, most: int = BLOCK_TILES) -> int:
+    """Blocks that the tiles of a subset are dealt into: enough pairs of blocks for all cores, and at
+    most ``most`` tiles in a block. A tile is sent to as many tasks as there are blocks."""
+    pairs = 2 * parallelism
+    wanted = max(1, math.isqrt(2 * pairs))
+    return min(tiles, max(wanted, -(-tiles // most)))
+
+
+class _Tile:
+    """A tile's vectors, weights and labels, and the summed distances to every cluster of every model."""
+
+    def __init__(self, number: int, x: np.ndarray, weight: np.ndarray, labels: np.ndarray, widths: list[int]):
+        self.number, self.x, self.weight, self.labels = number, x, weight, labels
+        self.x2 = (x * x).sum(1)
+        starts = np.concatenate([[0], np.cumsum(widths)[:-1]]).astype(np.int64)
+        self.member = np.zeros((len(x), sum(widths)))
+        self.member[np.arange(len(x))[:, None], labels + starts[None, :]] = weight[:, None]
+        self.sums = np.zeros((len(x), sum(widths)))
+
+    def meet(self, other: _Tile) -> None:
+        far = _pairwise(self.x, other.x, other.x2)
+        self.sums += far @ other.member
+        if other is not self:
+            other.sums += far.T @ self.member
+
+    def rest(self, own: bool) -> tuple:
+        """Weights and labels, sent once: by the task that meets the tile with itself."""
+        return (self.weight.tobytes(), self.labels.tobytes()) if own else (None, None)
 
 
 # ------------------------------------------------------------------ batched Lloyd
@@ -174,7 +244,7 @@ class _Sweep:
         spark = dv.sparkSession
         self.by, self.spark = by, spark
         src, _ = materialise(dv.select(*[_c(b) for b in by], "vec", "wt"), "kmeans-vectors")
-        tiles = max(1, -(-src.count() // (4 * TILE)))
+        tiles = max(1, -(-src.count() // (8 * TILE)))
         # few tiles: several tasks share one, each with its own models
         self.shares = max(1, -(-spark.sparkContext.defaultParallelism // tiles))
         dealt = src.withColumn("tile", F.pmod(F.xxhash64("vec"), F.lit(tiles))).withColumn(
@@ -204,7 +274,7 @@ class _Sweep:
                     x2, at = (x * x).sum(1)[:, None], np.arange(len(x))
                     for i, cen in mine:
                         d2 = np.maximum(x2 - 2.0 * x @ cen.T + (cen * cen).sum(1)[None, :], 0.0)
-                        lab = d2.argmin(1)
+                        lab = np.round(d2, TIE_DIGITS).argmin(1)
                         member = np.zeros((len(lab), len(cen)))
                         member[at, lab] = wt
                         packed = [[float((wt * d2[at, lab]).sum())], member.sum(0), (member.T @ x).ravel() if wanted else []]
@@ -256,18 +326,23 @@ def lloyd(sweep: _Sweep, starts: dict, max_iter: int, tolerance: dict) -> dict:
 
 def kmeans_grid(dv: DataFrame, ks: dict, by: Sequence[str] = (), restarts: int = C.KMEANS_RESTARTS,
                 max_iter: int = C.KMEANS_MAX_ITER, tol: float = C.KMEANS_TOL, seed: int = C.KMEANS_SEED,
-                group_cells: int = GROUP_CELLS) -> dict:
+                group_cells: int = GROUP_CELLS, init: str = "parallel") -> dict:
     """Fit every (subset, k, restart) model; keep the lowest-cost restart per (subset, k).
 
-    ``ks``: subset key tuple -> list of k. Returns {(subset, k): (centroids, cost)}. Starts are the
-    first k vectors in a seeded hash order (one order per restart), whatever the size; the
-    relative tolerance is ``tol`` times the subset's mean feature variance."""
+    ``ks``: subset key tuple -> list of k. Returns {(subset, k): (centroids, cost)}. Starts are
+    scalable k-means++ (``init="parallel"``, see :mod:`tessera.operators.seeding`) or the first k
+    vectors in a seeded hash order (``"forgy"``); either way a restart has one nested order for
+    all its k. The relative tolerance is ``tol`` times the subset's mean feature variance."""
     by = list(by)
     k_max = max((max(v) for v in ks.values() if v), default=0)
     if k_max == 0:
         return {}
+    if init not in ("parallel", "forgy"):
+        raise ValueError(f"unknown init {init!r}")
     starts = {}
-    for (sk, r), arr in _seed_table(dv, by, restarts, k_max, seed).items():
+    table = (seeding.starts(dv, {sk: max(v) for sk, v in ks.items() if v}, by, restarts, seed) if init == "parallel"
+             else _seed_table(dv, by, restarts, k_max, seed))
+    for (sk, r), arr in table.items():
         for k in ks.get(sk, []):
             if k <= len(arr):
                 starts[(sk, k, r)] = arr[:k].copy()
@@ -324,9 +399,10 @@ def assign(dv: DataFrame, centroids: dict, by: Sequence[str] = (), out: str = "l
                 x = x_all[idx]
                 cl = cents if isinstance(cents, list) else [cents]
                 labs = []
-                for cen in cl:
-                    d2 = ((x[:, None, :] - cen[None, :, :]) ** 2).sum(-1)
-                    labs.append(d2.argmin(1))
+                x2 = (x * x).sum(1)[:, None]
+                for cen in cl:  # n x k numbers at a time; ties by rounded distances, so that no rounding decides them
+                    d2 = np.maximum(x2 - 2.0 * (x @ cen.T) + (cen * cen).sum(1)[None, :], 0.0)
+                    labs.append(np.round(d2, TIE_DIGITS).argmin(1))
                 for j, i in enumerate(idx):
                     res[i] = [int(lab[j]) for lab in labs] if multi else int(labs[0][j])
             pdf = pdf.copy()

@@ -13,6 +13,7 @@ from tessera.operators import clustering as CL
 from tessera.operators import kmeans as KM
 from tessera.operators.binning import basket_bins as bin_baskets
 from tessera.operators import constrained as CO
+from tessera.operators import seeding
 from tessera.operators.features import feature_columns
 from tessera.operators.projection import pca_projection as project
 from tessera.plans import sqlgen as S
@@ -185,6 +186,17 @@ def kmeans_fit(spark, sf):
         "vec_id", F.col("n.cid").alias("cluster"), F.round(F.col("n.distance"), ROUND).alias("distance"))
 
 
+SEED_K, SEED_RESTARTS, SEED_ROUNDS = 8, 2, 3
+
+
+def kmeans_seeding(spark, sf):
+    """Candidates of the scalable k-means++ start over the distinct embeddings, with the number of
+    vectors nearest to each; draws go by the smallest id of a vector."""
+    dv = _embeddings(spark, sf).groupBy("vec").agg(F.count(F.lit(1)).alias("wt"), F.min("vec_id").alias("id"))
+    found = seeding.candidates(dv, {(): SEED_K}, restarts=SEED_RESTARTS, rounds=SEED_ROUNDS, key=F.col("id"))
+    return found.select("r", "candidate", "round", F.col("key").cast("long").alias("vec_id"), F.col("weight").cast("long").alias("weight"))
+
+
 def constrained_clusters(spark, sf):
     items, _, feats = _items(spark, sf)
     members, info = CO.constrained_clusters(items, feats, C.CONSTRAINT_COLUMNS, key="game_name", order="game_id")
@@ -222,6 +234,7 @@ QUERIES = {
     "nearest_centroid": nearest_centroid,
     "cosine_similarity": cosine_similarity,
     "kmeans_fit": kmeans_fit,
+    "kmeans_seeding": kmeans_seeding,
     "constrained_clusters": constrained_clusters,
     "pca_projection": pca_projection,
     "basket_bins": basket_bins,
@@ -246,15 +259,50 @@ def _kmeans_fit_sql(emb: str) -> str:
             f"round(min(list_distance(e.vec, c.c)), {ROUND}) AS distance FROM e, c{FIT_STEPS} c GROUP BY e.vec_id")
 
 
+def _kmeans_seeding_sql() -> str:
+    """The rounds of drawing, unrolled: all distances to the candidates so far, then the draws."""
+    def u(number):
+        text = f"concat_ws(':', e.key, r, {number}, {C.KMEANS_SEED})"
+        return f"(CAST('0x' || substr(md5({text}), 1, {seeding.DIGITS}) AS BIGINT) + 0.5) / {16 ** seeding.DIGITS}.0"
+
+    rate = seeding.OVERSAMPLING * SEED_K
+    ctes = ["e AS (SELECT CAST(MIN(vec_id) AS VARCHAR) AS key, vec, CAST(COUNT(*) AS DOUBLE) AS wt FROM "
+            "(SELECT vec_id, CAST(embedding AS DOUBLE[]) AS vec FROM embeddings) GROUP BY vec)",
+            f"rs AS (SELECT unnest(range(0, {SEED_RESTARTS})) AS r)",
+            f"c0 AS (SELECT r, 0 AS round, arg_min(e.key, -ln({u(0)}) / wt) AS key, arg_min(vec, -ln({u(0)}) / wt) AS vec FROM e, rs GROUP BY r)"]
+    for n in range(1, SEED_ROUNDS + 1):
+        ctes += [f"d{n} AS (SELECT c.r, e.key, any_value(e.vec) AS vec, any_value(e.wt) AS wt, "
+                 f"pow(min(list_distance(e.vec, c.vec)), 2) AS d2 FROM e, c{n - 1} c GROUP BY c.r, e.key)",
+                 f"p{n} AS (SELECT r AS pr, SUM(wt * d2) AS cost FROM d{n} GROUP BY r)",
+                 f"c{n} AS (SELECT * FROM c{n - 1} UNION ALL SELECT r, {n} AS round, key, vec FROM d{n} e JOIN p{n} ON pr = r "
+                 f"WHERE {u(n)} < {rate} / cost * wt * d2)"]
+    last = f"c{SEED_ROUNDS}"
+    return (f"WITH {', '.join(ctes)}, nu AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY round, key) - 1 AS candidate FROM {last}), "
+            "nr AS (SELECT nu.r, e.key, any_value(e.wt) AS wt, arg_min(nu.candidate, struct_pack(d := list_distance(e.vec, nu.vec), "
+            "c := nu.candidate)) AS candidate FROM e, nu GROUP BY nu.r, e.key), "
+            "sz AS (SELECT r, candidate, SUM(wt) AS weight FROM nr GROUP BY r, candidate) "
+            "SELECT CAST(nu.r AS INTEGER) AS r, CAST(nu.candidate AS INTEGER) AS candidate, nu.round, CAST(nu.key AS BIGINT) AS vec_id, "
+            "CAST(COALESCE(weight, 0) AS BIGINT) AS weight FROM nu LEFT JOIN sz ON sz.r = nu.r AND sz.candidate = nu.candidate")
+
+
+#: Squarings of the covariance matrix: its 2^14th power leaves nothing of an axis whose eigenvalue is
+#: 0.3 % smaller.
+SQUARINGS = 14
+
+
 def _pca_sql(items: str, vec: str) -> str:
-    """Power iteration on the covariance matrix, twice (the second time deflated)."""
+    """Leading axis by repeated squaring of the covariance matrix, twice (the second time deflated)."""
     def power(name: str, mat: str) -> str:
-        nxt = f"list_transform({mat}.m, lambda r: list_dot_product(r, p.v))"
-        return (f"{name}p AS (SELECT 0 AS step, list_transform({mat}.m, lambda r, i: 1.0 + (i % 7) / 10.0) AS v FROM {mat} "
-                f"UNION ALL SELECT step + 1, list_transform(w, lambda x: x / sqrt(list_dot_product(w, w))) FROM "
-                f"(SELECT p.step, {nxt} AS w FROM {name}p p, {mat} WHERE p.step < 600)), "
+        square = "list_transform(p.m, lambda r: list_transform(p.m, lambda c: list_dot_product(r, c)))"
+        trace = "list_sum(list_transform(w, lambda r, i: r[i]))"
+        start = "list_transform(p.m, lambda r, i: 1.0 + (i % 7) / 10.0)"
+        return (f"{name}p AS (SELECT 0 AS step, m FROM {mat} UNION ALL SELECT step + 1, list_transform(w, lambda r: list_transform("
+                f"r, lambda c: c / t)) FROM (SELECT step, w, {trace} AS t FROM (SELECT p.step, {square} AS w FROM {name}p p "
+                f"WHERE p.step < {SQUARINGS}))), "
+                f"{name}v AS (SELECT list_transform(w, lambda x: x / sqrt(list_dot_product(w, w))) AS v FROM (SELECT list_transform("
+                f"p.m, lambda r: list_dot_product(r, {start})) AS w FROM {name}p p WHERE p.step = {SQUARINGS})), "
                 f"{name} AS (SELECT v, list_dot_product(v, list_transform({mat}.m, lambda r: list_dot_product(r, v))) AS lam "
-                f"FROM {name}p, {mat} WHERE step = 600)")
+                f"FROM {name}v, {mat})")
     return (
         f"{items.replace('WITH ', 'WITH RECURSIVE ', 1)}, x AS (SELECT game_id, cluster, {vec} AS vec FROM it), "
         "lg AS (SELECT game_id, i, vec[i] AS v FROM x, range(1, len(vec) + 1) t(i)), "
@@ -407,6 +455,7 @@ def _oracles() -> dict[str, str]:
             f"WITH {emb} SELECT e.vec_id, arg_min(ec.label, struct_pack(d := list_distance(e.vec, ec.c), l := ec.label)) "
             f"AS nearest, round(min(list_distance(e.vec, ec.c)), {ROUND}) AS distance FROM e, ec GROUP BY e.vec_id"),
         "kmeans_fit": _kmeans_fit_sql(emb),
+        "kmeans_seeding": _kmeans_seeding_sql(),
         "pca_projection": _pca_sql(items, vec),
         "cosine_similarity": (
             f"WITH {emb} SELECT e.vec_id, round(COALESCE(list_dot_product(e.vec, ec.c) / NULLIF(sqrt(list_dot_product("
