@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from tessera.plans import (cluster_queries, nested_queries, prep_queries, rec_queries, source_queries,
-                           stream_queries)
+                           sparse_queries, stream_queries)
 
-_MODULES = [prep_queries, rec_queries, cluster_queries, source_queries, nested_queries, stream_queries]
+_MODULES = [prep_queries, rec_queries, cluster_queries, sparse_queries, source_queries, nested_queries, stream_queries]
 
 
 def queries():
