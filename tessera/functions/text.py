@@ -1,37 +1,28 @@
 """Text cleaning (column functions).
 
 Order: HTML-entity unescape -> collapse every whitespace run to one space -> delete the
-characters ``& - " \\`` -> strip. Only the unescape step needs Python (no JVM built-in
-decodes the full HTML5 entity table); it runs as an Arrow-batched pandas UDF and skips
-values without ``&``. Everything else is JVM-side and stays inside whole-stage codegen.
+characters ``& - " \\`` -> strip. All of it is JVM-side.
 """
 
 from __future__ import annotations
 
-import html
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from tessera.functions.entities import unescape
 
 # FIXED VALUES: Python's str.isspace() set (Java's \s lacks U+001C-U+001F, U+0085, U+00A0, ...)
 WHITESPACE_RUN = "[\\s\\x{1c}-\\x{1f}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+"
 DELETED_CHARS = '&-"\\'
 
 
-@F.pandas_udf(T.StringType())
-def html_unescape(s: pd.Series) -> pd.Series:
-    return s.map(lambda v: html.unescape(v) if isinstance(v, str) and "&" in v else v)
-
-
 def collapse_whitespace(col: Column) -> Column:
     return F.regexp_replace(col, WHITESPACE_RUN, " ")
 
 
 def clean_text(col: Column | str) -> Column:
     c = F.col(col) if isinstance(col, str) else col
-    out = F.translate(collapse_whitespace(html_unescape(c)), DELETED_CHARS, "")
+    out = F.translate(collapse_whitespace(unescape(c)), DELETED_CHARS, "")
     # after the collapse the only whitespace left is ' ', so trimming spaces is a full strip
     return F.trim(out)
 
