@@ -9,6 +9,11 @@ label text, lookup tables). They are stated plainly, in their natural order, and
 # FIXED VALUES — must match the reproduced behaviour exactly
 # --------------------------------------------------------------------------------------
 
+# id scan: ids per batch, ids per request, empty batches in a row that end a scan
+SCAN_BATCH_SIZE = 20
+SCAN_CHUNK_SIZE = 10
+MAX_CONSECUTIVE_EMPTY = 50
+
 # quality filter
 MIN_NUM_RATES = 20
 MIN_AVG_RATING = 6.0

@@ -153,3 +153,38 @@ def test_model_store_publishes_last(spark, tmp_path):
     one.write.parquet(torn + "/members")          # a crash before the marker
     CO.save_model(one.unionByName(one), one, path)
     assert CO.load_model(spark, path)[0].count() == 2
+
+
+def test_one_large_response_is_split(spark, tmp_path):
+    """A single file is read by many tasks, with the rows of the XML data source."""
+    import random
+
+    from tessera.sources import xml_items as X
+
+    rnd = random.Random(1)
+    item = lambda i: (f'<item type="boardgame"\n  id="{i}" note="a > b">\n <name type="primary" value="N {i} é &amp; co"/>\n'
+                      f' <description>{"lorem " * rnd.randrange(0, 60)}</description>\n <link type="boardgamecategory" value="C{i % 3}"/></item>')
+    body = ['<?xml version="1.0" encoding="utf-8"?>\n<items termsofuse="x">', *(item(i) for i in range(4000)),
+            '<item id="9001"/>', "<item type='single' id='9002'><name type='primary' value='q'/></item>", "<itemised/>", "</items>"]
+    (tmp_path / "one").mkdir()
+    (tmp_path / "one" / "response.xml").write_text("\n".join(body), encoding="utf-8")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "50000")
+    try:
+        raw = X.read_items(spark, str(tmp_path / "one"))
+        assert raw.rdd.getNumPartitions() > 8
+        got, whole = X.extract_items(raw), X.extract_items(X.read_items_whole(spark, str(tmp_path / "one")))
+        assert got.count() == 4001
+        assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, whole.collect()), key=repr)
+        assert [r["reason"] for r in X.rejected_items(raw).collect()] == ["no name"]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_cut_off_response_is_rejected(spark, tmp_path):
+    from tessera.sources import xml_items as X
+
+    (tmp_path / "cut.xml").write_text('<items><item id="1"><name type="primary" value="a"/></item>\n<item id="2"><name type="primary" va', encoding="utf-8")
+    raw = X.read_items(spark, str(tmp_path / "cut.xml"))
+    assert [r.game_name for r in X.extract_items(raw).collect()] == ["a"]
+    assert [r.reason for r in X.rejected_items(raw).collect()] == ["malformed"]
