@@ -22,22 +22,26 @@ from __future__ import annotations
 import math
 import re
 import uuid
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import types as T
 
 from tessera.llm.common import free_name, quote
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
-CACHE = 150_000
+#: Bytes that a worker's cached words and parts may take, and those of an entry besides its text and ids.
+CACHE_BYTES, ENTRY = 88 << 20, 230
 #: Bytes of the parts that are encoded together and kept in the cache.
 LONG = 72
-#: Texts that are encoded together.
-ROWS = 1024
+#: Texts, and about how many of their bytes, that are encoded together.
+ROWS, ROW_BYTES = 1024, 3 << 20
 CANDIDATE_CLOSERS = ",.;:!?*%$#&|)\"'"
 
 
@@ -125,7 +129,7 @@ class Unigram:
         self.pieces, self.scores = vocabulary["pieces"], vocabulary["scores"]
         known = [i for i, ok in enumerate(vocabulary["normal"]) if ok and self.pieces[i]]
         self.trie = trie or double_array([self.pieces[i].encode() for i in known], known)
-        self.base, self.check, self.value = (a.tolist() for a in self.trie)
+        self.base, self.check, self.value = (array("i", a.tobytes()) for a in self.trie)
         self.score_array = np.array(self.scores)
         self.unknown = min(self.scores[i] for i in known) - UNKNOWN_PENALTY
         self.byte_ids = [vocabulary["byte_ids"][b] for b in range(256)]
@@ -141,6 +145,7 @@ class Unigram:
         self.mark_ids = [self.byte_ids[b] for b in MARK.encode()]
         self.cache: dict[str | None, bytes] = {}
         self.words: dict[str, bytes] = {}
+        self.held = 0
 
     def viterbi(self, part: str) -> list[int]:
         """Ids of the best segmentation."""
@@ -278,9 +283,10 @@ class Unigram:
         other texts are cut into parts, and the parts not seen before are encoded together. Looked-up
         ids are kept and joined as packed int32."""
         words, cache = self.words, self.cache
-        for table in (words, cache):
-            if len(table) >= CACHE:
-                table.clear()
+        if self.held > CACHE_BYTES:
+            words.clear()
+            cache.clear()
+            self.held = 0
         plain = [t.split(" ") if t and MARK not in t and "  " not in t and t[0] != " " and t[-1] != " " else None for t in texts]
         fresh = {w: self.parts.findall(MARK + w) for w in set().union(*[p for p in plain if p]).difference(words)}
         odd = [self._cut(t) if t and p is None else [] for t, p in zip(texts, plain)]
@@ -298,6 +304,8 @@ class Unigram:
             for x in keys:
                 if len(x) > LONG:
                     del table[x]
+                else:
+                    self.held += ENTRY + len(x) + len(table[x])
         return out
 
     def encode(self, text: str) -> list[int]:
@@ -332,19 +340,34 @@ def _list_array(lists: list[np.ndarray | None]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values), mask=pa.array([x is None for x in lists], pa.bool_()))
 
 
+def _blocks(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """(first row, rows) of blocks that are encoded together."""
+    sizes = np.nan_to_num(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.float64)) + 1
+    at, ends = 0, np.cumsum(sizes)
+    while at < len(sizes):
+        before = ends[at - 1] if at else 0.0
+        to = max(at + 1, min(at + ROWS, int(np.searchsorted(ends, before + ROW_BYTES, side="right"))))
+        yield at, to - at
+        at = to
+
+
 def encode(docs: DataFrame, text: str = "text", path: str = MODEL, ids: str = "ids") -> DataFrame:
-    """``docs`` with the piece ids of every whole text in column ``ids``."""
+    """``docs`` with the piece ids of every whole text in column ``ids`` (a column of that name gives way).
+    Rows leave a task block by block, so that it holds the ids of one block at a time."""
     model = _broadcast(docs.sparkSession, path)
+    kept = [f for f in docs.schema.fields if f.name.lower() != ids.lower()]
+    names = [f.name for f in kept]
+    rows = docs.select(*[F.col(quote(c)) for c in names], F.col(quote(text)).cast("string").alias(free_name(names, "encoded")))
 
-    @F.arrow_udf("array<int>")
-    def batch(texts: pa.Array) -> pa.Array:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _loaded(model)
-        out: list = []
-        for at in range(0, len(texts), ROWS):
-            out += encoder.encode_many(texts.slice(at, ROWS).to_pylist())
-        return _list_array(out)
+        for whole in batches:
+            for at, n in _blocks(whole.column(len(names))):
+                part = whole.slice(at, n)
+                lists = encoder.encode_many(part.column(len(names)).to_pylist())
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], _list_array(lists)], [*names, ids])
 
-    return docs.withColumn(ids, batch(F.col(quote(text))))
+    return rows.mapInArrow(run, T.StructType([*kept, T.StructField(ids, T.ArrayType(T.IntegerType()))]))
 
 
 def decode(tokens: DataFrame, ids: str = "ids", path: str = MODEL, text: str = "text") -> DataFrame:
@@ -369,8 +392,8 @@ def tokens(docs: DataFrame, path: str = MODEL) -> DataFrame:
         is_byte = np.zeros(len(coder.pieces), bool)
         is_byte[coder.byte_ids] = True
         for whole in batches:
-            for at in range(0, whole.num_rows, ROWS):
-                rows = whole.slice(at, ROWS)
+            for at, n in _blocks(whole.column(1)):
+                rows = whole.slice(at, n)
                 texts = rows.column(1).to_pylist()
                 lists = coder.encode_many(texts)
                 sizes = [0 if x is None else len(x) for x in lists]
