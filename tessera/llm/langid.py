@@ -1,6 +1,6 @@
 """Language identification by word-first backoff.
 
-Training counts every word of every labelled text per language (per-task counters, then a partial
+Training counts every word of every labelled text per language (block by block, then a partial
 aggregate: a hot language or word is no hot task), and the character n-grams of those words,
 weighted by the words' counts. The model keeps
 
@@ -16,7 +16,9 @@ unseen word backs off: the mean log frequency of its longest n-grams, if any of
 otherwise of n-grams one shorter, down to single characters; unknown letters say nothing. The
 prediction is the best language, its score the softmax over languages of sum / sqrt(words).
 
-Defined cases: a null text, or one without letters, is ``und`` with score 0; ties go to the first
+Words are looked up block by block: each distinct word of a block once, then one sum per text.
+
+Defined cases: a null text, or one without letters (numerals such as a half sign are none), is ``und`` with score 0; ties go to the first
 language in alphabetic order; without any training text all is ``und``; null languages are not
 learned; repeated rows count as often as they occur; whole texts of any length are read.
 """
@@ -24,7 +26,6 @@ learned; repeated rows count as often as they occur; whole texts of any length a
 from __future__ import annotations
 
 import math
-import re
 import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -32,6 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from tessera.llm.common import crc_mod, stage
@@ -39,15 +41,39 @@ from tessera.llm.common import crc_mod, stage
 ORDER = 5
 MIN_WORD = 2e-6
 MIN_GRAM = 2e-6
-LETTERS = re.compile(r"[^\W\d_]+")
-#: Entries of a task's counter or cache.
+#: A word is a run of letters and combining marks (Unicode categories L and M) with a letter in it.
+BREAK, LETTER = r"[^\pL\pM]+", r"\pL"
+#: Entries of a task's counter, unseen words that a worker remembers, bytes of text looked at together.
 HELD = 150_000
 CACHE = 300_000
+BLOCK = 8 << 20
 UND = "und"
 
 
+def split_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Lower-cased words of texts as (first word of each text and the end, number of each word in the
+    dictionary or -1 if it has no letter, dictionary); every text has at least one entry."""
+    lists = pc.split_pattern_regex(pc.utf8_lower(pc.fill_null(texts.cast(pa.string()), "")), BREAK)
+    coded = lists.flatten().dictionary_encode()
+    known = pc.match_substring_regex(coded.dictionary, LETTER).to_numpy(zero_copy_only=False)
+    ids = coded.indices.to_numpy(zero_copy_only=False)
+    ends = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))])
+    return ends, np.where(known[ids], ids, -1) if len(ids) else ids, coded.dictionary
+
+
 def words(text: str) -> list[str]:
-    return LETTERS.findall(text.lower())
+    _, ids, names = split_words(pa.array([text]))
+    return [names[int(i)].as_py() for i in ids if i >= 0]
+
+
+def blocks(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """(first row, rows) of blocks of about ``BLOCK`` bytes, a row at least."""
+    sizes = np.nan_to_num(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.float64)) + 1
+    at, ends = 0, np.cumsum(sizes)
+    while at < len(sizes):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0.0) + BLOCK, side="right")))
+        yield at, to - at
+        at = to
 
 
 def grams(word: str, n: int) -> list[str]:
@@ -65,13 +91,16 @@ def count_words(labelled: DataFrame) -> DataFrame:
     """(lang, word, n) over all texts of a (lang, text) table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[str, Counter] = defaultdict(Counter)
         for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                counts[lang].update(words(text))
-                if len(counts[lang]) > HELD:
-                    yield from _counted("word", {lang: counts.pop(lang)})
-        yield from _counted("word", counts)
+            for at, n in blocks(batch.column(1)):
+                part = batch.slice(at, n)
+                ends, ids, names = split_words(part.column(1))
+                langs = part.column(0).dictionary_encode()
+                lang = np.repeat(langs.indices.to_numpy(zero_copy_only=False), np.diff(ends))
+                pairs, counts = np.unique(lang[ids >= 0].astype(np.int64) * len(names) + ids[ids >= 0], return_counts=True)
+                yield pa.RecordBatch.from_arrays(
+                    [langs.dictionary.take(pa.array(pairs // max(1, len(names)))), names.take(pa.array(pairs % max(1, len(names)))), pa.array(counts, pa.int64())],
+                    ["lang", "word", "n"])
 
     return labelled.select("lang", "text").mapInArrow(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
@@ -100,6 +129,8 @@ class Model:
 
     def __init__(self, langs: list[str], word_table: dict[str, np.ndarray], gram_table: dict[str, np.ndarray]):
         self.langs, self.word_table, self.gram_table = langs, word_table, gram_table
+        self.gram_of = {g: i for i, g in enumerate(gram_table)}
+        self.gram_rows = np.array(list(gram_table.values())) if gram_table else np.zeros((0, len(langs)))
         self.forget()
 
     def forget(self) -> None:
@@ -109,36 +140,51 @@ class Model:
         for w, i in self.row_of.items():
             self.rows[i] = self.word_table[w]
 
-    def unseen(self, word: str) -> np.ndarray | float:
-        """Backed-off scores of a word that is not in the model."""
-        for n in range(min(ORDER, len(word) + 2), 0, -1):
-            found = [self.gram_table[g] for g in grams(word, n) if g in self.gram_table]
-            if found:
-                return np.mean(found, axis=0)
-        return 0.0
+    def unseen(self, names: list[str]) -> np.ndarray:
+        """Backed-off scores of words that are not in the model, one row each."""
+        find, flat, sizes = self.gram_of.get, [], []
+        for word in names:
+            found: list[int] = []
+            for n in range(min(ORDER, len(word) + 2), 0, -1):
+                found = [i for i in map(find, grams(word, n)) if i is not None]
+                if found:
+                    break
+            flat += found
+            sizes.append(len(found))
+        out, n = np.zeros((len(names), len(self.langs))), np.array(sizes, np.int64)
+        some = np.flatnonzero(n)
+        if len(some):
+            out[some] = np.add.reduceat(self.gram_rows[flat], (np.cumsum(n) - n)[some], axis=0) / n[some, None]
+        return out
+
+    def predict_many(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
+        """(languages, scores): every distinct word of the texts is looked up once."""
+        ends, ids, dictionary = split_words(texts)
+        names, row_of = dictionary.to_pylist(), self.row_of
+        at = np.fromiter((row_of.get(w, -1) for w in names), np.int64, len(names))
+        new = np.flatnonzero(at < 0)
+        new = new[np.isin(new, ids)] if len(new) else new  # those with a letter
+        table = np.zeros((len(names) + 1, len(self.langs)))  # the last row is that of no word
+        table[:-1][at >= 0] = self.rows[at[at >= 0]]
+        if len(new):
+            table[new] = found = self.unseen([names[i] for i in new])
+            if len(row_of) + len(new) > len(self.rows):
+                self.forget()
+                row_of = self.row_of
+            kept = new[: len(self.rows) - len(row_of)]
+            self.rows[len(row_of) : len(row_of) + len(kept)] = found[: len(kept)]
+            row_of.update(zip([names[i] for i in kept], range(len(row_of), len(row_of) + len(kept))))
+        n = np.add.reduceat(ids >= 0, ends[:-1], dtype=np.int64) if len(texts) else np.zeros(0, np.int64)
+        if not self.langs:
+            return [UND] * len(texts), np.zeros(len(texts))
+        total = np.add.reduceat(table[ids], ends[:-1], axis=0) if len(texts) else np.zeros((0, len(self.langs)))
+        best = total.argmax(1)
+        scaled = np.exp((total - total[np.arange(len(best)), best][:, None]) / np.sqrt(np.maximum(n, 1))[:, None])
+        return [self.langs[b] if k else UND for b, k in zip(best.tolist(), n.tolist())], np.where(n > 0, 1 / scaled.sum(1), 0.0)
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        ws = words(text or "")
-        if not ws or not self.langs:
-            return UND, 0.0
-        row_of, total = self.row_of, np.zeros(len(self.langs))
-        for at in range(0, len(ws), 100_000):
-            part = ws[at:at + 100_000]
-            for w in set(part).difference(row_of):
-                if len(row_of) == len(self.rows):
-                    self.forget()
-                    row_of = self.row_of
-                self.rows[len(row_of)] = self.unseen(w)
-                row_of[w] = len(row_of)
-            try:
-                ids = [row_of[w] for w in part]
-            except KeyError:  # the table was started anew in the middle
-                total += np.sum([self.rows[row_of[w]] if w in row_of else self.unseen(w) for w in part], axis=0)
-                continue
-            total += self.rows[ids].sum(axis=0)
-        best = int(total.argmax())
-        scaled = np.exp((total - total[best]) / math.sqrt(len(ws)))
-        return self.langs[best], float(1 / scaled.sum())
+        lang, score = self.predict_many(pa.array([text], pa.string()))
+        return lang[0], float(score[0])
 
 
 def _kept(counts: DataFrame, name: str, least: float) -> tuple[dict, pd.DataFrame]:
@@ -182,18 +228,23 @@ _LOADED: dict[str, Model] = {}
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text", lang: str = "lang_pred", score: str = "score") -> DataFrame:
-    """``docs`` with the predicted language and its score."""
+    """``docs`` with the predicted language and its score (columns of those names give way)."""
     token = uuid.uuid4().hex
     shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.word_table, model.gram_table))
 
-    @F.pandas_udf("struct<lang:string,score:double>")
-    def predict(texts: pd.Series) -> pd.DataFrame:
+    @F.arrow_udf("struct<lang:string,score:double>")
+    def predict(texts: pa.Array) -> pa.Array:
         if token not in _LOADED:
             _LOADED.clear()
             _LOADED[token] = Model(*shared.value)
-        return pd.DataFrame([_LOADED[token].predict(t) for t in texts], columns=["lang", "score"])
-
-    both = predict(F.col(text))
+        langs, scores = [], [np.zeros(0)]
+        for at, n in blocks(texts):
+            found = _LOADED[token].predict_many(texts.slice(at, n))
+            langs += found[0]
+            scores.append(found[1])
+        return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(np.concatenate(scores))], ["lang", "score"])
+
+    both = predict(F.col(text).cast("string"))
     return docs.withColumn(lang, both["lang"]).withColumn(score, both["score"])
 
 

@@ -4,6 +4,8 @@ import math
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from tessera.llm import langid as g
@@ -34,11 +36,36 @@ def test_backoff_by_hand(spark):
         return [0.0, 0.0]
 
     for w in ["hat", "cats", "chats", "zzz", "o", "chien"]:
-        got = model.unseen(w)
-        assert (list(got) if not isinstance(got, float) else [0.0, 0.0]) == pytest.approx(brute(w)), w
+        assert list(model.unseen([w])[0]) == pytest.approx(brute(w)), w
+    # whole texts: known words by their log frequency, the others by backoff, softmax over sqrt(words)
+    texts = ["cat hats", "Chat, zzz! cats", "cat", "dog dog o", None, "cat " * 50]
+    langs, scores = model.predict_many(pa.array(texts))
+    for text, lang, score in zip(texts, langs, scores):
+        ws = re.findall("[a-z]+", (text or "").lower())
+        sums = [sum((model.word_table[w] if w in model.word_table else brute(w))[i] for w in ws) for i in range(2)]
+        best = sums.index(max(sums))
+        want = 1 / sum(math.exp((x - sums[best]) / math.sqrt(len(ws))) for x in sums) if ws else 0.0
+        assert lang == (["aa", "bb"][best] if ws else "und") and score == pytest.approx(want)
     assert model.predict("cat")[0] == "aa" and model.predict("CHATS")[0] == "bb" and model.predict("123 _!") == ("und", 0.0)
 
 
+def test_words_are_letters_and_marks():
+    assert g.words("½ ² Ⅷ ①② 12 __ ़") == []
+    assert g.words("हिन्दी É́a naïve-e2f") == ["हिन्दी", "é́a", "naïve", "e", "f"]
+    model = g.Model(["aa", "bb"], {"x": np.array([-1.0, -2.0])}, {})
+    assert [model.predict(t) for t in ("½ ²", "①②", "", None)] == [("und", 0.0)] * 4
+    assert model.predict("x ½")[0] == "aa"
+
+
+def test_remembered_words_do_not_change_scores(monkeypatch):
+    monkeypatch.setattr(g, "CACHE", 3)
+    table = {x: np.array([-float(i), -2.0]) for i, x in enumerate("abcdefgh")}
+    model = g.Model(["aa", "bb"], {"a": np.array([-1.0, -2.0])}, table)
+    texts = ["b c d e f", "g h b c", "a b", "h g f e d c b a"]
+    first = [g.Model(["aa", "bb"], {"a": np.array([-1.0, -2.0])}, table).predict(t) for t in texts]
+    assert [model.predict(t) for t in texts * 3] == first * 3
+
+
 def test_held_out_accuracy(spark):
     out = g.language_id(read_table(spark, "/root/testdata/sf0.01", "documents"))
     rows = out.join(read_table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "lang"), "doc_id").filter("held_out").collect()
