@@ -23,6 +23,8 @@ from tessera.session import cut_lineage, hadoop_fs, path_exists
 
 SUBSET = "subset"
 REMAINDER = "remainder"
+#: Decimals to which silhouettes are compared.
+SILHOUETTE_DIGITS = 9
 
 
 def split_by_constraints(df: DataFrame, constraint_columns: Sequence[str]) -> DataFrame:
@@ -33,7 +35,7 @@ def split_by_constraints(df: DataFrame, constraint_columns: Sequence[str]) -> Da
 def constrained_clusters(items: DataFrame, features: Sequence[str], constraint_columns: Sequence[str] = C.CONSTRAINT_COLUMNS,
                          key: str = "game_name", order: str = "game_id", restarts: int = C.KMEANS_RESTARTS,
                          max_iter: int = C.KMEANS_MAX_ITER, tol: float = C.KMEANS_TOL, seed: int = C.KMEANS_SEED,
-                         ) -> tuple[DataFrame, DataFrame]:
+                         init: str = "parallel") -> tuple[DataFrame, DataFrame]:
     """Returns (members: cluster_id, key, order, subset; info: cluster_id, constraint,
     parent_constraint, is_subcluster, subcluster_id, count)."""
     spark = items.sparkSession
@@ -45,7 +47,7 @@ def constrained_clusters(items: DataFrame, features: Sequence[str], constraint_c
     kc = cut_lineage(CL.k_candidates(counts, n_columns=len(features) + 1))
     dv = cut_lineage(rows.groupBy(SUBSET, "vec").agg(F.count(F.lit(1)).alias("wt")))
     ks = {(r[SUBSET],): sorted(r["ks"]) for r in kc.groupBy(SUBSET).agg(F.collect_list("k").alias("ks")).collect()}
-    best = KM.kmeans_grid(dv, ks, by=[SUBSET], restarts=restarts, max_iter=max_iter, tol=tol, seed=seed)
+    best = KM.kmeans_grid(dv, ks, by=[SUBSET], restarts=restarts, max_iter=max_iter, tol=tol, seed=seed, init=init)
     cents, order_k = {}, {}
     for (sk, k), (cen, _) in sorted(best.items()):
         cents.setdefault(sk, []).append(cen)
@@ -55,7 +57,7 @@ def constrained_clusters(items: DataFrame, features: Sequence[str], constraint_c
         sil = KM.silhouette(labelled, "labels", by=[SUBSET])
         kmap = spark.createDataFrame([(sk[0], i, k) for sk, kl in order_k.items() for i, k in enumerate(kl)],
                                      f"{SUBSET} string, model int, k int")
-        sil = sil.join(kmap, [SUBSET, "model"]).select(SUBSET, "k", "silhouette")
+        sil = sil.join(kmap, [SUBSET, "model"]).select(SUBSET, "k", F.round("silhouette", SILHOUETTE_DIGITS).alias("silhouette"))
         chosen = {r[SUBSET]: r["k"] for r in CL.select_k(kc, sil).filter("selected").collect()}
     else:
         chosen = {}

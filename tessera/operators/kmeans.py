@@ -33,8 +33,8 @@ from tessera.session import materialise
 
 #: Vectors of a tile, and tiles of a block that a silhouette task holds at most.
 TILE, BLOCK_TILES = 512, 16
-#: Decimals to which squared distances are compared.
-TIE_DIGITS = 9
+#: Decimals to which squared distances and the costs of restarts are compared.
+TIE_DIGITS, COST_DIGITS = 9, 6
 #: Centroid cells (models x k x dim) that are fitted and broadcast together.
 GROUP_CELLS = 8_000_000
 
@@ -327,7 +327,7 @@ def lloyd(sweep: _Sweep, starts: dict, max_iter: int, tolerance: dict) -> dict:
 def kmeans_grid(dv: DataFrame, ks: dict, by: Sequence[str] = (), restarts: int = C.KMEANS_RESTARTS,
                 max_iter: int = C.KMEANS_MAX_ITER, tol: float = C.KMEANS_TOL, seed: int = C.KMEANS_SEED,
                 group_cells: int = GROUP_CELLS, init: str = "parallel") -> dict:
-    """Fit every (subset, k, restart) model; keep the lowest-cost restart per (subset, k).
+    """Fit every (subset, k, restart) model; keep the lowest-cost restart (ties: the first) per (subset, k).
 
     ``ks``: subset key tuple -> list of k. Returns {(subset, k): (centroids, cost)}. Starts are
     scalable k-means++ (``init="parallel"``, see :mod:`tessera.operators.seeding`) or the first k
@@ -356,10 +356,11 @@ def kmeans_grid(dv: DataFrame, ks: dict, by: Sequence[str] = (), restarts: int =
     best: dict = {}
     for group in _groups_of_models(starts, group_cells):
         for (sk, k, r), (cen, cost) in sorted(lloyd(sweep, {m: starts[m] for m in group}, max_iter, tolerance).items(), key=repr):
-            if (sk, k) not in best or cost < best[(sk, k)][1]:
-                best[(sk, k)] = (cen, cost)
+            mine = (round(cost, COST_DIGITS), r)  # restarts that end alike differ in rounding only
+            if (sk, k) not in best or mine < best[(sk, k)][0]:
+                best[(sk, k)] = (mine, cen, cost)
     sweep.data.unpersist()
-    return best
+    return {key: (cen, cost) for key, (_, cen, cost) in best.items()}
 
 
 def fit_from(dv: DataFrame, start: np.ndarray, steps: int) -> tuple[np.ndarray, float]:

@@ -14,7 +14,8 @@ updates each vector's ``d2`` and nearest candidate against the new candidates on
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -46,6 +47,11 @@ def draw(key: Column, *salt: Column | int) -> Column:
     return (F.conv(F.substring(F.md5(text), 1, DIGITS), 16, 10).cast("double") + 0.5) / float(16**DIGITS)
 
 
+def drawn(*parts) -> float:
+    """The number that :func:`draw` gives for these texts, for draws on the driver."""
+    return (int(hashlib.md5(":".join(map(str, parts)).encode()).hexdigest()[:DIGITS], 16) + 0.5) / 16**DIGITS
+
+
 def _nearest(state: DataFrame, by: list[str], found: dict, restarts: int) -> DataFrame:
     """``state`` with d2 and nearest brought up to date. ``found``: (subset, restart) -> (number of the
     first new candidate, new candidates as an array)."""
@@ -140,15 +146,16 @@ def _same(by: list[str]) -> Column:
     return on
 
 
-def weighted_plusplus(x: np.ndarray, weight: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
-    """Numbers of up to ``k`` rows in k-means++ order (fewer if no row is left at a distance)."""
+def weighted_plusplus(x: np.ndarray, weight: np.ndarray, k: int, pick: Callable[[int], float]) -> np.ndarray:
+    """Numbers of up to ``k`` rows in k-means++ order (fewer if no row is left at a distance).
+    ``pick``: the draw of each step, in (0, 1)."""
     chosen: list[int] = []
     d2 = np.full(len(x), 1.0)
     while len(chosen) < min(k, len(x)):
         share = np.cumsum(weight * d2)
         if not share[-1] > 0:
             break
-        i = min(int(np.searchsorted(share, rng.random() * share[-1], side="right")), len(x) - 1)
+        i = min(int(np.searchsorted(share, pick(len(chosen)) * share[-1], side="right")), len(x) - 1)
         chosen.append(i)
         far = ((x - x[i]) ** 2).sum(1)
         d2 = far if len(chosen) == 1 else np.minimum(d2, far)
@@ -162,14 +169,14 @@ def starts(dv: DataFrame, ks: dict, by: Sequence[str] = (), restarts: int = C.KM
     Where fewer candidates than k were drawn (small subsets), the vectors of the smallest draws
     that are no candidates follow."""
     by = list(by)
-    drawn: dict = {}
+    found: dict = {}
     for row in candidates(dv, ks, by, restarts, seed, rounds, oversampling).collect():
-        drawn.setdefault((tuple(row[b] for b in by), row["r"]), []).append((row["candidate"], row["key"], row["vec"], row["weight"]))
+        found.setdefault((tuple(row[b] for b in by), row["r"]), []).append((row["candidate"], row["key"], row["vec"], row["weight"]))
     out, short = {}, {}
-    for (sk, r), rows in drawn.items():
+    for (sk, r), rows in found.items():
         rows.sort(key=lambda c: c[0])
         x, weight = np.array([c[2] for c in rows], dtype=np.float64), np.array([max(c[3], 0.0) for c in rows])
-        order = weighted_plusplus(x, weight, ks.get(sk, 0), np.random.default_rng([seed, r]))
+        order = weighted_plusplus(x, weight, ks.get(sk, 0), lambda step: drawn(*sk, "pick", r, step, seed))  # noqa: B023
         out[sk, r] = x[order]
         if len(order) < ks.get(sk, 0):
             short[sk, r] = {rows[i][1] for i in order}

@@ -154,6 +154,18 @@ def _embeddings(spark, sf):
     return e.select("vec_id", "label", F.transform("embedding", lambda v: v.cast("double")).alias("vec"))
 
 
+def model_reuse(spark, sf):
+    """The reuse rule: a published model is loaded, not fitted again."""
+    items, members, feats = _items(spark, sf)
+    members = members.select("cluster_id", F.col("game_name").alias("item_key"))
+    info = members.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("count")).withColumn(
+        "constraint", F.format_string("cluster_%d", F.col("cluster_id")))
+    path = shared_path(spark, "reused-model")
+    CO.save_model(members, info, path)
+    got, got_info = CO.fit_or_load(items, feats, path, mode="reuse")
+    return got.join(got_info.drop("created_at"), "cluster_id").select("cluster_id", "item_key", "constraint", "count")
+
+
 def nearest_centroid(spark, sf):
     e = _embeddings(spark, sf)
     table = KM.centroid_table(KM.mean_vectors(e, "label"), "label")
@@ -231,6 +243,7 @@ QUERIES = {
     "select_k": select_k,
     "kmeans_step": kmeans_step,
     "model_roundtrip": model_roundtrip,
+    "model_reuse": model_reuse,
     "nearest_centroid": nearest_centroid,
     "cosine_similarity": cosine_similarity,
     "kmeans_fit": kmeans_fit,
@@ -285,6 +298,76 @@ def _kmeans_seeding_sql() -> str:
             "CAST(COALESCE(weight, 0) AS BIGINT) AS weight FROM nu LEFT JOIN sz ON sz.r = nu.r AND sz.candidate = nu.candidate")
 
 
+def _constrained_sql(subsets: str, kc: str, silhouettes: str, vec: str, n_dims: int) -> str:
+    """The whole run: candidates and starts of every restart, Lloyd steps of every model until it rests,
+    the best restart, the silhouette of every k, the chosen k, and the clusters of the chosen models."""
+    def u(key, *salt):
+        text = f"concat_ws(':', {key}, {', '.join(map(str, salt))}, {C.KMEANS_SEED})"
+        return f"((CAST('0x' || substr(md5({text}), 1, {seeding.DIGITS}) AS BIGINT) + 0.5) / {16 ** seeding.DIGITS}.0)"
+
+    apart = lambda a, b: f"round(pow(list_distance({a}, {b}), 2))"  # noqa: E731  whole numbers: the vectors are 0/1
+    to_centre = "round(greatest(list_dot_product(d.vec, d.vec) - 2 * list_dot_product(d.vec, a.c) + list_dot_product(a.c, a.c), 0.0), 9)"
+    key = "md5(array_to_string(list_transform(vec, lambda v: CAST(v AS VARCHAR)), ','))"
+    ctes = [
+        f"dv AS (SELECT subset, vec, COUNT(*)::DOUBLE AS wt, {key} AS key FROM (SELECT subset, {vec} AS vec FROM sub) GROUP BY subset, vec)",
+        "e AS (SELECT dv.*, km.k FROM dv JOIN (SELECT subset, MAX(k) AS k FROM kc GROUP BY subset) km USING (subset))",
+        f"rs AS (SELECT unnest(range(0, {C.KMEANS_RESTARTS})) AS r)",
+        f"g0 AS (SELECT subset, r, 0 AS round, arg_min(key, o) AS key, arg_min(vec, o) AS vec FROM (SELECT e.*, rs.r, "
+        f"struct_pack(c := -ln({u('e.key', 'r', 0)}) / wt, k := e.key) AS o FROM e, rs) GROUP BY subset, r)"]
+    for n in range(1, seeding.ROUNDS + 1):
+        ctes += [
+            f"d{n} AS (SELECT e.subset, c.r, e.key, any_value(e.vec) AS vec, any_value(e.wt) AS wt, any_value(e.k) AS k, "
+            f"MIN({apart('e.vec', 'c.vec')}) AS d2 FROM e JOIN g{n - 1} c USING (subset) GROUP BY e.subset, c.r, e.key)",
+            f"p{n} AS (SELECT subset, r, SUM(wt * d2) AS cost FROM d{n} GROUP BY subset, r HAVING SUM(wt * d2) > 0)",
+            f"g{n} AS (SELECT * FROM g{n - 1} UNION ALL SELECT subset, r, {n} AS round, key, vec FROM d{n} JOIN p{n} USING (subset, r) "
+            f"WHERE {u('key', 'r', n)} < {seeding.OVERSAMPLING} * k / cost * wt * d2)"]
+    ctes += [
+        f"nu AS (SELECT *, row_number() OVER (PARTITION BY subset, r ORDER BY round, key) - 1 AS cand FROM g{seeding.ROUNDS})",
+        f"nw AS (SELECT subset, r, cand, SUM(wt) AS weight FROM (SELECT e.subset, c.r, e.key, any_value(e.wt) AS wt, arg_min(c.cand, "
+        f"struct_pack(d := {apart('e.vec', 'c.vec')}, c := c.cand)) AS cand FROM e JOIN nu c USING (subset) GROUP BY e.subset, c.r, e.key) GROUP BY subset, r, cand)",
+        "pp AS (SELECT nu.subset, nu.r, 0 AS step, cand, vec, COALESCE(weight, 0.0) AS weight, 1.0::DOUBLE AS d2, CAST(NULL AS BIGINT) AS picked, "
+        "(SELECT MAX(k) FROM kc WHERE kc.subset = nu.subset) AS k FROM nu LEFT JOIN nw USING (subset, r, cand) "
+        "UNION ALL SELECT s.subset, s.r, s.step + 1, s.cand, s.vec, s.weight, "
+        f"CASE WHEN s.step = 0 THEN {apart('s.vec', 'pk.vec')} ELSE least(s.d2, {apart('s.vec', 'pk.vec')}) END, pk.cand, s.k "
+        "FROM pp s JOIN (SELECT subset, r, MIN(cand) AS cand, arg_min(vec, cand) AS vec FROM (SELECT *, SUM(weight * d2) OVER (PARTITION BY subset, r "
+        "ORDER BY cand ROWS UNBOUNDED PRECEDING) AS share, SUM(weight * d2) OVER (PARTITION BY subset, r) AS total FROM pp WHERE step < k) "
+        f"WHERE total > 0 AND share > {u('subset', chr(39) + 'pick' + chr(39), 'r', 'step')} * total GROUP BY subset, r) pk USING (subset, r))",
+        "st0 AS (SELECT DISTINCT subset, r, step AS pos, picked AS cand FROM pp WHERE picked IS NOT NULL)",
+        "st1 AS (SELECT st0.subset, st0.r, pos, vec, COUNT(*) OVER (PARTITION BY st0.subset, st0.r) AS found FROM st0 JOIN nu USING (subset, r, cand))",
+        "tl AS (SELECT subset, AVG(greatest(mu - mu * mu, 0.0)) * " + repr(C.KMEANS_TOL) + " AS tol FROM (SELECT subset, j, SUM(wt * vec[j]) / SUM(wt) AS mu "
+        f"FROM dv, range(1, {n_dims + 1}) t(j) GROUP BY subset, j) GROUP BY subset)",
+        "ll AS (SELECT 0 AS step, kc.subset, kc.k, s.r, s.pos - 1 AS cid, s.vec AS c, 1e300::DOUBLE AS shift, tl.tol FROM kc JOIN st1 s ON s.subset = kc.subset "
+        "AND s.pos <= kc.k AND s.found >= kc.k JOIN tl ON tl.subset = kc.subset "
+        "UNION ALL SELECT step + 1, subset, k, r, cid, c, SUM(moved) OVER (PARTITION BY subset, k, r), tol FROM ("
+        "SELECT a.step, a.subset, a.k, a.r, a.cid, COALESCE(m.c, a.c) AS c, COALESCE(pow(list_distance(m.c, a.c), 2), 0.0) AS moved, a.tol "
+        f"FROM (SELECT * FROM ll WHERE shift > tol AND step < {C.KMEANS_MAX_ITER}) a LEFT JOIN ("
+        f"SELECT z.subset, z.k, z.r, z.cid, list_transform(range(1, {n_dims + 1}), lambda j: COALESCE(f.s[j], 0.0) / z.w) AS c FROM "
+        "(SELECT subset, k, r, cid, SUM(wt) AS w FROM (SELECT a.subset, a.k, a.r, d.key, any_value(d.wt) AS wt, "
+        f"arg_min(a.cid, struct_pack(d := {to_centre}, c := a.cid)) AS cid FROM dv d JOIN ll a ON a.subset = d.subset "
+        f"WHERE a.shift > a.tol AND a.step < {C.KMEANS_MAX_ITER} GROUP BY a.subset, a.k, a.r, d.key) GROUP BY subset, k, r, cid) z LEFT JOIN "
+        "(SELECT subset, k, r, cid, map_from_entries(list(struct_pack(k := j, v := s))) AS s FROM (SELECT subset, k, r, cid, j, SUM(wt) AS s FROM "
+        "(SELECT a.subset, a.k, a.r, d.key, any_value(d.wt) AS wt, any_value(d.flags) AS flags, "
+        f"arg_min(a.cid, struct_pack(d := {to_centre}, c := a.cid)) AS cid FROM (SELECT *, list_filter(range(1, {n_dims + 1}), lambda j: vec[j] = 1) AS flags FROM dv) d "
+        f"JOIN ll a ON a.subset = d.subset WHERE a.shift > a.tol AND a.step < {C.KMEANS_MAX_ITER} GROUP BY a.subset, a.k, a.r, d.key), "
+        "unnest(flags) t(j) GROUP BY subset, k, r, cid, j) GROUP BY subset, k, r, cid) f USING (subset, k, r, cid)) m USING (subset, k, r, cid)))",
+        "fin AS (SELECT * FROM ll QUALIFY step = MAX(step) OVER (PARTITION BY subset, k, r))",
+        f"near AS (SELECT a.subset, a.k, a.r, d.key, any_value(d.vec) AS vec, any_value(d.wt) AS wt, MIN({to_centre.replace('round(', '(', 1).removesuffix(', 9)')})) AS d2, "
+        f"arg_min(a.cid, struct_pack(d := {to_centre}, c := a.cid)) AS lab FROM dv d JOIN fin a ON a.subset = d.subset GROUP BY a.subset, a.k, a.r, d.key)",
+        f"bestr AS (SELECT subset, k, arg_min(r, struct_pack(c := cost, r := r)) AS r FROM (SELECT subset, k, r, round(SUM(wt * d2), {KM.COST_DIGITS}) AS cost "
+        "FROM near GROUP BY subset, k, r) GROUP BY subset, k)",
+        "asg AS (SELECT near.* EXCLUDE (d2, key) FROM near JOIN bestr USING (subset, k, r))"]
+    order = "CASE " + " ".join(f"WHEN subset = {S.q(c)} THEN {i}" for i, c in enumerate(C.CONSTRAINT_COLUMNS)) + f" ELSE {len(C.CONSTRAINT_COLUMNS)} END"
+    prefix = C.CATEGORY_GROUP_PREFIX + "_"
+    return (f"{subsets.replace('WITH ', 'WITH RECURSIVE ', 1)}, {kc}, {', '.join(ctes)}, {silhouettes}, "
+            "chosen AS (SELECT asg.subset, asg.vec, asg.lab FROM asg JOIN bestk ON bestk.subset = asg.subset AND bestk.best_k = asg.k "
+            "UNION ALL SELECT subset, vec, 0 FROM dv WHERE subset NOT IN (SELECT subset FROM bestk)), "
+            f"ids AS (SELECT subset, lab, CAST(row_number() OVER (ORDER BY {order}, lab) - 1 AS INTEGER) AS cluster_id FROM (SELECT DISTINCT subset, lab FROM chosen)) "
+            "SELECT cluster_id, game_name, game_id, s.subset, CASE WHEN s.subset = 'remainder' THEN 'unconstrained_cluster_' || ids.lab "
+            f"ELSE regexp_replace(s.subset, '^.*{prefix}', '') || '_subcluster_' || ids.lab END AS constraint "
+            f"FROM (SELECT *, {vec} AS vec FROM sub) s JOIN chosen ON chosen.subset = s.subset AND chosen.vec = s.vec "
+            "JOIN ids ON ids.subset = chosen.subset AND ids.lab = chosen.lab")
+
+
 #: Squarings of the covariance matrix: its 2^14th power leaves nothing of an axis whose eigenvalue is
 #: 0.3 % smaller.
 SQUARINGS = 14
@@ -376,7 +459,8 @@ def _oracles() -> dict[str, str]:
         "sd AS (SELECT subset, vec AS svec, row_number() OVER (PARTITION BY subset ORDER BY first_id) AS pos FROM dv), "
         "asg AS (SELECT kc.subset, kc.k, dv.vec, dv.wt, arg_min(sd.pos, struct_pack(d := list_distance(dv.vec, sd.svec), "
         "p := sd.pos)) - 1 AS lab FROM kc JOIN dv ON dv.subset = kc.subset JOIN sd ON sd.subset = kc.subset AND sd.pos <= kc.k "
-        "GROUP BY kc.subset, kc.k, dv.vec, dv.wt), "
+        "GROUP BY kc.subset, kc.k, dv.vec, dv.wt), ")
+    scored = (
         "sz AS (SELECT subset, k, lab, SUM(wt) AS n FROM asg GROUP BY subset, k, lab), "
         "sm AS (SELECT a.subset, a.k, a.vec, a.wt, a.lab AS la, b.lab AS lb, SUM(b.wt * list_distance(a.vec, b.vec)) AS s "
         "FROM asg a JOIN asg b ON a.subset = b.subset AND a.k = b.k GROUP BY a.subset, a.k, a.vec, a.wt, a.lab, b.lab), "
@@ -389,8 +473,9 @@ def _oracles() -> dict[str, str]:
         "st AS (SELECT subset, min(silhouette) AS smin, max(silhouette) AS smax FROM j GROUP BY subset), "
         f"sc AS (SELECT j.*, {C.SILHOUETTE_WEIGHT} * CASE WHEN smax <> smin THEN (silhouette - smin) / (smax - smin) "
         f"ELSE 1.0 END + {C.SIZE_WEIGHT} * size_score - penalty AS score FROM j JOIN st USING (subset)), "
-        "bestk AS (SELECT subset, arg_min(k, struct_pack(s := -score, k := k)) AS best_k FROM sc GROUP BY subset) "
-        f"SELECT subset, k, round(silhouette, {ROUND}) AS silhouette, round(score, {ROUND}) AS score, "
+        "bestk AS (SELECT subset, arg_min(k, struct_pack(s := -score, k := k)) AS best_k FROM sc GROUP BY subset)")
+    selk += (
+        f"{scored} SELECT subset, k, round(silhouette, {ROUND}) AS silhouette, round(score, {ROUND}) AS score, "
         "k = best_k AS selected FROM sc JOIN bestk USING (subset)")
     step = (
         f"{items}, x AS (SELECT game_id, cluster, {vec} AS vec FROM it), "
@@ -406,6 +491,9 @@ def _oracles() -> dict[str, str]:
     emb = ("e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS vec FROM embeddings), "
            "ed AS (SELECT label, i, AVG(vec[i]) AS m FROM e, range(1, len(vec) + 1) t(i) GROUP BY label, i), "
            "ec AS (SELECT label, list(m ORDER BY i) AS c FROM ed GROUP BY label)")
+    roundtrip = (f"{items}, m AS (SELECT DISTINCT cluster, game_name FROM it) "
+                 "SELECT cluster AS cluster_id, game_name AS item_key, 'cluster_' || cluster AS constraint, "
+                 "COUNT(*) OVER (PARTITION BY cluster) AS count FROM m")
     cos = lambda a, b: (f"(CASE WHEN list_dot_product({a}, {a}) = 0 OR list_dot_product({b}, {b}) = 0 THEN 0.0 "
                         f"ELSE list_dot_product({a}, {b}) / (sqrt(list_dot_product({a}, {a})) * "
                         f"sqrt(list_dot_product({b}, {b}))) END)")
@@ -448,14 +536,14 @@ def _oracles() -> dict[str, str]:
                         f"round(penalty, {ROUND}) AS penalty FROM kc",
         "select_k": selk,
         "kmeans_step": step,
-        "model_roundtrip": f"{items}, m AS (SELECT DISTINCT cluster, game_name FROM it) "
-                           "SELECT cluster AS cluster_id, game_name AS item_key, 'cluster_' || cluster AS constraint, "
-                           "COUNT(*) OVER (PARTITION BY cluster) AS count FROM m",
+        "model_reuse": roundtrip,
+        "model_roundtrip": roundtrip,
         "nearest_centroid": (
             f"WITH {emb} SELECT e.vec_id, arg_min(ec.label, struct_pack(d := list_distance(e.vec, ec.c), l := ec.label)) "
             f"AS nearest, round(min(list_distance(e.vec, ec.c)), {ROUND}) AS distance FROM e, ec GROUP BY e.vec_id"),
         "kmeans_fit": _kmeans_fit_sql(emb),
         "kmeans_seeding": _kmeans_seeding_sql(),
+        "constrained_clusters": _constrained_sql(subsets, kc, scored, vec, len(feats)),
         "pca_projection": _pca_sql(items, vec),
         "cosine_similarity": (
             f"WITH {emb} SELECT e.vec_id, round(COALESCE(list_dot_product(e.vec, ec.c) / NULLIF(sqrt(list_dot_product("
