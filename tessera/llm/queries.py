@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontaminate, html_text, langid, maxent_lm, merkle, packing, pieces, pii, quality, sharding, simhash, toxicity, whitening
+from tessera.llm import decontaminate, html_text, langid, maxent_lm, merkle, oracles, packing, pieces, pii, quality, sharding, simhash, toxicity, whitening
 from tessera.sources.tables import read_table
 
 
@@ -76,4 +76,4 @@ QUERIES = {
     "op12_packing": op12_packing,
     "op13_whitening": op13_whitening,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = dict(oracles.ORACLES)

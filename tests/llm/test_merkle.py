@@ -109,3 +109,18 @@ def test_manifest_of_other_rows(spark):
 def test_empty(spark):
     out = m.merkle_manifest(spark.createDataFrame([], SCHEMA))
     assert out.columns == ["doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"] and out.count() == 0
+
+
+def test_sql_on_odd_rows(spark):
+    """The registered SQL gives the same rows as the operator and the recursion."""
+    import duckdb
+
+    from tessera.llm.oracles import crc32_sql, merkle_sql
+
+    rows = [(i, "Txt É" * (i % 4), "en", "hot", i) for i in range(280)] + [(None, "A", None, None, None), (7, None, "de", "é", None), (-12, "Z", "de", "z", 5)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, lang VARCHAR, source VARCHAR, n_chars BIGINT)")
+    con.executemany("INSERT INTO documents VALUES (?, ?, ?, ?, ?)", rows)
+    assert sorted(con.execute(merkle_sql()).fetchall(), key=key) == sorted(brute(rows), key=key)
+    for text in ("", "0", "-12", "1234567890"):
+        assert con.execute(f"SELECT {crc32_sql('?::VARCHAR')}".replace("?", f"'{text}'")).fetchone()[0] == zlib.crc32(text.encode())
