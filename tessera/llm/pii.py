@@ -4,15 +4,17 @@
 numbers, IPv4 addresses, access keys, assigned secrets, long hex keys and titled personal names.
 
 * **Surrogates** are drawn from a keyed hash of (kind, normal form, attempt): without the key they
-  cannot be recomputed. They keep the kind and format: digits stay digits, letters stay in their
-  script (Latin, Cyrillic, Greek) and case, separators stay; cards keep their first digit and a
-  valid Luhn digit, IBANs their country and valid check digits, phones ``+`` and the first digit,
-  e-mail addresses their top-level domain, access keys their prefix. Given names follow the
-  gender of the title.
+  cannot be recomputed. The key is an argument or the setting ``spark.tessera.pii.key``; without
+  either it is random for each Spark application. Surrogates keep the kind and format: digits
+  stay digits, letters stay in their script (Latin, Cyrillic, Greek) and case, separators stay;
+  cards keep their first digit and a valid Luhn digit, IBANs their country and valid check
+  digits, phones ``+`` and their country code, e-mail addresses their top-level domain, access
+  keys their prefix. Given names follow the gender of the title.
 * **Coreference**: one (kind, normal form) has one surrogate in the whole corpus, however it
-  is written (``+1 (017) 555-7713`` and ``+1-017-555-7713``); a person's names are mapped word by
-  word, so that "Mrs. Ana Smith", "Mrs. Smith" and a later bare "Smith" in the same text agree;
-  addresses of one mail domain share a surrogate domain.
+  is written (``+1 (017) 555-7713``, ``+1-017-555-7713`` and ``(017) 555-7713``); a person's names are
+  mapped word by word, so that "Mrs. Ana Smith", "Mrs. Smith" and a later bare "Smith" in the
+  same text agree; addresses of one mail domain share a surrogate domain, which is drawn and
+  checked like any other entity.
 * **Collision checks**: over the table of distinct entities, a draw that another entity also has,
   that was given out before, or that is itself a real value of the corpus is drawn again with the
   next attempt. Different entities keep different surrogates.
@@ -22,12 +24,15 @@ are one; their entities are joined with the surrogate table, rendered match by m
 back between the untouched pieces. A frequent entity makes a hot join key, which AQE splits.
 
 Defined cases: null text stays null with no entities; other columns pass unchanged; repeated rows
-get equal texts; bare names are replaced only in texts that also have them behind a title.
+get equal texts; bare names are replaced only in texts that also have them behind a title; texts
+of any length are read whole; an empty table gives no rows; columns may have any names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import secrets
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tessera.llm.common import free_name, let, quote, stage
 
@@ -77,11 +82,19 @@ NAME_SCRIPTS = {
     "greek": (r"\p{IsGreek}", "βγδκλμνπρστ", "αεηοι", {"m": "ος", "f": "α", "n": "ης"}),
     "latin": (".", "bcdfgklmnprstv", "aeiou", {"m": "n", "f": "na", "n": "r"}),
 }
-KEY = "tessera"
+KEY_SETTING = "spark.tessera.pii.key"
+_RANDOM_KEYS: dict[str, str] = {}
 ROUNDS = 64
+#: FIXED VALUES: country codes of one and of two digits; all others have three.
+ONE_DIGIT, TWO_DIGITS = r"^\+[17]", r"^\+(?:20|27|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])"
 ENTITY = "struct<part:int,kind:string,norm:string,raw:string>"
 
 
+def session_key(spark: SparkSession) -> str:
+    """The key of the session's settings, or one that is random for the Spark application."""
+    return spark.conf.get(KEY_SETTING, None) or _RANDOM_KEYS.setdefault(spark.sparkContext.applicationId, secrets.token_hex(16))
+
+
 def _digits(raw: Column) -> Column:
     return F.regexp_replace(raw, "[^0-9]", "")
 
@@ -121,10 +134,21 @@ def _pattern(roles: Column, titled: Column) -> Column:
     return F.when(F.size(titled) > 0, bare).otherwise(F.lit(BASE))
 
 
+def _phone_norm(m: Column) -> Column:
+    """The ten digits of a number of country code 1, however written; others with ``+``."""
+    national = F.when(m.startswith("+") & (F.length(_digits(m)) == 11) & _digits(m).startswith("1"), F.substring(_digits(m), 2, 10))
+    return national.when(m.startswith("+"), F.concat(F.lit("+"), _digits(m))).otherwise(_digits(m))
+
+
+def _domain(mail: Column) -> Column:
+    """A mail address' domain without the last part."""
+    return F.regexp_extract(mail, r"@(.*)\.[^.]*$", 1)
+
+
 def _norm(kind: Column, m: Column) -> Column:
     return (
         F.when(kind.isin("card", "ssn"), _digits(m))
-        .when(kind == "phone", F.concat(F.when(m.startswith("+"), "+").otherwise(""), _digits(m)))
+        .when(kind == "phone", _phone_norm(m))
         .when(kind == "iban", F.replace(m, F.lit(" "), F.lit("")))
         .when(kind.isin("email", "hex_key"), F.lower(m))
         .when(kind == "secret", F.regexp_replace(m, f"^{SECRET_NAME}", ""))
@@ -228,18 +252,19 @@ def _name(norm: Column, seed: Column, kind: Column, attempt: Column) -> Column:
     return out
 
 
-def surrogate(kind: Column, norm: Column, attempt: Column, key: str = KEY) -> Column:
-    """The draw number ``attempt`` for an entity, in normal form."""
+def surrogate(kind: Column, norm: Column, attempt: Column, domain: Column, key: str) -> Column:
+    """The draw number ``attempt`` for an entity, in normal form; ``domain`` is the surrogate of a mail
+    address' domain."""
 
     def of(seed: Column) -> Column:
         longer = F.repeat(F.lit("0"), F.floor(attempt / 8).cast("int"))
-        domain = F.regexp_extract(norm, r"@(.*)\.[^.]*$", 1)
-        domain_seed = F.sha2(F.concat(F.lit(key + "|domain|"), domain), 256)
         local = F.regexp_extract(norm, "^([^@]*)@", 1)
-        email = F.concat(_substitute(F.concat(local, longer), seed), F.lit("@"), _substitute(domain, domain_seed), F.lit("."), F.substring_index(norm, ".", -1))
-        phone = let(F.length(F.regexp_extract(norm, r"^\+?[0-9]", 0)), lambda n: F.concat(F.substring(norm, F.lit(1), n), _substitute(F.concat(F.substring(norm, n + 1, F.length(norm)), longer), seed)))
+        email = F.concat(_substitute(F.concat(local, longer), seed), F.lit("@"), domain, F.lit("."), F.substring_index(norm, ".", -1))
+        code = F.when(norm.rlike(ONE_DIGIT), 2).when(norm.rlike(TWO_DIGITS), 3).otherwise(4)
+        phone = let(code, lambda n: F.concat(F.substring(norm, F.lit(1), n), _substitute(F.concat(F.substring(norm, n + 1, F.length(norm)), longer), seed)))
         return (
             F.when(kind == "email", email)
+            .when(kind == "domain", _substitute(F.concat(norm, longer), seed))
             .when(kind == "card", _card(F.concat(norm, longer), seed))
             .when(kind == "iban", _iban(norm, seed))
             .when(kind == "ip", _ip(seed))
@@ -270,6 +295,7 @@ def _render(kind: Column, raw: Column, norm: Column, value: Column) -> Column:
     cased = F.when(shouted, F.upper(value)).otherwise(value)
     return (
         F.when(kind.isNull(), raw)
+        .when((kind == "phone") & raw.startswith("+") & ~norm.startswith("+"), spaced(F.concat(F.lit("1"), value)))
         .when(kind.isin("card", "ssn", "phone", "iban"), spaced(value))
         .when(kind == "secret", F.concat(F.substring(raw, F.lit(1), F.length(raw) - F.length(norm)), value))
         .when(kind.isin("email", "hex_key"), cased)
@@ -278,26 +304,37 @@ def _render(kind: Column, raw: Column, norm: Column, value: Column) -> Column:
     )
 
 
-def surrogate_table(entities: DataFrame, key: str = KEY, rounds: int = ROUNDS) -> DataFrame:
+def surrogate_table(entities: DataFrame, key: str | None = None, rounds: int = ROUNDS) -> DataFrame:
     """(kind, norm, surrogate) for the distinct entities, no surrogate twice within a kind; written.
 
-    ``entities``: a written table of distinct (kind, norm).
-    """
+    ``entities``: a written table of distinct (kind, norm). The domains of mail addresses are entities
+    of their own and drawn first."""
+    key = key or session_key(entities.sparkSession)
+    domains = entities.filter(F.col("kind") == "email").select(F.lit("domain").alias("kind"), _domain(F.col("norm")).alias("norm")).distinct()
+    none = F.lit(None).cast("string").alias("domain")
+    of = _drawn(stage(domains.select("kind", "norm", none), "pii-domains"), key, rounds)
+    mail_domain = F.when(F.col("kind") == "email", _domain(F.col("norm")))
+    joined = entities.withColumn("of", mail_domain).join(of.select(F.col("norm").alias("of"), F.col("surrogate").alias("domain")), "of", "left")
+    return _drawn(stage(joined.select("kind", "norm", "domain"), "pii-distinct"), key, rounds)
+
+
+def _drawn(entities: DataFrame, key: str, rounds: int) -> DataFrame:
+    """Draws for all (kind, norm, domain) until no two agree and none is a real value; written."""
     given, pending, attempt = None, entities, 0
     reals = entities.select("kind", F.col("norm").alias("value")).withColumn("real", F.lit(True))
     while True:
-        draws = pending.withColumn("value", surrogate(F.col("kind"), F.col("norm"), F.lit(attempt), key))
+        draws = pending.withColumn("value", surrogate(F.col("kind"), F.col("norm"), F.lit(attempt), F.col("domain"), key))
         first = draws.groupBy("kind", "value").agg(F.min("norm").alias("winner"))
         taken = reals if given is None else reals.unionByName(given.select("kind", F.col("surrogate").alias("value")).withColumn("real", F.lit(False)))
         taken = taken.groupBy("kind", "value").agg(F.count("*").alias("holders"))
         told = stage(
             draws.join(first, ["kind", "value"]).join(taken, ["kind", "value"], "left")
-            .select("kind", "norm", F.col("value").alias("surrogate"), ((F.col("norm") == F.col("winner")) & F.col("holders").isNull()).alias("ok")),
+            .select("kind", "norm", "domain", F.col("value").alias("surrogate"), ((F.col("norm") == F.col("winner")) & F.col("holders").isNull()).alias("ok")),
             "pii-draws",
         )
         good = told.filter("ok").select("kind", "norm", "surrogate")
         given = good if given is None else given.unionByName(good)
-        pending = told.filter("not ok").select("kind", "norm")
+        pending = told.filter("not ok").select("kind", "norm", "domain")
         attempt += 1
         if pending.isEmpty():
             return stage(given, "pii-surrogates")
@@ -305,8 +342,9 @@ def surrogate_table(entities: DataFrame, key: str = KEY, rounds: int = ROUNDS) -
             raise RuntimeError(f"no free surrogate after {rounds} draws: the corpus fills a kind's format")
 
 
-def anonymise(docs: DataFrame, text: str = "text", key: str = KEY, count: str | None = None) -> DataFrame:
-    """``docs`` with the entities of ``text`` replaced; ``count`` names a column for their number."""
+def anonymise(docs: DataFrame, text: str = "text", key: str | None = None, count: str | None = None) -> DataFrame:
+    """``docs`` with the entities of ``text`` replaced; ``count`` names a column for their number (one of
+    that name gives way). Without ``key`` see :func:`session_key`."""
     columns = docs.columns
     names = {}
     for n in ("matches", "pattern", "parts", "text_key", "rendered"):

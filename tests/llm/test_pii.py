@@ -93,6 +93,37 @@ def test_collisions_are_redrawn(spark):
     assert sum(other[r.norm] == r.surrogate for r in table) < 10
 
 
+def test_short_domains_stay_apart(spark):
+    domains = [f"{c}.io" for c in "abcdefghijklmnopqrstuvwxyz"] + ["a.com", "a.b.io"]
+    got = run(spark, [f"who{i % 3}@{d}" for i, d in enumerate(domains)] + ["other@a.io"])
+    made = [got[i][0].split("@")[1] for i in range(len(domains))]
+    assert len(set(made)) == len(domains)
+    assert not {m.rsplit(".", 1)[0] for m in made} & {d.rsplit(".", 1)[0] for d in domains}
+    assert [m.rsplit(".", 1)[1] for m in made] == [d.rsplit(".", 1)[1] for d in domains]
+    assert got[len(domains)][0].split("@")[1] == made[0]
+
+
+def test_one_number_in_all_spellings(spark):
+    got = run(spark, ["(017) 555-7713", "+1 017 555 7713", "017-555-7713", "+10175557713", "+44 20 7946 0958", "+442079460958", "+7 495 123 45 67", "+358 40 123 4567"])
+    digits = [re.sub(r"\D", "", got[i][0]) for i in range(8)]
+    assert digits[0] == digits[2] != "0175557713" and digits[1] == digits[3] == "1" + digits[0]
+    assert digits[4] == digits[5] != "442079460958" and digits[4].startswith("44")
+    assert digits[6].startswith("7") and digits[7].startswith("358") and got[1][0].startswith("+1 ")
+
+
+def test_keys(spark):
+    df = spark.createDataFrame([(1, "a.b@cdefgh.org 123-45-6789", "en", "m", 1)], SCHEMA)
+    text = lambda key: pii.anonymise(df, key=key).first().text
+    assert text("one") == text("one") != text("two")
+    own = pii.session_key(spark)
+    assert len(own) == 32 and text(None) == text(own)
+    spark.conf.set(pii.KEY_SETTING, "two")
+    try:
+        assert text(None) == text("two")
+    finally:
+        spark.conf.unset(pii.KEY_SETTING)
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert pii.anonymise(df).count() == 0
