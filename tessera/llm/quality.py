@@ -3,19 +3,21 @@
 Every document gets five counts from its whole text (``text_statistics``), a plain rule on two
 of them (``base_failed``), and a vector of transformed statistics. For each (lang, source) the
 MCD mean and covariance are estimated by concentration steps: keep the ``support`` share of
-rows with the smallest Mahalanobis distance, estimate again, repeat; then one reweighting step.
+rows with the smallest Mahalanobis distance, estimate again, until no group's determinant falls any
+further; then one reweighting step.
 Rows beyond ``cutoff`` squared distance are rejected.
 
 Only DataFrame functions. A group is never gathered: each step is a partial aggregate (moments)
-or a histogram of distances with logarithmic buckets, whose cumulated counts give the support
-threshold. Group parameters are a small written table, joined to the rows (Spark broadcasts it
+or a histogram of distances with logarithmic buckets, written as finished counts, which are then
+cumulated to give the support threshold. Group parameters are a small written table, joined to the rows (Spark broadcasts it
 if its files are small; otherwise the join is a shuffle that AQE can split on a hot group).
 
 Groups with fewer than ``min_rows`` rows are pooled per language, and if still too few, over all
 languages; a pool that is too small even then rejects nothing.
 
 Defined cases: null text counts as empty (no words: ``base_failed``); null lang or source is a
-group of its own; repeated rows are judged alike; an empty table gives an empty result.
+group of its own; repeated rows are judged alike; texts of any length are read whole; an empty table
+gives an empty result; ``quality_filter`` returns the input's columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -40,6 +42,8 @@ CONSISTENCY = 1.41
 REWEIGHT = 12.83
 CUTOFF = 30.86
 SUPPORT = 0.75
+#: Fall of a log determinant (of the Cholesky factor) that counts as a step forward.
+SETTLED = 1e-4
 BUCKETS_PER_OCTAVE = 16
 
 
@@ -166,7 +170,7 @@ def _share_limit(hist: DataFrame, keys: list[str], share: float) -> DataFrame:
 def _start(rows: DataFrame) -> DataFrame:
     """Deterministic first subset: coordinate-wise medians and interquartile ranges, from histograms."""
     long = rows.select("grp", F.posexplode(F.array(*[F.floor(F.col(d) * 64) for d in DIMS])).alias("dim", "b"))
-    hist = long.groupBy("grp", "dim", "b").agg(F.count("*").alias("c"))
+    hist = stage(long.groupBy("grp", "dim", "b").agg(F.count("*").alias("c")), "mcd-start")
     w = Window.partitionBy("grp", "dim")
     cum = hist.withColumn("cum", F.sum("c").over(w.orderBy("b").rowsBetween(Window.unboundedPreceding, 0))).withColumn("tot", F.sum("c").over(w))
     q = cum.groupBy("grp", "dim").agg(*[F.min(F.when(F.col("cum") >= F.col("tot") * s, F.col("b"))).alias(f"q{int(s * 100)}") for s in (0.25, 0.5, 0.75)])
@@ -179,9 +183,16 @@ def _start(rows: DataFrame) -> DataFrame:
     return q.groupBy("grp").agg(*[c for c in cells])
 
 
-def mcd_model(stats: DataFrame, support: float = SUPPORT, steps: int = 2, min_rows: int = 100) -> tuple[DataFrame, DataFrame]:
+def _log_determinant() -> Column:
+    return sum((F.log(F.col(f"l{i}{i}")) for i in range(1, P)), F.log(F.col("l00")))
+
+
+def mcd_model(stats: DataFrame, support: float = SUPPORT, min_rows: int = 100) -> tuple[DataFrame, DataFrame]:
     """(groups, model) of the MCD estimates over the rows that pass the plain rule.
 
+    Concentration steps go on while some group's determinant falls by more than ``SETTLED``; a group
+    keeps the estimate of its smallest determinant.
+
     ``stats``: lang, source, the base counts and ``base_failed``. Both results are small written
     tables: one row per (lang, source) and one per group.
     """
@@ -190,10 +201,24 @@ def mcd_model(stats: DataFrame, support: float = SUPPORT, steps: int = 2, min_ro
     keyed = _with_group(rows, groups).select("grp", *[c.alias(k) for k, c in _vector().items()])
     keyed = stage(keyed, "mcd-rows")
     model = stage(_start(keyed), "mcd-model")
-    for _ in range(steps):
+    best = None
+    while True:
         near = _distance(keyed, model).withColumn("b", _bucket(F.col("d2")))
-        limit = stage(_share_limit(near.groupBy("grp", "b").agg(F.count("*").alias("c")), ["grp"], support), "mcd-limit")
-        model = stage(_moments(near.join(limit, "grp").filter(F.col("b") <= F.col("limit")), CONSISTENCY, min_rows), "mcd-model")
+        hist = stage(near.groupBy("grp", "b").agg(F.count("*").alias("c")), "mcd-histogram")
+        limit = stage(_share_limit(hist, ["grp"], support), "mcd-limit")
+        model = stage(_moments(near.join(limit, "grp").filter(F.col("b") <= F.col("limit")), CONSISTENCY, min_rows).withColumn("size", _log_determinant()), "mcd-model")
+        if best is None:
+            best = model
+            continue
+        old = best.select("grp", F.struct(*best.columns).alias("old"))
+        both = model.select("grp", F.struct(*model.columns).alias("new")).join(old, "grp", "full")
+        falls = F.col("new.size") < F.coalesce(F.col("old.size"), F.lit(float("inf"))) - SETTLED
+        both = stage(both.select(F.coalesce(falls, F.lit(False)).alias("falls"), "old", "new"), "mcd-steps")
+        if not both.agg(F.max("falls")).first()[0]:
+            break
+        best = both.select(F.when(F.col("falls") | F.col("old").isNull(), F.col("new")).otherwise(F.col("old")).alias("v")).select("v.*")
+        model = best = stage(best, "mcd-model")
+    model = best.drop("size")
     final = _distance(keyed, model).filter(F.col("d2") <= REWEIGHT)
     return groups, stage(_moments(final, 1.0, min_rows), "mcd-model")
 

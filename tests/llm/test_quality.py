@@ -53,9 +53,13 @@ def numpy_model(x):
         return np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)
 
     m, c = np.median(x, 0), np.diag(np.maximum(np.subtract(*np.percentile(x, [75, 25], axis=0)) / 1.35, floor) ** 2)
-    for _ in range(2):
+    size = np.inf
+    while True:  # until the determinant rests
         d = far(m, c)
         m, c = estimate(x[d <= np.quantile(d, q.SUPPORT)], q.CONSISTENCY)
+        if np.linalg.slogdet(c)[1] / 2 >= size - q.SETTLED:
+            break
+        size = np.linalg.slogdet(c)[1] / 2
     m, c = estimate(x[far(m, c) <= q.REWEIGHT], 1.0)
     return far(m, c)
 
