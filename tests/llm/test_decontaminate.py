@@ -1,10 +1,10 @@
 """Containment search against plain Python sets."""
 
 import random
-import re
 from collections import Counter
 
 import pytest
+import regex
 
 from tessera.llm import decontaminate as d
 
@@ -12,21 +12,29 @@ DOCS = "doc_id long, text string, lang string, source string, text_key string, i
 ITEMS = "item_id long, text string, text_key int"
 
 
-def brute_set(text):
-    words = [w for w in re.split(r"[\W_]+", (text or "").lower()) if w]
-    if not words:
-        return set()
-    return {tuple(words[i:i + 5]) for i in range(max(1, len(words) - 4))}
+UNSPACED = r"\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}"
+
+
+def words(text):
+    return regex.findall(rf"[{UNSPACED}]|(?:(?![{UNSPACED}])[\p{{L}}\p{{M}}\p{{N}}])+", (text or "").lower())
+
+
+def windows(ws, n):
+    return {tuple(ws[i:i + n]) for i in range(len(ws) - n + 1)}
 
 
 def brute(docs, items):
+    """An item of under five words is one window of its own length."""
     out = Counter()
     for doc_id, text in docs:
-        mine = brute_set(text)
+        mine = words(text)
         for item_id, item in items:
-            q = brute_set(item)
-            if q and 5 * len(mine & q) >= 4 * len(q):
-                out[doc_id, item_id, len(mine & q), len(q)] += 1
+            ws = words(item)
+            n = min(5, len(ws))
+            q = windows(ws, n) if ws else set()
+            shared = windows(mine, n) & q if ws else set()
+            if q and 5 * len(shared) >= 4 * len(q):
+                out[doc_id, item_id, len(shared), len(q)] += 1
     return out
 
 
@@ -64,6 +72,20 @@ def test_against_brute_force(spark, inline):
     assert Counter((r.doc_id, r.text) for r in clean.collect()) == Counter(x for x in docs if x[0] not in dirty)
 
 
+def test_short_items_in_long_texts(spark):
+    rnd = random.Random(6)
+    filler = lambda n: " ".join(rnd.choice("lorem ipsum dolor sit amet".split()) + str(rnd.randrange(99)) for _ in range(n))
+    items = [(1, "The answer to life"), (2, "Quick: brown!"), (3, "zebra"), (4, "one two three"), (5, "北京大学图书馆在哪里"), (6, "สวัสดี"), (7, "ここ"), (8, "a longer item of seven plain words")]
+    docs = [(k, f"{filler(300)} {item.upper()}. {filler(300)}") for k, item in items] + [(20, "我想知道北京大学图书馆在哪里啊,谢谢"), (21, filler(400)), (22, "answer to life"), (23, "the-answer to\nlife"), (24, "こ こ")]
+    ddf = spark.createDataFrame([(i, t, "en", None, "k", 1) for i, t in docs], DOCS)
+    idf = spark.createDataFrame([(i, t, 1) for i, t in items], ITEMS)
+    for inline in (d.INLINE, 0):
+        got = Counter((r.doc_id, r.item_id, r.n_shared, r.n_shingles) for r in d.contaminated(ddf, idf, inline=inline).collect())
+        assert got == brute(docs, items)
+    assert {(i, i) for i, _ in items} | {(20, 5), (23, 1), (24, 7)} == {k[:2] for k in got}
+    assert {r.doc_id for r in d.decontaminate(ddf, idf).collect()} == {21, 22}
+
+
 def test_empty_tables(spark):
     docs, items = corpus()
     ddf = spark.createDataFrame([(i, t, "en", None, "k", 1) for i, t in docs], DOCS)
