@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tessera.session import shared_path
+from tessera.session import hadoop_fs, shared_path
 
 #: ASCII white space: the separators of ``[^\x20\x09-\x0D]+`` words.
 BLANKS = " \t\n\x0b\f\r"
@@ -16,6 +17,27 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER_ASCII = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
+#: Lists that note the tables written while they are open (see ``noted``).
+_NOTED: list[list[str]] = []
+
+
+@contextmanager
+def noted(paths: list[str]) -> Iterator[None]:
+    """Note in ``paths`` where ``stage`` writes meanwhile, so that the caller can remove the tables."""
+    _NOTED.append(paths)
+    try:
+        yield
+    finally:
+        _NOTED.remove(paths)
+
+
+def remove(spark: SparkSession, paths: Iterable[str]) -> None:
+    """Delete written tables."""
+    for path in paths:
+        fs, at = hadoop_fs(spark, path)
+        fs.delete(at, True)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the cluster's shared folder and read it back.
 
@@ -24,6 +46,8 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = shared_path(spark, name)
+    for paths in _NOTED:
+        paths.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -64,3 +64,17 @@ def test_stages_on_odd_rows(spark, tmp_path):
     spark.createDataFrame([], schema).write.parquet(empty + "/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(empty + "/benchmark.parquet")
     assert cp.run(spark, empty).count() == 0
+
+
+def test_tables_of_earlier_stages_go(spark, tmp_path):
+    """A stage removes what the stage before it wrote, but not what its own documents still read."""
+    docs = read_table(spark, SF, "documents")
+    first = cp.quality_rules(spark, docs, SF)
+    left = cp._LEFT[spark.sparkContext.applicationId]
+    mine = list(left)
+    assert mine
+    lazy = cp.private_data(spark, first, SF)  # reads the first stage's tables
+    assert lazy.count() == first.count() > 0
+    first.write.parquet(str(tmp_path / "first"))
+    again = cp.private_data(spark, spark.read.parquet(str(tmp_path / "first")), SF)
+    assert not set(mine) & set(left) and again.count() > 0
