@@ -7,25 +7,29 @@
 2. **Vote**: in Spark, each page votes for its best container's path; per host the path with the
    largest total wins (partial aggregates, so a host with a third of all pages is no hot task).
 3. **Re-extract**: every page is read again with its host's winning path. A page on which that
-   path holds no text uses its own best container.
+   path holds no text, or next to nothing beside a long text, uses its own best container.
 
 Boilerplate is left out wherever it stands: navigation, page headers and footers, sidebars,
 notices, adverts, forms, scripts, styles and reader comments, told by tag, role, class or id.
 A name that is such a word tells it for certain. A name that only contains one (``has-sidebar``), or
-that stands beside a promising one, raises a doubt: its elements are left out unless on this page
-they hold the main element, a promising container of some weight, or most of the prose.
+that stands beside a promising one, or that also names wrappers (``share``, ``modal``), raises a
+doubt, and so does a form: such elements are left out unless on this page they hold the main
+element, a promising container of some weight, or most of the prose.
 
 In a block, character references are decoded, white space (with ``<br>``) becomes one blank, ends
 are trimmed; blocks are joined in page order by two line feeds.
 
 Defined cases: null and empty html give the empty text; unclosed and stray tags are tolerated; a
-page without any container gives what its body holds outside boilerplate; equal pages agree.
+page without any container gives what its body holds outside boilerplate; equal pages agree; pages
+of any length are read whole, in linear time; an empty table gives no rows; of the other columns
+none is read, whatever its name.
 """
 
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
+from collections.abc import Iterator
 from html import unescape
 
 import pandas as pd
@@ -36,12 +40,14 @@ from tessera.llm.common import stage
 #: HTML element names by role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SKIP = frozenset(
-    "nav footer aside form script style noscript template iframe svg button select textarea label menu dialog object canvas "
-    "head title video audio map fieldset".split()
+    "nav footer aside script style noscript template iframe svg button select textarea label menu dialog object canvas "
+    "head title video audio map".split()
 )
+#: Elements that are boilerplate unless they wrap the main text: they raise a doubt.
+DOUBTFUL = frozenset("form fieldset".split())
 BLOCK = frozenset(
     "address article blockquote body center dd details div dl dt figcaption figure h1 h2 h3 h4 h5 h6 header hgroup hr html li main ol p "
-    "pre section summary table tbody td tfoot th thead tr ul caption".split()
+    "form fieldset pre section summary table tbody td tfoot th thead tr ul caption".split()
 )
 RAW = frozenset("script style textarea title noscript iframe template".split())
 CONTAINERS = frozenset("article body center dd details div main section td blockquote".split())
@@ -55,18 +61,25 @@ NEGATIVE = frozenset(
     "topbar widget widgets".split()
 )
 #: Negative words that also name wrappers of the main text; alone, they raise a doubt only.
-WRAPPING = frozenset("widget widgets".split())
+WRAPPING = frozenset(
+    "banner feedback form modal notice notices overlay popup promo promoted recommended related respond search share sharing signup skip "
+    "social subscribe tags widget widgets".split()
+)
 #: Words that mark the main text.
 POSITIVE = frozenset("article articlebody body content entry entrytext main maincontent post postbody story text prose".split())
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][A-Za-z0-9:_-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-LOOSE_TAG = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9:_-]*)([^>]*)>")
+OPENING = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9:_-]*)")
+STOP = re.compile(r"[>\"']")
 ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 NAME_PARTS = re.compile(r"[A-Za-z]+")
 DIGITS = re.compile(r"[0-9]+")
 #: Elements that an opening tag closes if one is the innermost open block.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SHORT = 25
+#: Containers in a chain: text deeper down belongs to the last of them (browsers nest as deep).
+DEEPEST = 512
+#: A page's own best container overrules the host's path if it has so much prose and the path so small a share.
+OWN_PROSE, PATH_SHARE = 500, 0.1
 #: Shares of a page's prose: a promising container of some weight, and most of it.
 WEIGHTY = 0.2
 MOST = 0.5
@@ -115,6 +128,65 @@ def _label(tag: str, attributes: str) -> tuple[str, bool, bool, tuple[str, ...]]
     return ".".join([tag, *names]), bad or exact and not good, good, tuple(doubts)
 
 
+def tags(html: str) -> Iterator[tuple[int, int, bool, str, str]]:
+    """(start, end, closing, name, attributes) of the tags in order; comments and declarations have no name.
+
+    A quote counts only behind ``=``; one that is never closed does not hide the tag's end. What was
+    once searched for in vain is not searched for again, so any markup is read in linear time."""
+    missing: set[str] = set()
+
+    def find(what: str, start: int) -> int:
+        if what in missing:
+            return -1
+        i = html.find(what, start)
+        if i < 0:
+            missing.add(what)
+        return i
+
+    at = 0
+    while (start := find("<", at)) >= 0:
+        follow = html[start + 1 : start + 2]
+        if follow and follow in "!?":
+            if html.startswith("<!--", start):
+                end = find("-->", start + 4)
+                at = end + 3 if end >= 0 else len(html)
+            else:
+                end = find(">", start)
+                at = end + 1 if end >= 0 else start + 1
+                if end < 0:
+                    continue
+            yield start, at, False, "", ""
+            continue
+        m = OPENING.match(html, start)
+        if m is None:
+            at = start + 1
+            continue
+        if find(">", m.end()) < 0:
+            return
+        k = m.end()
+        while True:
+            stop = STOP.search(html, k)
+            if stop is None:
+                end = find(">", m.end())
+                break
+            if stop[0] == ">":
+                end = stop.start()
+                break
+            behind = stop.start() - 1
+            while behind > m.end() and html[behind].isspace():
+                behind -= 1
+            if html[behind] != "=":
+                k = stop.end()
+                continue
+            closed = find(stop[0], stop.end())
+            if closed < 0:  # a quote that is never closed
+                end = find(">", m.end())
+                break
+            k = closed + 1
+        at = end + 1
+        yield start, at, bool(m[1]), m[2].lower(), html[m.end() : end]
+
+
 def blocks(html: str | None) -> list[Block]:
     """The text blocks of a page outside boilerplate, in order.
 
@@ -123,6 +195,7 @@ def blocks(html: str | None) -> list[Block]:
     html = html or ""
     out: list[Block] = []
     stack: list[tuple[str, bool, tuple, str, tuple, int, int]] = []  # (tag, boilerplate, chain, path, doubts, promise, main)
+    opened: Counter[str] = Counter()
     text: list[str] = []
     links = 0
     number = 0
@@ -143,6 +216,7 @@ def blocks(html: str | None) -> list[Block]:
     def pop() -> None:
         nonlocal skipping, in_link, within
         tag, bad, chain, *_ = stack.pop()
+        opened[tag] -= 1
         skipping -= bad
         in_link -= tag == "a"
         if tag in CONTAINERS and chain and chain[-1][2] and chain[-1][3] == len(stack):
@@ -156,18 +230,15 @@ def blocks(html: str | None) -> list[Block]:
                 links += len(piece)
 
     at, n = 0, len(html)
-    while at < n:
-        m = TAG.search(html, at)
-        if m is None:
-            add(html[at:])
-            break
-        add(html[at:m.start()])
-        at = m.end()
-        if m[2] is None:
+    for start, end, closing, tag, attributes in tags(html):
+        if start < at:  # inside a script or the like
+            continue
+        add(html[at:start])
+        at = end
+        if not tag:
             continue
-        tag = m[2].lower()
-        if m[1]:
-            if any(s[0] == tag for s in stack):
+        if closing:
+            if opened[tag]:
                 if tag in BLOCK or tag in SKIP:
                     flush()
                 while stack[-1][0] != tag:
@@ -182,7 +253,7 @@ def blocks(html: str | None) -> list[Block]:
         block = tag in BLOCK
         if block or tag in SKIP:
             flush()
-        if tag in CLOSES:
+        if tag in CLOSES and any(opened[x] for x in CLOSES[tag]):
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] in CLOSES[tag]:
                     while len(stack) > k:
@@ -190,7 +261,7 @@ def blocks(html: str | None) -> list[Block]:
                     break
                 if stack[k][0] in ("ul", "ol", "dl", "table") or stack[k][0] in CONTAINERS - {"td", "dd"}:
                     break
-        elif block:  # a block ends an open paragraph and what is open inside it
+        elif block and (opened["p"] or tag in HEADINGS and any(opened[x] for x in HEADINGS)):  # a block ends an open paragraph and what is open inside it
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == "p" or stack[k][0] in HEADINGS and tag in HEADINGS:
                     while len(stack) > k:
@@ -198,11 +269,11 @@ def blocks(html: str | None) -> list[Block]:
                     break
                 if stack[k][0] in BLOCK:
                     break
-        if tag in VOID or m[3].endswith("/"):
+        if tag in VOID or attributes.endswith("/"):
             if tag == "hr":
                 flush()
             continue
-        name, bad, good, doubtful = _label(tag, m[3])
+        name, bad, good, doubtful = _label(tag, attributes)
         if tag == "header" and not within:
             bad = True
         if tag in RAW:
@@ -210,20 +281,24 @@ def blocks(html: str | None) -> list[Block]:
             at = end.end() if end else n
             continue
         chain, path, doubts, promise, main = stack[-1][2:] if stack else (ROOT, "", (), -1, -1)
-        path = f"{path}/{name}" if path else name
-        if tag in CONTAINERS:
+        if tag in CONTAINERS and len(chain) < DEEPEST:
             number += 1
+            path = f"{path}/{name}" if path else name
             chain = (*chain, (number, path, good, len(stack)))
             within += good
-        if doubtful:
+        if tag in DOUBTFUL:
+            doubtful = (*doubtful, f"{name}@{len(stack)}")
+        if doubtful and len(doubts) < DEEPEST:
             doubts = (*doubts, (len(stack), doubtful))
         elif good and tag in CONTAINERS and tag not in ("html", "body"):
             promise = len(stack)
         if tag == "main":
             main = len(stack)
         stack.append((tag, bad, chain, path, doubts, promise, main))
+        opened[tag] += 1
         skipping += bad
         in_link += tag == "a"
+    add(html[at:])
     flush()
     return _settled(out)
 
@@ -294,8 +369,13 @@ def text_at(page: list[Block], path: str | None) -> str:
 def extract_page(html: str | None, path: str | None) -> str:
     """Main text by the host's path, or by the page's own best container."""
     page = blocks(html)
-    text = "" if path is None else text_at(page, path)
-    return text or text_at(page, best_path(page)[0])
+    own, _ = best_path(page)
+    if path is None or path == own:
+        return text_at(page, own)
+    prose = {p: sum(b.prose for b in page if any(c[1] == p for c in b.chain)) for p in (path, own)}
+    if prose[own] >= OWN_PROSE and prose[path] < PATH_SHARE * prose[own]:
+        return text_at(page, own)
+    return text_at(page, path) or text_at(page, own)
 
 
 def host(url: Column) -> Column:

@@ -39,6 +39,38 @@ def test_odd_input():
     assert len(h.extract_page(big, None).split("\n\n")) == 20_000
 
 
+def test_hostile_markup_is_read_in_linear_time():
+    import time
+
+    for text in ('<a <b "' * 14_000, "<a '" * 25_000, '<a href="x' * 10_000, "<!x" * 33_000, "<b>" * 33_000 + "</i>" * 25_000, "<div>" * 20_000 + "deep", "<!--" * 25_000,
+                 "<b>" * 20_000 + "<p>x" * 10_000, "<form>" * 16_000, "<" * 100_000, '<a b="' + "<p>" * 30_000, "<li>" * 25_000, "<ul><li>" * 12_000):
+        begun = time.process_time()
+        h.extract_page(text, None)
+        assert time.process_time() - begun < 2, text[:20]
+    assert h.extract_page('Hello <a title="x>world', None) == "Hello world"
+    assert h.extract_page("a <b c' d>e</b> f", None) == "a e f"
+    assert h.extract_page('<p title="a > b">c</p>', None) == "c"
+
+
+def test_forms_and_ambiguous_names():
+    body = "".join(f"<p>{PROSE % k}</p>" for k in range(8))
+    text = "\n\n".join(PROSE % k for k in range(8))
+    pages = [
+        f'<body><form id="aspnetForm"><div class="wrap">{body}</div><form class="searchform"><p>Search here</p></form></form></body>',
+        f'<body><div id="share"><div class="text">{body}</div></div><p>14 characters.</p></body>',
+        f'<body><div class="modal"><div class="inner">{body}</div></div></body>',
+        f'<body><div class="post">{body}</div><div id="share"><p>Share this.</p></div><form><p>Your mail, please.</p></form></body>',
+    ]
+    for page in pages:
+        assert h.extract_page(page, None) == text, page[:60]
+
+
+def test_a_teaser_does_not_bind_a_long_page():
+    story = "".join(f"<p>{PROSE % k}</p>" for k in range(20))
+    page = f'<html><body><div class="lead"><p>A short teaser of the story.</p></div><div class="story-body">{story}</div></body></html>'
+    assert h.extract_page(page, "html/body/div.lead") == "\n\n".join(PROSE % k for k in range(20))
+
+
 def test_votes_bind_small_pages(spark):
     rows = [(i, f"https://a.example/{i}", article(i)) for i in range(8)]
     # alone, the long notice beside the short text would win
