@@ -37,11 +37,13 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 #: Bytes that a worker's cached words and parts may take, and those of an entry besides its text and ids.
-CACHE_BYTES, ENTRY = 88 << 20, 230
+CACHE_BYTES, ENTRY = 64 << 20, 230
 #: Bytes of the parts that are encoded together and kept in the cache.
 LONG = 72
 #: Texts, and about how many of their bytes, that are encoded together.
-ROWS, ROW_BYTES = 1024, 3 << 20
+ROWS, ROW_BYTES = 1024, 1 << 20
+#: Parts whose steps run over one set of arrays.
+MANY = 8192
 CANDIDATE_CLOSERS = ",.;:!?*%$#&|)\"'"
 
 
@@ -207,7 +209,7 @@ class Unigram:
             buckets.setdefault(len(x) // 6, []).append(k)
         base, check, value = self.trie
         scores = self.score_array
-        for members in buckets.values():
+        for members in (b[at : at + MANY] for b in buckets.values() for at in range(0, len(b), MANY)):
             n = np.array([len(raw[k]) for k in members])
             width = int(n.max())
             if width > LONG:
