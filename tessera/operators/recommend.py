@@ -170,6 +170,18 @@ def exclusion_pairs(P: DataFrame, XC: DataFrame) -> DataFrame:
     return own.select(*cols, F.lit("own").alias("kind")).unionByName(var.select(*cols, F.lit("variant").alias("kind")))
 
 
+def distance_levels(U: DataFrame, G: DataFrame, few: bool, dims: int | None, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """(cl, u, d, n): rows of the vector groups ``G`` (cl, w, cnt) at each distance from each vector of
+    ``U`` (cl, u). ``few``: G is small and comes with a broadcast hint, so all pairs are compared;
+    otherwise 0/1 vectors of ``dims`` flags are counted without pairs (``dims`` None: numeric vectors)."""
+    if dims is not None and not few:
+        counts = level_counts(U, G, dims, ["cl"], broadcast_bytes=broadcast_bytes)
+        return counts.select("cl", "u", F.sqrt(F.col("h").cast("double")).alias("d"), "n")
+    dist = packed_distance if dims is not None else euclidean
+    pairs = (U.join(G, "cl") if few else salted_join(U, G, ["cl"], "u")).withColumn("d", dist(F.col("u"), F.col("w")))
+    return pairs.groupBy("cl", "u", "d").agg(F.sum("cnt").alias("n"))
+
+
 def recommendation_plan(items: DataFrame, members: DataFrame, inputs: DataFrame | None = None, *,
                         key: str = "game_name", order: str = "game_id", cluster_col: str = "cluster_id",
                         features: list[str] | None = None, binary: bool = True, k: int = C.TOP_K,
@@ -200,12 +212,7 @@ def recommendation_plan(items: DataFrame, members: DataFrame, inputs: DataFrame
     G = P.groupBy("cl", "w").agg(F.count(F.lit(1)).alias("cnt"))
     U = XU.select("cl", "u").distinct()
     G, few = size_checked_broadcast(G, broadcast_bytes)
-    if binary and not few:  # too many distinct vectors to compare them all
-        LV = (level_counts(U, G, len(feats), ["cl"], broadcast_bytes=broadcast_bytes)
-              .select("cl", "u", F.sqrt(F.col("h").cast("double")).alias("d"), "n"))
-    else:
-        UP = (U.join(G, "cl") if few else salted_join(U, G, ["cl"], "u")).withColumn("d", dist(F.col("u"), F.col("w")))
-        LV = UP.groupBy("cl", "u", "d").agg(F.sum("cnt").alias("n"))
+    LV = distance_levels(U, G, few, len(feats) if binary else None, broadcast_bytes)
 
     # exact per-input distance range over the remaining candidates
     EXL = (E.join(XU.select("input", "u"), "input").withColumn("d", dist(F.col("u"), F.col("w")))

@@ -16,7 +16,8 @@ from tessera.functions.vectors import pack_bits, pack_flags, packed_distance
 from tessera.operators import recommend as R
 from tessera.operators.constrained import split_by_constraints
 from tessera.operators.features import feature_columns
-from tessera.operators.hamming import farthest, indexed_within, level_counts, nearest
+from tessera.operators.hamming import farthest, indexed_within, nearest
+from tessera.operators.joins import size_checked_broadcast
 from tessera.plans import sqlgen as S
 from tessera.plans.prep_queries import prepared
 from tessera.session import cut_lineage
@@ -168,15 +169,15 @@ def cluster_labels(spark, sf):
 
 def pairwise_distance(spark, sf):
     """Per cluster: how many ordered row pairs lie at each distance — from the distinct vectors'
-    counts per distance, never from row or vector pairs."""
+    counts per distance (`distance_levels`), never from row pairs."""
     items, members = clustered(spark, sf)
     _, P, _ = R.build_pool(items, members)
     G = P.groupBy("cl", "w").agg(F.count(F.lit(1)).alias("cnt"))
-    G = cut_lineage(G)
-    levels = level_counts(G.select("cl", F.col("w").alias("u")), G, len(feature_columns(items)), ["cl"])
-    pairs = levels.join(G.select("cl", F.col("w").alias("u"), F.col("cnt").alias("cu")), ["cl", "u"])
-    return pairs.groupBy("cl", "h").agg(F.sum(F.col("cu") * F.col("n")).alias("n_pairs")) \
-        .select(F.col("cl").alias("cluster_id"), F.sqrt(F.col("h").cast("double")).alias("distance"), "n_pairs")
+    G, few = size_checked_broadcast(G)
+    mine = G.select("cl", F.col("w").alias("u"), F.col("cnt").alias("cu"))
+    levels = R.distance_levels(mine.select("cl", "u"), G, few, len(feature_columns(items)))
+    return levels.join(mine, ["cl", "u"]).groupBy("cl", "d").agg(F.sum(F.col("cu") * F.col("n")).alias("n_pairs")) \
+        .select(F.col("cl").alias("cluster_id"), F.col("d").alias("distance"), "n_pairs")
 
 
 SIGN_BITS, SIGN_RADIUS = 64, 20

@@ -15,7 +15,8 @@ SF = "/root/testdata/sf0.001"
 KEYS = ["quality_filter", "popularity_score", "prepare_features", "recommend_topk", "recommend_status",
         "minmax_normalize", "pairwise_distance", "cluster_labels", "variant_filter", "cluster_description",
         "silhouette", "k_candidates", "kmeans_step", "pca_projection", "nearest_centroid", "links_by_type", "poll_winner",
-        "rank_extract", "clean_text", "latest_snapshot", "feedback_events", "stream_feedback", "basket_bins", "xml_items_scan"]
+        "rank_extract", "clean_text", "unescape_references", "scan_stop", "kmeans_seeding", "feature_sets", "set_dictionary", "set_pairs",
+        "set_kmeans", "model_reuse", "latest_snapshot", "feedback_events", "stream_feedback", "basket_bins", "xml_items_scan"]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables not present")
 
