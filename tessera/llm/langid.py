@@ -46,7 +46,7 @@ BREAK, LETTER = r"[^\pL\pM]+", r"\pL"
 #: Entries of a task's counter, unseen words that a worker remembers, bytes of text looked at together.
 HELD = 150_000
 CACHE = 300_000
-BLOCK = 8 << 20
+BLOCK = 2 << 20
 UND = "und"
 
 
