@@ -37,13 +37,13 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 #: Bytes that a worker's cached words and parts may take, and those of an entry besides its text and ids.
-CACHE_BYTES, ENTRY = 64 << 20, 230
+CACHE_BYTES, ENTRY = 80 << 20, 230
 #: Bytes of the parts that are encoded together and kept in the cache.
 LONG = 72
 #: Texts, and about how many of their bytes, that are encoded together.
-ROWS, ROW_BYTES = 1024, 1 << 20
+ROWS, ROW_BYTES = 1024, 2 << 20
 #: Parts whose steps run over one set of arrays.
-MANY = 8192
+MANY = 32_768
 CANDIDATE_CLOSERS = ",.;:!?*%$#&|)\"'"
 
 
@@ -200,8 +200,8 @@ class Unigram:
         out.reverse()
         return out
 
-    def viterbi_many(self, parts: list[str]) -> list[list[int]]:
-        """``viterbi`` of many short parts: every step of the trie walk runs over all parts at once."""
+    def viterbi_many(self, parts: list[str]) -> list[bytes]:
+        """``viterbi`` of many short parts, as packed int32: every step of the trie walk runs over all parts at once."""
         out: list = [None] * len(parts)
         raw = [x.encode() for x in parts]
         buckets: dict[int, list[int]] = {}
@@ -214,7 +214,7 @@ class Unigram:
             width = int(n.max())
             if width > LONG:
                 for k in members:
-                    out[k] = self.viterbi(parts[k])
+                    out[k] = np.array(self.viterbi(parts[k]), np.int32).tobytes()
                 continue
             s = np.frombuffer(b"".join(raw[k].ljust(width, b"\0") for k in members), np.uint8).reshape(-1, width).astype(np.int64)
             best = np.full((len(members), width + 1), -np.inf)
@@ -256,21 +256,26 @@ class Unigram:
                     best[r, e] = score[better]
                     start[r, e] = i
                     piece[r, e] = -1
-            at, steps = n.copy(), []
+            at, found, spans = n.copy(), [], []
             every = np.arange(len(members))
             while at.any():
                 ids, before = piece[every, at], start[every, at]
-                steps.append(np.stack([np.where(at > 0, ids, -2), before, at]))
+                found.append(np.where(at > 0, ids, -2))
+                spans.append((before, at))
                 at = np.where(at > 0, before, 0)
-            path = np.stack(steps[::-1]).transpose(2, 0, 1).tolist()
-            for k, row in zip(members, path):
-                ids = []
-                for v, a, b in row:
+            path = np.stack(found[::-1], axis=1)  # a row for each part, -2 before its first piece
+            known = path >= 0
+            flat, ends = path[known].astype(np.int32).tobytes(), 4 * np.cumsum(known.sum(1))
+            for k, a, b in zip(members, [0, *ends[:-1].tolist()], ends.tolist()):
+                out[k] = flat[a:b]
+            for r in np.flatnonzero((path == -1).any(1)).tolist():  # with characters that become bytes
+                k, ids = members[r], []
+                for v, (before, end) in zip(path[r].tolist(), spans[::-1]):
                     if v >= 0:
                         ids.append(v)
                     elif v == -1:
-                        ids += [self.byte_ids[c] for c in raw[k][a:b]]
-                out[k] = ids
+                        ids += [self.byte_ids[c] for c in raw[k][before[r] : end[r]]]
+                out[k] = np.array(ids, np.int32).tobytes()
         return out
 
     def _cut(self, text: str) -> list:
@@ -295,7 +300,7 @@ class Unigram:
         need = {x for c in fresh.values() for x in c}
         need.update(*odd)
         need = list(need.difference(cache, ("", None)))
-        cache.update(zip(need, [np.array(x, np.int32).tobytes() for x in self.viterbi_many(need)]))
+        cache.update(zip(need, self.viterbi_many(need)))
         cache[None], cache[""] = np.array(self.mark_ids, np.int32).tobytes(), b""
         words.update((w, b"".join(map(cache.__getitem__, parts))) for w, parts in fresh.items())
         out = [
