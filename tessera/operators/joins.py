@@ -16,10 +16,12 @@ SALT_BUCKETS = 32
 
 def size_checked_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES, rows: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
     """The relation as a written table, with a broadcast hint only if its files have at most
-    ``limit`` bytes and it has at most ``rows`` rows (equal values shrink files, not memory)."""
+    ``limit`` bytes and it has at most ``rows`` rows (equal values shrink files, not memory).
+
+    Any other gets a merge hint: Spark too would go by the files' size and broadcast it on its own."""
     seen = Observation()
     df, size = materialise(df.observe(seen, F.count(F.lit(1)).alias("n")), "join-side")
-    return (F.broadcast(df), True) if size <= limit and seen.get["n"] <= rows else (df, False)
+    return (F.broadcast(df), True) if size <= limit and seen.get["n"] <= rows else (df.hint("merge"), False)
 
 
 def blocked_join(left: DataFrame, right: DataFrame, on: list[str], left_vec: str,
@@ -34,7 +36,10 @@ def blocked_join(left: DataFrame, right: DataFrame, on: list[str], left_vec: str
 
 
 def salted_join(left: DataFrame, right: DataFrame, on: list[str], left_vec: str, buckets: int = SALT_BUCKETS) -> DataFrame:
-    """Equi-join with the left rows of a key dealt over ``buckets`` tasks by the hash of a column."""
+    """Equi-join with the left rows of a key dealt over ``buckets`` tasks by the hash of a column.
+
+    The merge hint keeps Spark from broadcasting the right side: it takes the replicated rows for no
+    more than the table's files."""
     ls = left.withColumn("__salt", F.pmod(F.xxhash64(F.col(left_vec)), F.lit(buckets)))
     rs = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
-    return ls.join(rs, on + ["__salt"]).drop("__salt")
+    return ls.join(rs.hint("merge"), on + ["__salt"]).drop("__salt")

@@ -100,3 +100,16 @@ def test_large_vocabulary(spark):
     starts = encoded.orderBy("key").limit(3).select((F.col("key")).cast("int").alias("cid"), "idxs")
     labels, _ = FS.kmeans_sets(encoded, starts, size, 2, cells=0)
     assert labels.count() == 20_000
+
+
+def test_a_relation_too_large_to_broadcast_is_not_broadcast_by_spark_either(spark):
+    """Spark takes a table for as large as its files, and a replicated one for no more."""
+    from tessera.operators.joins import blocked_join, size_checked_broadcast
+
+    left = spark.range(50).select((F.col("id") % 5).alias("k"), F.col("id").alias("v"))
+    right = spark.range(5).select(F.col("id").alias("k"), (F.col("id") * 2).alias("w"))
+    met = blocked_join(left, right, ["k"], "v", limit=0)
+    assert "Broadcast" not in met._jdf.queryExecution().sparkPlan().toString()
+    assert sorted((r.k, r.v, r.w) for r in met.collect()) == sorted((v % 5, v, v % 5 * 2) for v in range(50))
+    large, few = size_checked_broadcast(right, rows=4)
+    assert not few and "Broadcast" not in left.join(large, "k")._jdf.queryExecution().sparkPlan().toString()
