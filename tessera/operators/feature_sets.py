@@ -24,6 +24,8 @@ from tessera.session import materialise
 
 #: Cells (features x clusters) of a centroid table that tasks may hold as one matrix.
 MATRIX_CELLS = 8_000_000
+#: Cells that reach the driver in one job when it fills that matrix.
+FETCH_CELLS = 1_000_000
 #: Decimals to which squared distances are compared, so that ties do not depend on the order of sums.
 TIE_DIGITS = 9
 
@@ -128,14 +130,14 @@ def _norms(centroids: DataFrame, k: int) -> list[float]:
 
 
 def assign_sets(sets: DataFrame, centroids: DataFrame, k: int, size: int, cells: int = MATRIX_CELLS,
-                broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+                broadcast_bytes: int = BROADCAST_BYTES, sent: list | None = None) -> DataFrame:
     """``sets`` (id, idxs...) with ``cid`` and ``d2`` of the nearest centroid (ties: the lowest).
 
     ``centroids``: cid, idx, value (non-zero cells). A table of at most ``cells`` cells goes to the
-    tasks as one matrix; a larger one is joined by feature."""
+    tasks as one matrix, noted in ``sent`` for the caller to destroy; a larger one is joined by feature."""
     norms = _norms(centroids, k)
     if size * k <= cells:
-        return _assign_by_matrix(sets, centroids, norms, size)
+        return _assign_by_matrix(sets, centroids, norms, size, [] if sent is None else sent)
     long = sets.select("id", F.explode("idxs").alias("idx"))
     met = blocked_join(long, centroids.select("idx", "cid", "value"), ["idx"], "id", broadcast_bytes)
     dots = met.groupBy("id", "cid").agg(F.sum("value").alias("dot")).groupBy("id").agg(
@@ -147,15 +149,17 @@ def assign_sets(sets: DataFrame, centroids: DataFrame, k: int, size: int, cells:
     return near.select(*[F.col(c) for c in sets.columns], F.col("near.cid").alias("cid"), F.col("near.d2").alias("d2"))
 
 
-def _assign_by_matrix(sets: DataFrame, centroids: DataFrame, norms: list[float], size: int) -> DataFrame:
-    cells = centroids.toArrow()  # at most size x k
-    matrix = np.zeros((size, len(norms)))
-    matrix[cells["idx"].to_numpy(), cells["cid"].to_numpy()] = cells["value"].to_numpy()
-    sent = sets.sparkSession.sparkContext.broadcast((matrix, np.array(norms)))
+def _assign_by_matrix(sets: DataFrame, centroids: DataFrame, norms: list[float], size: int, sent: list) -> DataFrame:
+    matrix, step = np.zeros((size, len(norms))), max(1, FETCH_CELLS // max(1, size))
+    for first in range(0, len(norms), step):  # at most size x step cells at once
+        cells = centroids.filter((F.col("cid") >= first) & (F.col("cid") < first + step)).toArrow()
+        matrix[cells["idx"].to_numpy(), cells["cid"].to_numpy()] = cells["value"].to_numpy()
+    table = sets.sparkSession.sparkContext.broadcast((matrix, np.array(norms)))
+    sent.append(table)
     at = sets.columns.index("idxs")
 
     def run(batches):
-        matrix, n2 = sent.value
+        matrix, n2 = table.value
         for batch in batches:
             lists = batch.column(at)
             n, flat = lists.value_lengths().to_numpy(zero_copy_only=False), lists.flatten().to_numpy(zero_copy_only=False)
@@ -183,7 +187,10 @@ def kmeans_sets(sets: DataFrame, starts: DataFrame, size: int, steps: int, toler
     k = starts.count()
     centroids, _ = materialise(starts.select("cid", F.explode("idxs").alias("idx"), F.lit(1.0).alias("value")), "set-centroids")
     for _ in range(steps):
-        near, _ = materialise(assign_sets(rows, centroids, k, size, cells, broadcast_bytes), "set-labels")
+        sent: list = []
+        near, _ = materialise(assign_sets(rows, centroids, k, size, cells, broadcast_bytes, sent), "set-labels")
+        for table in sent:
+            table.destroy()
         weights = {r["cid"]: r["n"] for r in near.groupBy("cid").agg(F.sum("wt").alias("n")).collect()}  # one row per cluster
         share = F.create_map(*[x for c, n in weights.items() for x in (F.lit(c), F.lit(float(n)))]) if weights else F.lit(None)
         moved = near.select("cid", "wt", F.explode("idxs").alias("idx")).groupBy("cid", "idx").agg(F.sum("wt").alias("n"))

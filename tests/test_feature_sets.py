@@ -113,3 +113,21 @@ def test_a_relation_too_large_to_broadcast_is_not_broadcast_by_spark_either(spar
     assert sorted((r.k, r.v, r.w) for r in met.collect()) == sorted((v % 5, v, v % 5 * 2) for v in range(50))
     large, few = size_checked_broadcast(right, rows=4)
     assert not few and "Broadcast" not in left.join(large, "k")._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_matrix_is_fetched_in_parts_and_destroyed(spark, monkeypatch):
+    from pyspark.core.broadcast import Broadcast
+
+    sizes, ended = [], []
+    monkeypatch.setattr(FS, "FETCH_CELLS", 6)
+    frame = type(spark.range(1))
+    fetch, destroy = frame.toArrow, Broadcast.destroy
+    monkeypatch.setattr(frame, "toArrow", lambda df: (sizes.append((t := fetch(df)).num_rows), t)[1])
+    monkeypatch.setattr(Broadcast, "destroy", lambda b, blocking=False: (ended.append(1), destroy(b, blocking))[1])
+    sets = spark.createDataFrame([(i, [i % 6, (i * i + 1) % 6]) for i in range(24)], "key long, idxs array<bigint>")
+    starts = sets.filter("key < 4").select(F.col("key").cast("int").alias("cid"), "idxs")
+    labels, _ = FS.kmeans_sets(sets, starts, 6, 2, tolerance=-1.0)
+    got = {r.key: (r.cid, r.d2) for r in labels.collect()}
+    assert max(sizes) <= 6 and len(ended) == 2
+    joined, _ = FS.kmeans_sets(sets, starts, 6, 2, tolerance=-1.0, cells=0)
+    assert got == {r.key: (r.cid, r.d2) for r in joined.collect()}
