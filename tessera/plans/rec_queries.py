@@ -190,8 +190,7 @@ def range_search(spark, sf):
         "vec_id", "label", pack_flags([F.get("embedding", F.lit(j)) > 0 for j in range(SIGN_BITS)]).alias("u")))
     table = e.groupBy("label", F.col("u").alias("w")).agg(F.count(F.lit(1)).alias("cnt"))
     queries = e.select("label", "u").distinct().withColumn("radius", F.lit(SIGN_RADIUS))
-    pairs = indexed_within(queries, table, SIGN_BITS, ["label"])
-    inside = pairs.join(table, ["label", "w"]).groupBy("label", "u").agg(F.sum("cnt").alias("n_within"))
+    inside = indexed_within(queries, table, SIGN_BITS, ["label"], count="cnt").withColumnRenamed("n", "n_within")
     near = nearest(queries, table, SIGN_BITS, ["label"], others=False).select("label", "u", F.col("h").alias("nearest"))
     far = farthest(queries, table, SIGN_BITS, ["label"]).select("label", "u", F.col("h").alias("farthest"))
     return (e.join(inside, ["label", "u"]).join(near, ["label", "u"], "left").join(far, ["label", "u"])

@@ -91,3 +91,26 @@ def test_state_stays_small(spark):
     df = spark.createDataFrame([("a", pack(r)) for r in rows], SCHEMA).withColumn("cnt", F.lit(1))
     got = H.level_counts(df, df.withColumnRenamed("u", "w"), 32, ["g"])
     assert got.agg(F.sum("n")).first()[0] == len(rows) ** 2 and got.count() < 20 * len(rows)
+
+
+@pytest.mark.parametrize("by,block", [(["g"], 7), ([], 16_384), (["g"], 16_384)])
+def test_wide_radius_compares_all_pairs_without_a_join(spark, monkeypatch, by, block):
+    """Wide radii go block by block: no candidate pairs in a join, same pairs, counts and nearest vectors as the index."""
+    monkeypatch.setattr(H, "BLOCK", block)
+    monkeypatch.setattr(H, "LIST_BLOCK", block)
+    monkeypatch.setattr(H, "TILE", (4, 9))
+    dims = 64
+    assert H.index_share(dims, 20) > 0.3 and H.index_share(dims, 7) < H.SCAN_SHARE < H.index_share(dims, 8)
+    _, _, lf, rf = tables(spark, coins, dims, 20, seed=5)
+    lf = lf.withColumn("radius", F.lit(30)).unionByName(spark.createDataFrame([(None, [1, 2], 64), ("a", None, 64)], "g string, u array<bigint>, radius int"))
+    rf = rf.unionByName(spark.createDataFrame([(None, [1, 2], 2), ("a", None, 2)], "g string, w array<bigint>, cnt int"))
+    rows = lambda df, *cols: sorted(map(repr, df.select(*by, *cols).collect()))
+    pairs = [H.indexed_within(lf, rf, dims, by, scan_share=s) for s in (0.0, 1e9)]
+    assert rows(pairs[0], "u", "w", "h") == rows(pairs[1], "u", "w", "h") != []
+    assert "MapInArrow" in (plan := pairs[0]._jdf.queryExecution().sparkPlan().toString()) or "CoGroupsInArrow" in plan
+    counts = [H.indexed_within(lf, rf, dims, by, count="cnt", scan_share=s) for s in (0.0, 1e9)]
+    assert rows(counts[0], "u", "n") == rows(counts[1], "u", "n") != []
+    for others in (True, False):
+        known = lf.filter("u IS NOT NULL")
+        near = [H.nearest(known, rf, dims, by, others=others, scan_share=s) for s in (0.0, 1e9)]
+        assert rows(near[0], "u", "h", "w") == rows(near[1], "u", "h", "w") != []
