@@ -24,6 +24,8 @@ from tessera import constants as C
 
 #: Bins that leave a task in one Arrow batch.
 BATCH = 4096
+#: Bytes of item vectors that a task should sort.
+TASK_BYTES = 64 << 20
 
 
 class LeaderBins:
@@ -87,15 +89,16 @@ def basket_bins(df: DataFrame, features: Sequence[str], basket_col: str = "baske
                 partitions: int | None = None) -> DataFrame:
     """basket, bin_id, size, members (array<string>), centroid (array<bigint>).
 
-    Baskets are hash-partitioned and sorted by (basket, order) inside each partition; one pass
-    over Arrow batches feeds the rows to the open basket's bins and sets them aside when the next
-    basket begins. Bins leave in batches, not basket by basket. One basket is one sequential
+    Baskets are hash-partitioned, in as many partitions as keep the vectors of one near ``TASK_BYTES``,
+    and inside each made distinct and sorted by (basket, order), so the vectors are moved once; one
+    pass over Arrow batches feeds the rows to the open basket's bins and sets them aside when the
+    next basket begins. Bins leave in batches, not basket by basket. One basket is one sequential
     fold by definition."""
     vec = F.array(*[F.coalesce(F.col(f"`{f}`"), F.lit(0)).cast("double") for f in features])
     src = df.select(F.col(basket_col).alias("basket"), F.col(order_col).alias("ord"),
-                    F.col(name_col).alias("name"), vec.alias("vec")).dropDuplicates(["basket", "ord"])
-    n = partitions or df.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    ordered = src.repartition(int(n), "basket").sortWithinPartitions("basket", "ord").select("basket", "name", "vec")
+                    F.col(name_col).alias("name"), vec.alias("vec"))
+    n = partitions or max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-src.count() * (len(features) + 8) * 8 // TASK_BYTES))
+    ordered = src.repartition(int(n), "basket").dropDuplicates(["basket", "ord"]).sortWithinPartitions("basket", "ord").select("basket", "name", "vec")
     btype = src.schema["basket"].dataType.simpleString()
     width = len(features)
 

@@ -43,3 +43,17 @@ def test_minmax_in_unit_interval(spark, vals):
     assert all(0.0 <= x <= 1.0 for x in out)
     if len(set(vals)) == 1:
         assert all(x == 1.0 for x in out)
+
+
+def test_baskets_are_dealt_by_their_bytes_and_moved_once(spark, monkeypatch):
+    from tessera.operators import binning
+
+    rows = spark.range(400).select((F.col("id") % 40).alias("basket"), (F.col("id") % 200).alias("game_id"), F.lit("n").alias("game_name"), *[(F.col("id") % m == 0).cast("int").alias(f"f{m}") for m in (2, 3, 5)])
+    few = binning.basket_bins(rows, ["f2", "f3", "f5"])
+    monkeypatch.setattr(binning, "TASK_BYTES", 1_000)
+    many = binning.basket_bins(rows, ["f2", "f3", "f5"])
+    plan = many._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "hashpartitioning(basket" in plan and ", 36)" in plan
+    assert few.agg(F.sum("size")).first()[0] == 200  # equal (basket, item) rows count once
+    key = lambda df: sorted((r.basket, r.bin_id, r.members, r.centroid) for r in df.collect())
+    assert key(few) == key(many)
