@@ -7,9 +7,9 @@ rows with the smallest Mahalanobis distance, estimate again, until no group's de
 further; then one reweighting step.
 Rows beyond ``cutoff`` squared distance are rejected.
 
-Only DataFrame functions. A group is never gathered: each step is a partial aggregate (moments)
-or a histogram of distances with logarithmic buckets, written as finished counts, which are then
-cumulated to give the support threshold. Group parameters are a small written table, joined to the rows (Spark broadcasts it
+Only DataFrame functions. A group is never gathered: each step is one pass that adds up counts and
+moments per logarithmic bucket of distances, written as finished sums, which are then cumulated up
+to the support threshold. Group parameters are a small written table, joined to the rows (Spark broadcasts it
 if its files are small; otherwise the join is a shuffle that AQE can split on a hot group).
 
 Groups with fewer than ``min_rows`` rows are pooled per language, and if still too few, over all
@@ -35,6 +35,8 @@ COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 FLOORS = {"log_words": 0.5, "log_word_len": 0.1, "symbol_share": 0.1, "dup_share": 0.1, "repeat_share": 0.1}
 DIMS = list(FLOORS)
 P = len(DIMS)
+#: Columns of a group's model: means and the inverse Cholesky factor, a lower triangle.
+_PARAMETERS = [f"m{i}" for i in range(P)] + [f"w{i}{j}" for i in range(P) for j in range(i + 1)]
 #: Variance of the central 75 % of a 5-dimensional normal is smaller than the whole's by this
 #: factor: 0.75 / P(chi2_7 <= chi2_5's 0.75 quantile).
 CONSISTENCY = 1.41
@@ -125,46 +127,53 @@ def _groups(stats: DataFrame, min_rows: int) -> DataFrame:
     return joined.select("lang", "source", name.alias("grp"))
 
 
-def _moments(rows: DataFrame, consistency: float, min_rows: int) -> DataFrame:
-    """Mean and inverse Cholesky factor input (L) per group, from one partial aggregate."""
-    sums = [F.count("*").alias("n")] + [F.sum(F.col(d)).alias(f"s_{d}") for d in DIMS]
-    sums += [F.sum(F.col(a) * F.col(b)).alias(f"s_{i}_{j}") for i, a in enumerate(DIMS) for j, b in enumerate(DIMS) if j <= i]
-    g = rows.groupBy("grp").agg(*sums).filter(F.col("n") >= min_rows // 2)
-    for i, d in enumerate(DIMS):
-        g = g.withColumn(f"m{i}", F.col(f"s_{d}") / F.col("n"))
-    for i, d in enumerate(DIMS):  # Cholesky factor, row by row
-        for j in range(i + 1):
-            c = (F.col(f"s_{i}_{j}") / F.col("n") - F.col(f"m{i}") * F.col(f"m{j}")) * consistency
-            if i == j:
-                c = c + F.lit(FLOORS[d] ** 2)
-            for k in range(j):
-                c = c - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
-            c = F.sqrt(F.greatest(c, F.lit(FLOORS[d] ** 2))) if i == j else c / F.col(f"l{j}{j}")
-            g = g.withColumn(f"l{i}{j}", c)
-    return g.select("grp", *[f"m{i}" for i in range(P)], *[f"l{i}{j}" for i in range(P) for j in range(i + 1)])
+def _sums() -> list[Column]:
+    """Count, sums and sums of products of the dimensions: all that a mean and a covariance need."""
+    sums = ["count(*) AS n"] + [f"sum({d}) AS s_{d}" for d in DIMS]
+    return [F.expr(x) for x in sums + [f"sum({a} * {b}) AS s_{i}_{j}" for i, a in enumerate(DIMS) for j, b in enumerate(DIMS) if j <= i]]
+
+
+def _moments(g: DataFrame, consistency: float, min_rows: int) -> DataFrame:
+    """Mean (m) and inverse of the covariance's Cholesky factor (w) per group, from its sums.
+
+    SQL text: one call of the JVM for each entry of the matrices, not one for each of its terms.
+    """
+    g = g.filter(F.col("n") >= min_rows // 2).selectExpr("*", *[f"s_{d} / n AS m{i}" for i, d in enumerate(DIMS)])
+
+    def rest(i: int, j: int) -> str:
+        floor = f" + {FLOORS[DIMS[i]] ** 2!r}D" if i == j else ""
+        return f"(s_{i}_{j} / n - m{i} * m{j}) * {consistency!r}D{floor}" + "".join(f" - l{i}{k} * l{j}{k}" for k in range(j))
+
+    for j, d in enumerate(DIMS):  # Cholesky factor, column by column
+        g = g.selectExpr("*", f"sqrt(greatest({rest(j, j)}, {FLOORS[d] ** 2!r}D)) AS l{j}{j}")
+        g = g.selectExpr("*", *[f"({rest(i, j)}) / l{j}{j} AS l{i}{j}" for i in range(j + 1, P)])
+    g = g.selectExpr("*", *[f"1 / l{i}{i} AS w{i}{i}" for i in range(P)])
+    for off in range(1, P):  # its inverse, diagonal by diagonal
+        g = g.selectExpr("*", *[f"-({' + '.join(f'l{i}{k} * w{k}{i - off}' for k in range(i - off, i))}) * w{i}{i} AS w{i}{i - off}" for i in range(off, P)])
+    return g.select("grp", *_PARAMETERS)
 
 
 def _distance(rows: DataFrame, model: DataFrame) -> DataFrame:
-    """Add the squared Mahalanobis distance ``d2`` (null where the group has no model)."""
-    out = rows.join(model, "grp", "left")
-    for i, d in enumerate(DIMS):
-        z = F.col(d) - F.col(f"m{i}")
-        for k in range(i):
-            z = z - F.col(f"l{i}{k}") * F.col(f"z{k}")
-        out = out.withColumn(f"z{i}", z / F.col(f"l{i}{i}"))
-    d2 = sum((F.col(f"z{i}") * F.col(f"z{i}") for i in range(1, P)), F.col("z0") * F.col("z0"))
-    return out.withColumn("d2", d2).drop(*[f"z{i}" for i in range(P)], *[c for c in model.columns if c != "grp"])
+    """Add the squared Mahalanobis distance ``d2`` (null where the group has no model).
+
+    One expression that names each part once: the planner copies it into filters, where a chain of
+    forward substitution doubles with every dimension.
+    """
+    z = [" + ".join(f"w{i}{j} * ({DIMS[j]} - m{j})" for j in range(i + 1)) for i in range(P)]
+    d2 = F.expr(" + ".join(f"power({x}, 2.0D)" for x in z))
+    return rows.join(model, "grp", "left").withColumn("d2", d2).drop(*[c for c in model.columns if c != "grp"])
 
 
 def _bucket(d2: Column) -> Column:
     return F.floor(F.log2(F.greatest(d2, F.lit(1e-6))) * BUCKETS_PER_OCTAVE)
 
 
-def _share_limit(hist: DataFrame, keys: list[str], share: float) -> DataFrame:
-    """Per key: the first bucket at which the cumulated count reaches ``share`` of all."""
-    w = Window.partitionBy(*keys)
-    cum = hist.withColumn("cum", F.sum("c").over(w.orderBy("b").rowsBetween(Window.unboundedPreceding, 0))).withColumn("tot", F.sum("c").over(w))
-    return cum.filter(F.col("cum") >= F.col("tot") * share).groupBy(*keys).agg(F.min("b").alias("limit"))
+def _nearest(hist: DataFrame, share: float) -> DataFrame:
+    """Per group: the sums of its nearest rows, up to the first bucket at which the count reaches ``share`` of all."""
+    w = Window.partitionBy("grp")
+    cum = hist.withColumn("cum", F.sum("n").over(w.orderBy("b").rowsBetween(Window.unboundedPreceding, 0))).withColumn("tot", F.sum("n").over(w))
+    near = cum.filter(F.col("cum") - F.col("n") < F.col("tot") * share)
+    return near.groupBy("grp").agg(*[F.sum(c).alias(c) for c in hist.columns if c not in ("grp", "b")])
 
 
 def _start(rows: DataFrame) -> DataFrame:
@@ -178,13 +187,13 @@ def _start(rows: DataFrame) -> DataFrame:
     for i, d in enumerate(DIMS):
         at = F.col("dim") == i
         cells += [F.max(F.when(at, (F.col("q50") + 0.5) / 64)).alias(f"m{i}")]
-        cells += [F.max(F.when(at, F.greatest((F.col("q75") - F.col("q25")) / 64 / 1.35, F.lit(FLOORS[d])))).alias(f"l{i}{i}")]
-        cells += [F.lit(0.0).alias(f"l{i}{j}") for j in range(i)]
+        cells += [F.max(F.when(at, 1 / F.greatest((F.col("q75") - F.col("q25")) / 64 / 1.35, F.lit(FLOORS[d])))).alias(f"w{i}{i}")]
+        cells += [F.lit(0.0).alias(f"w{i}{j}") for j in range(i)]
     return q.groupBy("grp").agg(*[c for c in cells])
 
 
 def _log_determinant() -> Column:
-    return sum((F.log(F.col(f"l{i}{i}")) for i in range(1, P)), F.log(F.col("l00")))
+    return -sum((F.log(F.col(f"w{i}{i}")) for i in range(1, P)), F.log(F.col("w00")))
 
 
 def mcd_model(stats: DataFrame, support: float = SUPPORT, min_rows: int = 100) -> tuple[DataFrame, DataFrame]:
@@ -200,27 +209,29 @@ def mcd_model(stats: DataFrame, support: float = SUPPORT, min_rows: int = 100) -
     groups = stage(_groups(rows, min_rows), "mcd-groups")
     keyed = _with_group(rows, groups).select("grp", *[c.alias(k) for k, c in _vector().items()])
     keyed = stage(keyed, "mcd-rows")
-    model = stage(_start(keyed), "mcd-model")
-    best = None
+    best, first = stage(_start(keyed), "mcd-model"), True
     while True:
-        near = _distance(keyed, model).withColumn("b", _bucket(F.col("d2")))
-        hist = stage(near.groupBy("grp", "b").agg(F.count("*").alias("c")), "mcd-histogram")
-        limit = stage(_share_limit(hist, ["grp"], support), "mcd-limit")
-        model = stage(_moments(near.join(limit, "grp").filter(F.col("b") <= F.col("limit")), CONSISTENCY, min_rows).withColumn("size", _log_determinant()), "mcd-model")
-        if best is None:
-            best = model
-            continue
-        old = best.select("grp", F.struct(*best.columns).alias("old"))
-        both = model.select("grp", F.struct(*model.columns).alias("new")).join(old, "grp", "full")
-        falls = F.col("new.size") < F.coalesce(F.col("old.size"), F.lit(float("inf"))) - SETTLED
-        both = stage(both.select(F.coalesce(falls, F.lit(False)).alias("falls"), "old", "new"), "mcd-steps")
-        if not both.agg(F.max("falls")).first()[0]:
+        # one pass: sums per distance bucket, which the support threshold then cuts
+        near = _distance(keyed, best).withColumn("b", _bucket(F.col("d2")))
+        hist = stage(near.groupBy("grp", "b").agg(*_sums()), "mcd-histogram")
+        new = _moments(_nearest(hist, support), CONSISTENCY, min_rows).withColumn("size", _log_determinant())
+        state = new.withColumn("falls", F.lit(True)) if first else _better(new, best)
+        state = stage(state, "mcd-model")
+        best = state.drop("falls")
+        if not first and state.filter("falls").isEmpty():
             break
-        best = both.select(F.when(F.col("falls") | F.col("old").isNull(), F.col("new")).otherwise(F.col("old")).alias("v")).select("v.*")
-        model = best = stage(best, "mcd-model")
-    model = best.drop("size")
-    final = _distance(keyed, model).filter(F.col("d2") <= REWEIGHT)
-    return groups, stage(_moments(final, 1.0, min_rows), "mcd-model")
+        first = False
+    final = _distance(keyed, best).filter(F.col("d2") <= REWEIGHT)
+    return groups, stage(_moments(final.groupBy("grp").agg(*_sums()), 1.0, min_rows), "mcd-model")
+
+
+def _better(new: DataFrame, best: DataFrame) -> DataFrame:
+    """Per group the estimate of the smaller determinant, and whether that is the new one (``falls``)."""
+    old = best.select("grp", F.struct(*best.columns).alias("old"))
+    both = new.select("grp", F.struct(*new.columns).alias("new")).join(old, "grp", "full")
+    falls = F.coalesce(F.col("new.size") < F.coalesce(F.col("old.size"), F.lit(float("inf"))) - SETTLED, F.lit(False))
+    both = both.select(falls.alias("falls"), "old", "new")
+    return both.select(F.when(F.col("falls") | F.col("old").isNull(), F.col("new")).otherwise(F.col("old")).alias("v"), "falls").select("v.*", "falls")
 
 
 def _with_group(rows: DataFrame, groups: DataFrame) -> DataFrame:

@@ -106,3 +106,22 @@ def test_labelled_documents(spark):
     assert sum(r.kept for r in good) >= 0.99 * len(good) and sum(not r.kept for r in bad) >= 0.9 * len(bad)
     plan = q.quality_verdicts(docs)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Cartesian" not in plan
+
+
+def test_steps_write_two_tables_and_plans_name_parameters_once(spark, monkeypatch):
+    """A step reads the rows once and writes sums and estimates; its distance stays short inside a filter."""
+    written = []
+    stage = q.stage
+    monkeypatch.setattr(q, "stage", lambda df, name: written.append(name) or stage(df, name))
+    rnd = random.Random(3)
+    rows = [("en", "s", n, n * rnd.randint(3, 7), rnd.randrange(9), rnd.randrange(4), rnd.randrange(20), False)
+            for n in (rnd.randint(50, 900) for _ in range(300))]
+    stats = spark.createDataFrame(rows, "lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean")
+    groups, model = q.mcd_model(stats)
+    steps = written.count("mcd-histogram")
+    assert steps >= 2 and len(written) <= 5 + 2 * steps
+    rows = q._with_group(stats, groups).withColumns(q._vector())
+    plan = q._distance(rows, model).filter("d2 <= 30")._jdf.queryExecution().optimizedPlan().toString()
+    plan = "\n".join(x for x in plan.split("\n") if "Relation" not in x and "Project" not in x and "isnotnull(grp" not in x)
+    factor = [c for c in model.columns if c[0] in "lw"]
+    assert len(factor) == 15 and {plan.count(f"{c}#") for c in factor} == {1}, plan
